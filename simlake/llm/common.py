@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +32,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, unless their Python path already has it."""
+    root = Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or any(k and Path(k).resolve() == root for k in known):
+        return
+    to = Path(tempfile.mkdtemp(prefix="simlake-code-")) / "simlake.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in (root / "simlake").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(to))
+    _SHIPPED.add(sc.applicationId)
+
+
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Run ``fn`` on each Arrow batch of ``df``: no shuffle, memory bounded by BATCH_ROWS rows a worker."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op2_decontaminate
+from .embeddings import op9_embeddings
+from .packing import op4_packing
 from .secrets import op5_secrets
 from .simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
+    "op9_embeddings": op9_embeddings,
     "op10_simhash": op10_simhash,
 }
 
