@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
+from .chat import op8_chat
 from .decontaminate import op2_decontaminate
 from .embeddings import op9_embeddings
 from .packing import op4_packing
@@ -16,8 +18,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
+    "op8_chat": op8_chat,
     "op9_embeddings": op9_embeddings,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat": chat.ORACLE,
+}
