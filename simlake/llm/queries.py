@@ -11,10 +11,12 @@ from .chat import op8_chat
 from .decontaminate import op2_decontaminate
 from .embeddings import op9_embeddings
 from .packing import op4_packing
+from .pii import op1_pii
 from .secrets import op5_secrets
 from .simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
