@@ -10,6 +10,7 @@ from . import chat
 from .chat import op8_chat
 from .decontaminate import op2_decontaminate
 from .embeddings import op9_embeddings
+from .html_text import op7_html
 from .packing import op4_packing
 from .pii import op1_pii
 from .secrets import op5_secrets
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
+    "op7_html": op7_html,
     "op8_chat": op8_chat,
     "op9_embeddings": op9_embeddings,
     "op10_simhash": op10_simhash,
