@@ -11,6 +11,7 @@ from .chat import op8_chat
 from .decontaminate import op2_decontaminate
 from .embeddings import op9_embeddings
 from .html_text import op7_html
+from .language import op3_language
 from .packing import op4_packing
 from .pii import op1_pii
 from .secrets import op5_secrets
@@ -19,6 +20,7 @@ from .simhash import op10_simhash
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
+    "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
     "op7_html": op7_html,
