@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -76,7 +77,7 @@ def scan(found: ahocorasick.Automaton, text: bytes | None) -> tuple[int, list[tu
     return len(words), ranges, items
 
 
-_AUTOMATA: dict[int, ahocorasick.Automaton] = {}
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -86,13 +87,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if not fits(items, F.octet_length("text") + F.octet_length("item"), broadcast_bytes):
         return _by_join(own, items, window)
     rows = [(r["item"], r["text"].encode()) for r in items.collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+    sent, run = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if sent.id not in _AUTOMATA:
+        if run not in _AUTOMATA:
             _AUTOMATA.clear()
-            _AUTOMATA[sent.id] = automaton(sent.value, window)
-        found = _AUTOMATA[sent.id]
+            _AUTOMATA[run] = automaton(sent.value, window)
+        found = _AUTOMATA[run]
         n_words, n_hit, ids, spans = [], [], [], []
         for text in as_bytes(batch.column(1)):
             n, ranges, who = scan(found, text)
