@@ -16,6 +16,7 @@ from .packing import op4_packing
 from .pii import op1_pii
 from .secrets import op5_secrets
 from .simhash import op10_simhash
+from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_secrets": op5_secrets,
+    "op6_toxicity": op6_toxicity,
     "op7_html": op7_html,
     "op8_chat": op8_chat,
     "op9_embeddings": op9_embeddings,
