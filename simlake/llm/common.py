@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch in a pass over texts; bounds what a Python worker holds at once.
 BATCH_ROWS = 1000
@@ -21,17 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with an eager checkpoint in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a local session) a folder is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; only where that is unset (a local session) one is made."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="simlake-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with an eager checkpoint in the shared folder. For narrow rows; texts are written as tables."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: computed once, pruned by column, independent of lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -50,7 +62,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Run ``fn`` on each Arrow batch of ``df``: no shuffle, memory bounded by BATCH_ROWS rows a worker."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -82,3 +94,15 @@ def fold_of(doc_id: object) -> int | None:
 def fits(df: DataFrame, size: Column, bound: int) -> bool:
     """Whether the sum of ``size`` over ``df`` stays within ``bound``: the check before a broadcast."""
     return int(df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) <= bound
+
+
+def changed(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with some of its columns replaced, cast to their types."""
+    names = batch.schema.names
+    made = [columns[n].cast(batch.column(i).type) if n in columns else batch.column(i) for i, n in enumerate(names)]
+    return pa.RecordBatch.from_arrays(made, names=names)
+
+
+def with_lengths(docs: DataFrame, text_col: str, length_col: str) -> DataFrame:
+    """The length column anew after texts have changed, where there is one."""
+    return docs.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else docs

@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, checkpoint, fits, table
+from .common import arrow_pass, as_bytes, checkpoint, fits, table, with_lengths, written
 
 WINDOW = 8
 #: Bytes of benchmark text up to which the automaton is built on each worker; beyond, windows meet by an equality join.
 BROADCAST_BYTES = 16 << 20
+#: Rows and spans of documents with hits up to which they are broadcast to the texts.
+BROADCAST_HITS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
@@ -160,6 +162,18 @@ def _by_join(own: DataFrame, items: DataFrame, window: int) -> DataFrame:
     return arrow_pass(joined, each, _SCHEMA)
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str = "n_chars", most_items: int = 1, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without rows that hold windows of more than ``most_items`` items; of the others, hit passages are cut out."""
+    own = written(docs.withColumn("~row", F.monotonically_increasing_id()))
+    found = contamination(own, benchmark, "~row", text_col, item_col, item_text_col).where("n_hit > 0")
+    found = checkpoint(found.select(F.col("doc_id").alias("~row"), F.size("item_ids").alias("~items"), F.col("spans").alias("~spans")))
+    hits = F.broadcast(found) if fits(found, F.lit(1) + F.size("~spans"), BROADCAST_HITS) else found
+    joined = own.join(hits, "~row", "left").where(F.coalesce(F.col("~items"), F.lit(0)) <= most_items)
+    text = F.aggregate("~spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])).alias("out")), lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1)))
+    kept = joined.withColumn(text_col, F.when(F.col("~spans").isNotNull(), text).otherwise(F.col(text_col))).select(*docs.columns)
+    return with_lengths(kept, text_col, length_col)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.size("item_ids") >= 2).alias("contaminated"))

@@ -28,6 +28,8 @@ PER_LANGUAGE, LANGUAGES, PIECE = 400, 200, 384
 HIDDEN, STEPS, BATCH, LENGTH, RATE, SEED = 8, 260, 96, 64, 0.02, 5
 CORE, CONTEXT, AT_ONCE = 256, 16, 1024
 UNKNOWN = "und"
+#: Least score of a document that a filter accepts.
+ACCEPTED = 0.35
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -210,6 +212,22 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     return arrow_pass(own, each, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = ACCEPTED) -> DataFrame:
+    """The rows of ``docs`` whose language is known: not ``und``, and with a score of ``least`` or more. Without a model all rows with a letter."""
+    at = docs.columns.index(text_col)
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = as_bytes(batch.column(at))
+        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t.decode())]
+        if net and some:
+            score = pooled(net, [texts[i] for i in some]).max(1)
+            some = [i for i, s in zip(some, score) if s >= least]
+        if some:
+            yield batch.take(pa.array(some))
+
+    return arrow_pass(docs, each, docs.schema)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train(training_sample(docs)))

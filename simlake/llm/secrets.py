@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, table
+from .common import arrow_pass, as_bytes, changed, table, with_lengths
 
 # Token formats and keywords.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem", "stripe", "slack", "google")
@@ -125,26 +125,23 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return arrow_pass(own, each, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every span replaced by ``[SECRET:kind]``; overlapping spans become one mark of the first kind."""
-    schema = docs.schema
-    at = schema.fieldNames().index(text_col)
+def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """All rows of ``docs`` with every span replaced by ``[SECRET:kind]``; overlapping spans become one mark of the first kind."""
+    at = docs.columns.index(text_col)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = []
         for raw in as_bytes(batch.column(at)):
-            spans, pieces, end = find(raw), [], 0
+            spans, parts, end = find(raw), [], 0
             text = None if raw is None else raw.decode()
             for a, b, kind in spans:
                 if a >= end:
-                    pieces += [text[end:a], f"[SECRET:{kind}]"]
+                    parts += [text[end:a], f"[SECRET:{kind}]"]
                 end = max(end, b)
-            texts.append(text if not spans else "".join(pieces) + text[end:])
-        columns = batch.columns
-        columns[at] = pa.array(texts, batch.column(at).type)
-        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            texts.append("".join(parts) + text[end:] if spans else text)
+        yield changed(batch, {text_col: pa.array(texts, pa.string())})
 
-    return arrow_pass(docs, each, schema)
+    return with_lengths(arrow_pass(docs, each, docs.schema), text_col, length_col)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
