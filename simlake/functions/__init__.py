@@ -1 +1 @@
-"""functions."""
+"""Column builders over vectors; all of them stay inside the JVM."""

@@ -1 +1 @@
-"""operators."""
+"""Operators over DataFrames: scoring, encoding, training, clustering, statistics, losses."""
