@@ -13,6 +13,11 @@ def doubles(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once a row; inside a lambda an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def total(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
@@ -31,7 +36,7 @@ def p_norm(v: Column, order: float = 2.0) -> Column:
 
 def scaled(v: Column, by: Column) -> Column:
     """Each component divided by ``by``."""
-    return F.transform(v, lambda x: x / by)
+    return let(by, lambda d: F.transform(v, lambda x: x / d))
 
 
 def normalised(v: Column, order: float = 2.0, epsilon: float = 1e-9) -> Column:
@@ -41,8 +46,7 @@ def normalised(v: Column, order: float = 2.0, epsilon: float = 1e-9) -> Column:
 
 def unit(v: Column) -> Column:
     """v / its norm; a zero vector stays zero, so its cosine with anything is 0."""
-    n = p_norm(v)
-    return F.when(n > 0, scaled(v, n)).otherwise(v)
+    return let(p_norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
 def signed_power(v: Column, alpha: float) -> Column:
@@ -51,21 +55,23 @@ def signed_power(v: Column, alpha: float) -> Column:
 
 def hellinger(v: Column, epsilon: float = 1e-7) -> Column:
     """Square root of the vector after division by its sum: RootSIFT of a SIFT descriptor."""
-    return F.transform(v, lambda x: F.sqrt(x / (total(v) + F.lit(epsilon))))
+    return let(total(v) + F.lit(epsilon), lambda s: F.transform(v, lambda x: F.sqrt(x / s)))
 
 
 def standardised(v: Column) -> Column:
     """(x - mean) / population deviation within the vector; NULL components where the deviation is 0."""
     n = F.size(v).cast("double")
-    mean = F.try_divide(total(v), n)
-    deviation = F.sqrt(F.try_divide(total(F.transform(v, lambda x: (x - mean) * (x - mean))), n))
-    return F.transform(v, lambda x: F.try_divide(x - mean, deviation))
+
+    def by_mean(mean: Column) -> Column:
+        deviation = F.sqrt(F.try_divide(total(F.transform(v, lambda x: (x - mean) * (x - mean))), n))
+        return let(deviation, lambda d: F.transform(v, lambda x: F.try_divide(x - mean, d)))
+
+    return let(F.try_divide(total(v), n), by_mean)
 
 
 def projected(v: Column, mean: Column, components: Column) -> Column:
     """(v - mean) times each row of ``components``."""
-    centred = F.zip_with(v, mean, lambda x, m: x - m)
-    return F.transform(components, lambda row: dot(centred, row))
+    return let(F.zip_with(v, mean, lambda x, m: x - m), lambda c: F.transform(components, lambda row: dot(c, row)))
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -94,7 +94,7 @@ def bin_statistics(pairs: DataFrame, n: int = 20, low: float = 0.0, high: float
 
 
 def boxes(pairs: DataFrame, n: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Quartiles, whiskers within 1.5 interquartile ranges and the number of outliers of every right-open bin; NULL for empty bins."""
+    """Quartiles, whiskers within 1.5 interquartile ranges and the number of outliers of every right-open bin; an empty bin has NULLs and no outliers."""
     own = bins(pairs, n, low, high)
     quart = own.groupBy("bin").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     quart = quart.select("bin", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
@@ -102,7 +102,7 @@ def boxes(pairs: DataFrame, n: int = 20, low: float = 0.0, high: float = 1.0) ->
     within = F.col("y").between(F.col("q1") - 1.5 * reach, F.col("q3") + 1.5 * reach)
     found = own.join(F.broadcast(quart), "bin").groupBy("bin", "q1", "median", "q3").agg(F.min(F.when(within, F.col("y"))).alias("low_whisker"), F.max(F.when(within, F.col("y"))).alias("high_whisker"), F.sum((~within).cast("long")).alias("n_outliers"))
     grid = pairs.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
-    return grid.join(found, "bin", "left")
+    return grid.join(found, "bin", "left").withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0).cast("long")))
 
 
 def histogram(values: DataFrame, n: int = 10) -> DataFrame:

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from simlake.plans import analysis, encoding, retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **encoding.QUERIES, **analysis.QUERIES}
+ORACLE_SQL: dict[str, str] = {**retrieval.ORACLE_SQL, **encoding.ORACLE_SQL, **analysis.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
