@@ -58,7 +58,7 @@ def save_json(spark: SparkSession, document: dict, path: str) -> None:
 
 
 def load_json(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def write_table(df: DataFrame, path: str, buckets: int | None = None, by: str | None = None) -> None:
