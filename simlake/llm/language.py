@@ -29,7 +29,7 @@ HIDDEN, STEPS, BATCH, LENGTH, RATE, SEED = 8, 260, 96, 64, 0.02, 5
 CORE, CONTEXT, AT_ONCE = 256, 16, 1024
 UNKNOWN = "und"
 #: Least score of a document that a filter accepts.
-ACCEPTED = 0.35
+ACCEPTED = 0.3
 _LETTER = re.compile(r"[^\W\d_]")
 
 
