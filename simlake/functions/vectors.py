@@ -123,6 +123,25 @@ def is_image(image: Column) -> Column:
     return F.coalesce((image["height"] > 0) & (image["width"] > 0) & image["nChannels"].isin(1, 3) & (F.octet_length(image["data"]) == size), F.lit(False))
 
 
+def is_channels_first(v: Column, tolerance: float = 1e-5) -> Column:
+    """Whether an array of three equal matrices holds values in [0, 1], give or take the tolerance."""
+    flat = F.flatten(F.flatten(v))
+    sizes = F.array_distinct(F.flatten(F.transform(v, lambda m: F.transform(m, F.size))))
+    within = F.forall(flat, lambda x: x.isNotNull() & (x >= -tolerance) & (x <= 1 + tolerance))
+    return F.coalesce((F.size(v) == 3) & (F.size(F.array_distinct(F.transform(v, F.size))) == 1) & (F.size(sizes) == 1) & within, F.lit(False))
+
+
+def channels_last(v: Column) -> Column:
+    """An array of channel matrices as rows of pixels, each pixel its channels: what extractors read."""
+    rows = F.sequence(F.lit(0), F.size(v[0]) - 1)
+    return F.transform(rows, lambda r: F.transform(F.sequence(F.lit(0), F.size(v[0][r]) - 1), lambda c: F.transform(v, lambda m: m[r][c])))
+
+
+def is_mask(v: Column) -> Column:
+    """Whether a matrix holds whole numbers in rows of one length."""
+    return F.coalesce((F.size(F.array_distinct(F.transform(v, F.size))) == 1) & F.forall(F.flatten(v), lambda x: x == F.floor(x)), F.lit(False))
+
+
 def checked_width(v: Column, width: int) -> Column:
     """The vector itself; an error if its length is not ``width``."""
     return F.when(F.size(v) == width, v).otherwise(F.raise_error(F.concat(F.lit(f"expected {width} components, got "), F.size(v).cast("string"))).cast("array<double>"))

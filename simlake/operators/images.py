@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simlake.operators.runtime import ship
+from simlake.operators.runtime import ship, spread
 
 
 def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
@@ -57,7 +57,7 @@ def blur(images: DataFrame, size: int | None = None, sigma: float = 1.0) -> Data
             out = [blurred(np.array(m, float), size, sigma).tolist() for m in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["image", "v"])
 
-    return own.mapInArrow(each, f"image {own.schema['image'].dataType.simpleString()}, v array<array<double>>")
+    return spread(own).mapInArrow(each, f"image {own.schema['image'].dataType.simpleString()}, v array<array<double>>")
 
 
 def feature_cells(maps: DataFrame, height: int, width: int, spatial: bool = True) -> DataFrame:
@@ -108,7 +108,7 @@ class Extractor:
                         xs.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(at, pa.int32()), pa.array(xs, pa.list_(pa.float64()))], names=["image", "desc", "x"])
 
-        return own.mapInArrow(each, f"image {own.schema['key'].dataType.simpleString()}, desc int, x array<double>")
+        return spread(own).mapInArrow(each, f"image {own.schema['key'].dataType.simpleString()}, desc int, x array<double>")
 
     def of_rows(self, rows: DataFrame, key: str, value: str) -> DataFrame:
         """(image, desc, x) of any column, for functions that read something other than images."""
@@ -123,7 +123,7 @@ class Extractor:
                 xs = [x for f in found for x in f]
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([np.arange(k) for k in n] or [[]]).astype(np.int32)), pa.array(xs, pa.list_(pa.float64()))], names=["image", "desc", "x"])
 
-        return own.mapInArrow(each, f"image {own.schema['image'].dataType.simpleString()}, desc int, x array<double>")
+        return spread(own).mapInArrow(each, f"image {own.schema['image'].dataType.simpleString()}, desc int, x array<double>")
 
 
 def sift() -> Extractor:

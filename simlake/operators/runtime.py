@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of query vectors that go to every worker at once; more queries are scored in blocks of this size.
 BLOCK_BYTES = 64 << 20
 
+#: Estimated bytes up to which an input is dealt out anew before a costly pass.
+SPREAD_BYTES = 48 << 20
+
 _SHIPPED: set[str] = set()
 
 
@@ -30,6 +33,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, which often is one row group and so one task, dealt out evenly over the cores; a large one as it comes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if size <= SPREAD_BYTES and n > 1 else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with an eager checkpoint in the folder that all executors share (``spark.checkpoint.dir``; one is made only where it is unset)."""
     sc = df.sparkSession.sparkContext

@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from simlake.functions import vectors as V
 from simlake.functions.vectors import is_image
 from simlake.operators import images
 from simlake.operators.codebook import Codebook
-from simlake.sources import datasets, records, reports
+from simlake.sources import archives, datasets, drawing, records, reports
 from simlake.streaming import scoring as streaming
 
 
@@ -115,3 +116,43 @@ def test_streams(spark, tmp_path):
     q.stop()
     got = {r["q"]: r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {i: 7 if i % 2 else 8 for i in range(10)}
+
+
+def test_pictures_by_channel(spark):
+    chw = [[[0.0, 1.0]], [[0.5, 0.25]], [[1.0, 1.000001]]]
+    df = spark.createDataFrame([(chw, [[1.0, 2.0]]), ([[[0.0]], [[2.0]], [[0.0]]], [[1.5]]), ([[[0.0]]], [[1.0], [1.0, 2.0]])], "v array<array<array<double>>>, m array<array<double>>")
+    rows = df.select(V.is_channels_first(F.col("v")).alias("a"), V.is_mask(F.col("m")).alias("b"), V.channels_last(F.col("v")).alias("c")).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(True, True), (False, False), (False, False)]
+    assert rows[0]["c"] == [[[0.0, 0.5, 1.0], [1.0, 0.25, 1.000001]]]
+
+
+def test_archives(tmp_path):
+    import logging
+    import tarfile
+    import zipfile
+
+    (tmp_path / "a.txt").write_text("x")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.write(tmp_path / "a.txt", "in/a.txt")
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../out.txt", "x")
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        t.add(tmp_path / "a.txt", "t.txt")
+    assert archives.unpack(tmp_path / "a.zip", tmp_path) and archives.unpack(tmp_path / "a.tar", tmp_path) and not archives.unpack(tmp_path / "a.txt", tmp_path)
+    assert (tmp_path / "in/a.txt").exists() and (tmp_path / "t.txt").exists()
+    with pytest.raises(ValueError):
+        archives.unpack(tmp_path / "bad.zip", tmp_path / "in")
+    assert archives.fetch((tmp_path / "a.txt").as_uri(), tmp_path / "b.txt").read_text() == "x"
+    archives.set_up_logging(tmp_path / "logs")
+    logging.getLogger("simlake").info("hello")
+    assert "hello" in (tmp_path / "logs/simlake.log").read_text()
+
+
+def test_drawing_says_what_it_needs(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1.0, 2.0)], "i int, x double, y double")
+    with pytest.raises(ValueError):
+        drawing.barplot(["a"], [], "x.png")
+    try:
+        drawing.lineplot(df, f"{tmp_path}/x.png")
+    except ImportError as e:
+        assert "matplotlib" in str(e)
