@@ -179,6 +179,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.size("item_ids") >= 2).alias("contaminated"))
 
 
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS.format("text")} AS w FROM benchmark),
+ win AS (SELECT DISTINCT item, array_to_string(w[k : least(k + 7, len(w))], ' ') AS win, least(len(w), 8) AS n FROM i, range(1, 2000) t(k) WHERE len(w) > 0 AND k <= greatest(len(w) - 7, 1)),
+ sizes AS (SELECT DISTINCT n FROM win),
+ d AS (SELECT doc_id, {_SQL_WORDS.format("text")} AS w FROM documents),
+ pos AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
+ h AS (SELECT doc_id, k, win.n, item FROM pos JOIN win ON win.n = pos.n AND win.win = array_to_string(pos.w[k : k + pos.n - 1], ' ')),
+ hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+ hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN hi ON hi.doc_id = d.doc_id
+"""
+
+
 def brute_force(text: str | None, items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple[int, int, str, int]:
     """n_words, n_hit, items_sha256, n_items by comparing every position with every window."""
     lower = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))

@@ -310,3 +310,16 @@ def test_pipeline_of_nothing_and_of_oddities(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, sf))
         assert sorted({r["doc_id"] for r in docs.collect()}) == want
+
+
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op9_embeddings"])
+def test_equals_sql(spark, sf, name):
+    import duckdb
+
+    from simlake.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    assert sorted(map(tuple, QUERIES[name](spark, sf).select(*want.columns).collect())) == sorted(want.fetchall())
