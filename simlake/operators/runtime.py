@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 64 << 20
 
 #: Estimated bytes up to which an input is dealt out anew before a costly pass.
-SPREAD_BYTES = 48 << 20
+SPREAD_BYTES = 16 << 20
 
 _SHIPPED: set[str] = set()
 
