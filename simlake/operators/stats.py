@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simlake.functions.vectors import both_numbers
+from simlake.operators.order import running_total
 
 
 def valid_pairs(pairs: DataFrame) -> DataFrame:
@@ -22,13 +23,12 @@ def correlation(x: str = "x", y: str = "y") -> Column:
 def average_ranks(pairs: DataFrame) -> DataFrame:
     """``pairs`` with x and y replaced by ranks, ties sharing their mean.
 
-    Ranks come from the counts of distinct values, so that one task orders distinct values and never the rows.
+    Ranks come from running sums over the counts of distinct values, in ranges.
     """
     out = pairs
     for c in ("x", "y"):
         counts = pairs.groupBy(c).agg(F.count("*").alias("n"))
-        up_to = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        rank = counts.select(c, (up_to - (F.col("n") - 1) / 2).alias(f"r{c}"))
+        rank = running_total(counts, [c], "~up_to", F.col("n")).select(c, (F.col("~up_to") - (F.col("n") - 1) / 2).alias(f"r{c}"))
         out = out.join(rank, c)
     return out.select(F.col("rx").alias("x"), F.col("ry").alias("y"))
 

@@ -297,6 +297,6 @@ SELECT e.vec_id AS id, CAST(coalesce(k, -1) AS INTEGER) AS cluster FROM e LEFT J
     "snk5_heatmap": f'WITH {UNIT}, m AS (SELECT a.vec_id AS "row", b.vec_id AS id, list_dot_product(a.v, b.v) AS sim FROM u a, u b WHERE a.vec_id < 20 AND b.vec_id < 20) SELECT "row", CAST(count(*) AS INTEGER) AS n, round(sum(sim), 6) + 0.0 AS total, round(max(CASE WHEN id = 3 THEN sim END), 6) + 0.0 AS fourth FROM m GROUP BY "row"',
     "snk6_bars": 'SELECT l_returnflag, sum(CASE WHEN l_linestatus = \'F\' THEN l_quantity END) AS "F", sum(CASE WHEN l_linestatus = \'O\' THEN l_quantity END) AS "O" FROM lineitem GROUP BY l_returnflag',
     "snk7_line": """WITH o AS (SELECT o_custkey AS x, sum(o_totalprice) AS y FROM orders GROUP BY o_custkey), a AS (SELECT x, row_number() OVER (ORDER BY x, y) - 1 AS i FROM o), b AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS i FROM o), n AS (SELECT count(*) AS n FROM o),
- t AS (SELECT DISTINCT floor(j * (n - 1) / (least(n, 20) - 1.0)) AS i FROM n, range(20) r(j) WHERE j < n) SELECT CAST(a.i AS INTEGER) AS i, x, round(y, 2) AS y FROM a JOIN b ON a.i = b.i JOIN t ON t.i = a.i""",
+ t AS (SELECT DISTINCT floor(j * (n - 1) / (least(n, 20) - 1.0)) AS i FROM n, range(20) r(j) WHERE j < n) SELECT CAST(a.i AS BIGINT) AS i, x, round(y, 2) AS y FROM a JOIN b ON a.i = b.i JOIN t ON t.i = a.i""",
     "snk10_scatter": "WITH xy AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), l AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM xy), m AS (SELECT avg((y - slope * x - intercept) ** 2) AS mse FROM xy, l) SELECT round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(mse, 4) AS mse FROM l, m",
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simlake.operators.order import numbered
+
 
 def heatmap(matrix: DataFrame, row: str = "q", column: str = "id", value: str = "sim") -> DataFrame:
     """A long matrix with one row a line: (row, cells) with the cells in order of the column."""
@@ -19,15 +21,15 @@ def bars(rows: DataFrame, category: str, series: str, value: str, names: list |
 
 def line(points: DataFrame, x: str = "x", y: str = "y", sort_y: bool = False) -> DataFrame:
     """(i, x, y) in order of x. ``sort_y`` orders the values of y by themselves, apart from x."""
-    rows = points.withColumn("i", F.row_number().over(Window.orderBy(x, y)) - 1)
+    rows = numbered(points, [x, y], "i", 0)
     if not sort_y:
         return rows.select("i", F.col(x).alias("x"), F.col(y).alias("y"))
-    values = points.select(F.col(y).alias("y")).withColumn("i", F.row_number().over(Window.orderBy("y")) - 1)
+    values = numbered(points.select(F.col(y).alias("y")), ["y"], "i", 0)
     return rows.select("i", F.col(x).alias("x")).join(values, "i")
 
 
 def ticks(line_rows: DataFrame, most: int = 20) -> DataFrame:
     """At most ``most`` rows of a line, evenly spread, both ends included."""
     n = line_rows.agg(F.count("*").alias("n"))
-    place = n.where("n > 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(most)) - 1), lambda j: F.floor(j * (F.col("n") - 1) / F.greatest(F.least(F.col("n"), F.lit(most)) - 1, F.lit(1))).cast("int"))).alias("i")).distinct()
+    place = n.where("n > 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(most)) - 1), lambda j: F.floor(j * (F.col("n") - 1) / F.greatest(F.least(F.col("n"), F.lit(most)) - 1, F.lit(1))).cast("long"))).alias("i")).distinct()
     return line_rows.join(F.broadcast(place), "i")
