@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlake.operators.order import numbered
+from simlake.operators import order
 
 PURPOSES = ("train", "validation", "test")
 # Sizes of the flower corpus, after the swap of its train and test ids.
@@ -16,7 +16,7 @@ def image_paths(spark: SparkSession, folder: str, suffix: str = ".jpg") -> DataF
     """(image_id, path) in order of the file name; ids start at 1. The suffix is compared without case."""
     pattern = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    return numbered(files, ["path"], "image_id").select("image_id", "path")
+    return order.numbered(files, ["path"], "image_id").select("image_id", "path")
 
 
 def numbered(labels: DataFrame) -> DataFrame:
