@@ -11,12 +11,14 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch in a pass over texts; bounds what a Python worker holds at once.
 BATCH_ROWS = 1000
+#: Estimated bytes up to which an input is dealt out anew before a costly pass.
+SPREAD_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, which often is one row group and so one task, dealt out evenly over the cores; a large one as it comes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if size <= SPREAD_BYTES and n > 1 else df
+
+
+def least(df: DataFrame, by: str, order: list[Column], n: int, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each ``by``, with their number ``n``.
+
+    Each partition keeps its first n; these meet in ``salts`` tasks a key, by partition, and their first n in one: no task
+    reads more than a share of a hot key's rows, or ``salts`` * n.
+    """
+    salted = df.withColumn("~salt", F.spark_partition_id() % salts)
+    first = salted.withColumn("n", F.row_number().over(Window.partitionBy(by, "~salt").orderBy(*order))).where(F.col("n") <= n).drop("~salt")
+    return first.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("n") <= n)
+
+
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Run ``fn`` on each Arrow batch of ``df``: no shuffle, memory bounded by BATCH_ROWS rows a worker."""
     ship(df.sparkSession)
@@ -72,7 +92,7 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(over, schema)
+    return spread(df).mapInArrow(over, schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, fold, table
+from .common import arrow_pass, as_bytes, fold, least, table
 
 #: Bound of the training sample: documents of each language, the languages by frequency, bytes of each document.
 PER_LANGUAGE, LANGUAGES, PIECE = 400, 200, 384
@@ -190,7 +190,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """PIECE characters, from a place by hash, of PER_LANGUAGE documents by hash of each of the LANGUAGES most frequent languages; fold 2 is left out."""
     mark = F.xxhash64(id_col)
     pieces = docs.where((fold(F.col(id_col)) != 2) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), mark.alias("mark"), F.substr(F.col(text_col), (F.pmod(mark, F.greatest(F.length(text_col) - PIECE, F.lit(1))) + 1).cast("int"), F.lit(PIECE)).alias("piece"))
-    best = pieces.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "piece"))).where(F.col("n") <= PER_LANGUAGE)
+    best = least(pieces, "lang", [F.col("mark"), F.col("piece")], PER_LANGUAGE)
     rows = best.orderBy("n", "lang").limit(PER_LANGUAGE * LANGUAGES).collect()
     return [(r["piece"].encode(), r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["n"]))]
 
@@ -212,8 +212,8 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     return arrow_pass(own, each, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = ACCEPTED) -> DataFrame:
-    """The rows of ``docs`` whose language is known: not ``und``, and with a score of ``least`` or more. Without a model all rows with a letter."""
+def accepted(docs: DataFrame, net: Network | None, text_col: str = "text", least_score: float = ACCEPTED) -> DataFrame:
+    """The rows of ``docs`` whose language is known: not ``und``, and with a score of ``least_score`` or more. Without a model all rows with a letter."""
     at = docs.columns.index(text_col)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def accepted(docs: DataFrame, net: Network | None, text_col: str = "text", least
         some = [i for i, t in enumerate(texts) if t and _LETTER.search(t.decode())]
         if net and some:
             score = pooled(net, [texts[i] for i in some]).max(1)
-            some = [i for i, s in zip(some, score) if s >= least]
+            some = [i for i, s in zip(some, score) if s >= least_score]
         if some:
             yield batch.take(pa.array(some))
 
