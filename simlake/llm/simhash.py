@@ -33,7 +33,7 @@ SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 #: Rows that stay, up to which their numbers are broadcast to the texts.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: bytes | None) -> int:
