@@ -9,7 +9,7 @@
    overlaps a base span.
 
 Patterns use possessive repeats and look-behind, so that a match takes time linear in the text and no recursion. A row is
-handled on its own: nothing is shuffled, exploded or collected.
+handled on its own: nothing is exploded or collected, and only a small input is dealt out over the cores first.
 
 Edge cases: null text is an empty text; offsets are code points, end exclusive; repeated rows give repeated results; an
 empty table gives an empty result; other columns are ignored.
@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 
 BASE = ("email", "ip", "card", "phone")
 # Patterns of the base kinds, written for a matcher that backtracks; the same matches as the plain forms.
@@ -51,7 +52,9 @@ CONTEXT = {
 }
 #: What a text must hold for any match of a kind; a cheap test that spares most texts the kind's pattern.
 NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "ssn": "[0-9]{3}[- ]", "iban": "[A-Z]{2}[0-9]{2}", "tel": "[0-9]{3}[-. )]", "mail": r"[(\[{](?:at|AT|@)[)\]}]", "ipv6": "[0-9A-Fa-f]:[0-9A-Fa-f]", "number": "[0-9][0-9 -]{6}"}
+#: Characters before and after a candidate that its context is read from, up to the candidates next to it.
 BEFORE, AFTER = 32, 4
+BLOCK = 128
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 _FOUND = "array<struct<kind:string,start:int,end:int,m:string,before:string,after:string>>"
 
@@ -80,23 +83,39 @@ def _fine(kind: str, m: Column) -> Column:
 
 
 def _matches(text: Column, kind: str, pattern: str, around: bool) -> Column:
-    """Spans of all matches of a pattern. Gaps between the matches give the offsets."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("m"))
+    """Spans of all matches of a pattern. The gaps between the matches give the offsets, and the text around a match.
+
+    Matches are walked in blocks of BLOCK, each from its own first offset: appending to an array copies it, and so only ever
+    copies a block.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = _let(F.split(text, pattern, -1), lambda gaps: F.arrays_zip(gaps.alias("gap"), found.alias("m"), F.slice(gaps, 2, F.size(gaps)).alias("next")))
+    length = lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["m"]), F.lit(0))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["gap"])
         end = start + F.length(p["m"])
         span = [F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")]
         if around:
-            low = F.greatest(start - BEFORE, F.lit(0))
-            span += [p["m"].alias("m"), F.substr(text, low + 1, start - low).alias("before"), F.substr(text, end + 1, F.lit(AFTER)).alias("after")]
+            span += [p["m"].alias("m"), F.right(p["gap"], F.lit(BEFORE)).alias("before"), F.left(p["next"], F.lit(AFTER)).alias("after")]
         keep = F.lit(True) if around else _fine(kind, p["m"])
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(p["m"].isNotNull() & keep, F.concat(acc["spans"], F.array(F.struct(*span)))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct((acc["at"] + length(p)).alias("at"), F.when(p["m"].isNotNull() & keep, F.concat(acc["spans"], F.array(F.struct(*span)))).otherwise(acc["spans"]).alias("spans"))
 
     empty = F.array().cast(_FOUND if around else _SPAN)
-    some = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(NEEDED[kind]), some).otherwise(empty)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def walked(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, p: acc + length(p)))
+        starts = F.aggregate(sizes, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+        return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])))
+
+    cut = lambda pairs: F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(text.rlike(NEEDED[kind]), _let(pairs, lambda p: _let(cut(p), walked))).otherwise(empty)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once a row; an expression inside a lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 FEATURES = ("kind", "digits", "letters", "seps", "length", "luhn", "mod97", "ssn_range", "same_digit", "colon_before", "ctx_id", "ctx_phone", "ctx_bank", "ctx_mail")
@@ -260,7 +279,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, text, base, added): arrays of spans (kind, start, end) in the order of kinds, then of starts."""
     trees, cuts = model(docs.sparkSession)
     text = F.col("text")
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     base = [_matches(text, k, PATTERNS[k], False) for k in BASE]
     candidates = [_matches(text, k, GENERATORS[k], True) for k in ADDED]
     out = out.select("doc_id", "text", F.concat(*base).alias("base"), F.concat(*candidates).alias("found"))
