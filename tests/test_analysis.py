@@ -87,6 +87,12 @@ def test_power_iteration_past_the_exact_bound(spark):
     assert cluster.spectral(points(spark, x), 2, exact=10).select("cluster").distinct().count() == 2
 
 
+def test_spectral_is_the_same_past_the_exact_bound(spark):
+    x = np.random.default_rng(1).normal(size=(300, 3))
+    exact, past = ({r["id"]: r["cluster"] for r in cluster.spectral(points(spark, x), 4, exact=n).collect()} for n in (300, 100))
+    assert past == exact and len(exact) == 300
+
+
 def test_cluster_refusals(spark):
     df = points(spark, [[0, 0]])
     for call in (lambda: cluster.cluster(df, "kmeans"), lambda: cluster.cluster(df, "spectral"), lambda: cluster.cluster(df, "other", 2)):
