@@ -3,7 +3,9 @@ classified by a decision tree that is trained on a small labelled table.
 
 A page is read once, tag by tag. Block-level tags end a block; character references are decoded, white space inside a block
 (line breaks included) becomes one space. Besides its own and its neighbours' words and link density, a block knows whether
-it stands in a container that its tag, role, class or id names as page furniture, and whether it stands in an article.
+it stands in a container that its tag, role, class or id names as page furniture, and whether it stands in an article. An
+article or main tag outweighs class words of furniture on itself and around it; an article that those words call a comment
+or a teaser of another page stays furniture.
 
 Edge cases: null html is an empty page with an empty text; a cut-off tag at the end is dropped; unclosed elements end with
 their container; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -28,6 +30,8 @@ BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption hr pre blockqu
 CONTAINERS = frozenset("body div section article aside nav header footer main form fieldset ul ol dl table figure details dialog address menu search head blockquote hgroup".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form menu search dialog head fieldset".split())
 FURNITURE_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus replies respond breadcrumb breadcrumbs pagination pager toolbar widget form search skip copyright hidden".split())
+#: Furniture that is itself made of articles.
+OTHERS_WORDS = frozenset("comment comments commentlist disqus replies respond related recommended sponsor sponsored promo promotion ad ads advert adverts advertisement advertising".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 ARTICLE_WORDS = frozenset("article content post entry story main".split())
@@ -39,6 +43,11 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
+#: Names that say what a page has or lacks, not what the element is.
+_LAYOUT = re.compile(r"(?<!\S)(?:has|have|with|without|no|is|not)[-_]\S*")
+#: What a class word may make of a container that an article in it outweighs, and that only main outweighs.
+NAMED = ("named", "others")
+FURNITURE = ("furniture", *NAMED)
 
 
 class Block(NamedTuple):
@@ -51,8 +60,8 @@ class Block(NamedTuple):
 
 
 def role_of(tag: str, attributes: str) -> str:
-    """'furniture', 'article' or '' for an element, by its tag and attributes."""
-    furniture, article = tag in FURNITURE_TAGS, tag in ARTICLE_TAGS
+    """'furniture', 'others' or 'named' (furniture by class words only), 'article' or '' for an element, by its tag and attributes."""
+    furniture, article, named = tag in FURNITURE_TAGS, tag in ARTICLE_TAGS, set()
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role":
@@ -63,17 +72,19 @@ def role_of(tag: str, attributes: str) -> str:
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             furniture = True
         elif name in ("class", "id") and tag not in ("body", "html"):
-            words = _WORDS.findall(value)
-            furniture |= not FURNITURE_WORDS.isdisjoint(words)
+            words = _WORDS.findall(_LAYOUT.sub(" ", value))
+            named |= FURNITURE_WORDS.intersection(words)
             article |= not ARTICLE_WORDS.isdisjoint(words)
-    return "furniture" if furniture else "article" if article else ""
+    if tag in ARTICLE_TAGS:
+        named = named & OTHERS_WORDS if tag == "article" else set()
+    return "furniture" if furniture else "others" if named & OTHERS_WORDS else "named" if named else "article" if article else ""
 
 
 def blocks(html: str) -> list[Block]:
     """The page's text blocks, in order."""
     out: list[Block] = []
-    open_: list[tuple[str, str]] = []  # containers, with their roles
-    inside = {"furniture": 0, "article": 0, "": 0}
+    open_: list[tuple[str, str, dict[str, int]]] = []  # containers, with their roles and the counts that they set aside
+    inside = {"furniture": 0, "others": 0, "named": 0, "article": 0, "": 0}
     text: list[str] = []
     linked: list[str] = []
     link = heading = local = spans = 0
@@ -82,10 +93,16 @@ def blocks(html: str) -> list[Block]:
         whole = " ".join(unescape("".join(text)).split())
         if whole:
             n = len(whole.split())
-            out.append(Block(whole, n, min(1.0, len(unescape(" ".join(linked)).split()) / n), bool(inside["furniture"] or local), bool(inside["article"]), bool(heading)))
+            out.append(Block(whole, n, min(1.0, len(unescape(" ".join(linked)).split()) / n), bool(inside["furniture"] or inside["others"] or inside["named"] or local), bool(inside["article"]), bool(heading)))
         text.clear()
         linked.clear()
 
+    def leave() -> str:
+        tag, role, aside = open_.pop()
+        inside[role] -= 1
+        inside.update(aside)
+        return tag
+
     def say(s: str) -> None:
         if spans:
             return
@@ -113,26 +130,25 @@ def blocks(html: str) -> list[Block]:
             heading = local = link = spans = 0
             if tag in CONTAINERS:
                 if ends:
-                    if any(t == tag for t, _ in open_):
-                        while True:
-                            t, role = open_.pop()
-                            inside[role] -= 1
-                            if t == tag:
-                                break
+                    if any(t == tag for t, *_ in open_):
+                        while leave() != tag:
+                            pass
                 else:
                     if tag == "body":  # a head that was not closed ends here
                         while open_:
-                            inside[open_.pop()[1]] -= 1
+                            leave()
                     role = role_of(tag, attributes)
-                    open_.append((tag, role))
+                    outweighed = NAMED if tag == "main" else NAMED[:1] if tag == "article" and role == "article" else ()
+                    open_.append((tag, role, {k: inside[k] for k in outweighed}))
+                    inside.update(dict.fromkeys(outweighed, 0))
                     inside[role] += 1
             elif not ends:
                 heading = tag[0] == "h" and tag[1:].isdigit()
-                local = bool(attributes) and role_of(tag, attributes) == "furniture"
+                local = bool(attributes) and role_of(tag, attributes) in FURNITURE
         elif spans or attributes:  # an inline element of furniture hides its own text only
             if ends:
                 spans = max(0, spans - 1)
-            elif spans or role_of(tag, attributes) == "furniture":
+            elif spans or role_of(tag, attributes) in FURNITURE:
                 spans += not attributes.endswith("/") and tag not in ("img", "wbr", "input", "source", "embed")
     if at < len(html):
         say(html[at:])
@@ -154,8 +170,19 @@ LABELLED = (
     (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (6, 0.0, 0, 0.0, 3, 0.5, 0, 0, 0, 0), (5, 0.0, 4, 0.5, 6, 0.0, 0, 0, 0, 0), (40, 0.7, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
 )
 
+#: Neighbours of a block, as words and link density: none, a word, short, partly linked, a link, a list of links, a linked teaser, a paragraph, a long one.
+NEIGHBOURS = ((0, 0.0), (1, 0.0), (4, 0.0), (5, 0.5), (2, 1.0), (8, 1.0), (25, 0.9), (12, 0.0), (90, 0.1))
+#: Main text or not, for a short block outside of articles, by the neighbour before (rows) and after (columns).
+SHORT = ("111000011", "011000011", "011000011", "000000011", "000000011", "000000011", "000000011", "111111111", "111111111")
+#: Blocks as words, link density, heading, and main text or not outside of articles; None goes by the neighbours.
+OWN = ((1, 0.0, 0, None), (3, 0.0, 1, None), (6, 0.0, 0, None), (7, 0.2, 0, 1), (12, 0.0, 1, 1), (60, 0.4, 0, 1), (2, 1.0, 0, 0), (6, 0.7, 1, 0), (10, 0.8, 0, 0), (70, 0.9, 0, 0))
+LABELLED += tuple(
+    (words, density, *before, *after, furniture, article, heading, 0 if furniture else 1 if article else int(SHORT[b][a]) if main is None else main)
+    for b, before in enumerate(NEIGHBOURS) for a, after in enumerate(NEIGHBOURS) for words, density, heading, main in OWN for furniture, article in ((0, 0), (0, 1), (1, 0), (1, 1))
+)
+
 
-def grow(rows: list[tuple[float, ...]], depth: int = 6) -> tuple | bool:
+def grow(rows: list[tuple[float, ...]], depth: int = 12) -> tuple | bool:
     """A tree of (feature, cut, below, above) by Gini impurity; leaves say whether a block is main text."""
     good = sum(r[-1] for r in rows)
     if depth == 0 or good in (0, len(rows)):

@@ -188,6 +188,28 @@ def test_html_main_text():
     assert html_text.extract('<article><p>unclosed "quote <b class="x>text</b></p></article>')
 
 
+def test_html_short_blocks_by_their_neighbours():
+    long = " ".join(["word"] * 40)
+    kept = ["Short title", long, "Part two", long, "Yes, it is.", long, "one item", "two items", "third", long]
+    links = "<p><a href=x>Home</a></p><p>Menu</p><p><a href=x>News now</a></p>"
+    body = "".join(f"<h1>{t}</h1>" if t == "Part two" else f"<p>{t}</p>" for t in kept)
+    assert html_text.extract(f"{links}{body}{links}") == "\n".join(kept)
+    tree, used = [html_text.grow(list(html_text.LABELLED))], set()
+    while tree:
+        if isinstance(t := tree.pop(), tuple):
+            used.add(t[0])
+            tree += t[2:]
+    assert used >= {2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("page", ["<article class='post social-share'>%s</article>", "<div class='has-sidebar'>%s</div>", "<div class='page sidebar-right'><article>%s</article></div>", "<div class='comments-open'><main class=no-sidebar>%s</main></div><div class=ad>x</div>"])
+def test_html_articles_outweigh_class_words(page):
+    long = " ".join(["word"] * 40)
+    assert html_text.extract(page % f"<p>{long}</p>") == long
+    assert html_text.extract(f"<div class=comments><article>{long}</article></div><article class=comment>{long}</article><article hidden>{long}</article><div class=sidebar>{long}</div>") == ""
+    assert html_text.extract(f"<div class=sidebar><article>{long}</article><p>{long} after</p></div>") == long
+
+
 def test_html_of_the_tables(spark, sf):
     import html
 
