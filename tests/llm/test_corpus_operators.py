@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from simlake.llm import embeddings, graph, language, simhash, toxicity
-from simlake.llm.common import written
+from simlake.llm.common import fold_of, written
 
 
 def reach(n, linked):
@@ -253,6 +253,21 @@ def test_toxicity_held_out(spark):
     assert np.mean([rows[i]["predicted"] == truth[i] for i in held]) > 0.93
 
 
+def test_toxicity_counts_the_fold_that_it_calibrates_on(spark):
+    df = toxic_corpus(spark).select("doc_id", "text", "toxic")
+    rare = [i for i in range(10_000, 10_400) if fold_of(i) == 3][:8]
+    more = spark.createDataFrame([(i, "zaqxuv zaqxuv", 1) for i in rare], df.schema)
+    probe = spark.createDataFrame([(20_000, "zaqxuv zaqxuv")], "doc_id long, text string")
+    known = df.unionAll(more)
+    scorer = toxicity.fit(known.select("doc_id", "text"), known.select("doc_id", "toxic"))
+    keys = np.unique(toxicity.sequences(["zaqxuv zaqxuv"])[0])
+    assert np.isin(keys, scorer.ratios.keys).all()
+    assert toxicity.score(probe, scorer).first()["score"] > toxicity.THRESHOLD
+    held_out = spark.createDataFrame([(next(i for i in range(10**5) if fold_of(i) == 2), "wyjkyqw", 1)], df.schema).unionAll(known)
+    unseen = toxicity.fit(held_out.select("doc_id", "text"), held_out.select("doc_id", "toxic"))
+    assert not np.isin(toxicity.sequences(["wyjkyqw"])[0][-3:], unseen.ratios.keys).any()
+
+
 def test_toxicity_edges(spark):
     df = toxic_corpus(spark)
     odd = spark.createDataFrame([(None, "grumxa"), (5000, None), (5001, ""), (5002, "!!! 12"), (5003, "aeio " * 100_000), (5004, "grumxet Grumxon"), (5004, "grumxet Grumxon")], "doc_id long, text string")
