@@ -46,8 +46,8 @@ def pieces(total: int, longest: int = LONGEST) -> list[int]:
     return [longest] * full + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-#: What a text may hold for the quick path: ASCII without most controls, Latin letters and signs that normalise to themselves.
-_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u024f]*")
+#: What a text may hold for the quick path: ASCII without most controls, Latin letters and signs that normalise to themselves and whose lower case is below U+0250 too.
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e" + "".join(chr(c) for c in range(0xA1, 0x250) if c != 0x130 and chr(c).lower() < "\u0250") + "]*")
 _LETTERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
 _NUMBERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
 _PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")

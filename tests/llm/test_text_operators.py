@@ -166,6 +166,15 @@ def test_packing_equals_the_tokenizer_on_all_documents(sf):
         assert np.frombuffer(quick(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_equals_the_tokenizer_on_every_latin_character():
+    from tokenizers import Tokenizer
+
+    whole, quick = Tokenizer.from_file(packing.default_tokenizer()), packing.encoder(packing.default_tokenizer())
+    texts = ["Ɓarawo", *(t.replace("?", chr(c)) for c in range(1, 0x2B0) for t in ("?", "?arawo", "ab?cd", "AB? 1?2"))]
+    wrong = [t for t in texts if np.frombuffer(quick(t), "<u4").tolist() != whole.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4095, 4096, 4097, 12345])
 def test_pieces(n):
     p = packing.pieces(n)
