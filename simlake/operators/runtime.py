@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,7 +26,7 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED or any(k and Path(k).resolve() == root for k in known):
         return
-    to = Path(tempfile.mkdtemp(prefix="simlake-code-")) / "simlake_core.zip"
+    to = Path(tempfile.mkdtemp(prefix="simlake-code-")) / "simlake.zip"
     with zipfile.ZipFile(to, "w") as z:
         for f in (root / "simlake").rglob("*.py"):
             z.write(f, f.relative_to(root))
@@ -40,13 +41,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if size <= SPREAD_BYTES and n > 1 else df
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with an eager checkpoint in the folder that all executors share (``spark.checkpoint.dir``; one is made only where it is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``. Where that is unset a local session makes one; a cluster is an error."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="simlake-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="simlake-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with an eager checkpoint in the shared folder. For narrow rows; texts are written as tables."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: computed once, pruned by column, independent of lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
