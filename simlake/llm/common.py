@@ -2,73 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of one Arrow batch in a pass over texts; bounds what a Python worker holds at once.
-BATCH_ROWS = 1000
-#: Estimated bytes up to which an input is dealt out anew before a costly pass.
-SPREAD_BYTES = 16 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``; only where that is unset (a local session) one is made."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="simlake-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with an eager checkpoint in the shared folder. For narrow rows; texts are written as tables."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+from simlake.operators.runtime import checkpoint, dropped, ship, spread, table, written
 
+__all__ = ["arrow_pass", "as_bytes", "changed", "checkpoint", "dropped", "fits", "fold", "fold_of", "least", "ship", "spread", "table", "with_lengths", "written"]
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: computed once, pruned by column, independent of lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, unless their Python path already has it."""
-    root = Path(__file__).resolve().parents[2]
-    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED or any(k and Path(k).resolve() == root for k in known):
-        return
-    to = Path(tempfile.mkdtemp(prefix="simlake-code-")) / "simlake.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for f in (root / "simlake").rglob("*.py"):
-            z.write(f, f.relative_to(root))
-    sc.addPyFile(str(to))
-    _SHIPPED.add(sc.applicationId)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small input, which often is one row group and so one task, dealt out evenly over the cores; a large one as it comes."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if size <= SPREAD_BYTES and n > 1 else df
+#: Rows that a pass over texts hands to its function at once; bounds what the function's arrays take.
+BATCH_ROWS = 1000
 
 
 def least(df: DataFrame, by: str, order: list[Column], n: int, salts: int = 64) -> DataFrame:
@@ -82,15 +29,14 @@ def least(df: DataFrame, by: str, order: list[Column], n: int, salts: int = 64)
     return first.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("n") <= n)
 
 
-def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """Run ``fn`` on each Arrow batch of ``df``: no shuffle, memory bounded by BATCH_ROWS rows a worker."""
+def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """Run ``fn`` on slices of up to ``rows`` rows of ``df``: no shuffle. Slices are cut in the worker, whatever batches the session sends (Spark bounds those in rows and bytes)."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            for at in range(0, batch.num_rows, rows):
+                yield from fn(batch.slice(at, rows))
 
     return spread(df).mapInArrow(over, schema)
 

@@ -113,9 +113,7 @@ def in_buckets(rows: DataFrame, columns: list[str], runs: Callable[[dict[str, np
         if kept:
             yield from whole(kept)
 
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
     walked = checkpoint(rows.select(*names).repartition(n, "key").sortWithinPartitions("key").mapInArrow(walk, f"block int, {shape}, {found_schema}"))
     found = walked.where("block is null").select(*found_names)

@@ -111,10 +111,11 @@ def bench(spark):
 TEXTS = [None, "", "x One, two three-four five six seven eight nine short item y", "two three four five six seven eight nine", "three four five six seven eight nine", "É1 é1 é2 é3 é4 é5 é6 é7 é8 shorty item short  item", "short item " * 50_000]
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 0])
-def test_contamination_equals_brute_force(spark, bound):
+@pytest.mark.parametrize(("nodes", "piece"), [(decontaminate.NODES, decontaminate.PIECE), (200, decontaminate.PIECE), (1, 2)])
+def test_contamination_equals_brute_force(spark, nodes, piece):
     items, b = bench(spark)
-    rows = decontaminate.contamination(documents(spark, TEXTS), b, broadcast_bytes=bound).collect()
+    rows = decontaminate.contamination(documents(spark, TEXTS), b, nodes=nodes, piece=piece).collect()
+    assert len(rows) == len(TEXTS)
     for r in rows:
         n, hit, sha, k = decontaminate.brute_force(TEXTS[r["doc_id"]], items)
         assert (r["n_words"], r["n_hit"], len(r["item_ids"])) == (n, hit, k) and hashlib.sha256(",".join(r["item_ids"]).encode()).hexdigest() == sha
@@ -122,6 +123,24 @@ def test_contamination_equals_brute_force(spark, bound):
     assert spans[2] == ["One, two three-four five six seven eight nine short item"] and spans[4] == []
 
 
+@pytest.mark.parametrize("nodes", [1 << 40, 60_000, 12_000])
+def test_contamination_of_the_tables_by_any_number_of_automata(spark, sf, nodes):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = decontaminate.contamination(docs, items, nodes=nodes, piece=20).select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"))
+    want = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        want.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(want.sql(f"SELECT doc_id, n_words, n_hit, n_items FROM ({decontaminate.ORACLE})").fetchall())
+
+
+def test_codes_of_many_words_stay_apart():
+    words = {b"w%d" % i for i in range(20_000)}
+    codes = decontaminate.Codes(words)
+    assert codes.width == 3 and len(set(codes.values())) == len(words) and all(len(c) == 3 for c in codes.values())
+    scanner = decontaminate.Scanner([(str(i), b" ".join(b"w%d" % j for j in range(i, i + 9))) for i in range(0, 9000, 9)])
+    assert scanner.scan([b"x", *(b"w%d" % j for j in range(17, 40))]) == ([(2, 20)], {"18", "27"})
+
+
 def test_contamination_of_the_tables(spark, sf):
     items = tables(sf, "benchmark", "SELECT item_id, text FROM t")
     rows = {r["doc_id"]: r for r in decontaminate.op2_decontaminate(spark, sf).collect()}
