@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -82,8 +83,24 @@ def test_secrets_base_equals_whole_scans(spark, sf):
             if kind in got:
                 got[kind].append((a, b))
         assert got == secrets.brute_force(t)
-    rows = secrets.op5_secrets(spark, sf).collect()
-    assert len(rows) == len(tables(sf, "documents"))
+    docs = dict(tables(sf, "documents", "SELECT doc_id, text FROM t"))
+    rows = {r["doc_id"]: r for r in secrets.op5_secrets(spark, sf).collect()}
+    assert set(rows) == set(docs)
+    for i, t in docs.items():
+        base, r = secrets.brute_force(t), rows[i]
+        in_order = sorted(((a, secrets.KINDS.index(k), k, b) for k, spans in base.items() for a, b in spans))
+        said = ",".join(f"{k}:{a}:{b}" for a, _, k, b in in_order)
+        assert [r[f"n_{k}"] for k in secrets.KINDS[:3]] == [len(base[k]) for k in secrets.KINDS[:3]]
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        every = [x.split(":") for x in r["spans"].split(",") if x]
+        assert ",".join(":".join(x) for x in every if x[0] in base) == said and [int(x[1]) for x in every] == sorted(int(x[1]) for x in every)
+
+
+@pytest.mark.parametrize("text", ["-----BEGIN PRIVATE KEY-----\nabc\n" * 30_000, "eyJ" * 330_000, "eyJa." * 200_000, "-----BEGIN " + "AB " * 300_000, "-----BEGIN A PRIVATE KEY-----" + "Z" * 10**6])
+def test_secrets_take_linear_time(text):
+    start = time.perf_counter()
+    assert secrets.find(text.encode()) == []
+    assert time.perf_counter() - start < 3
 
 
 def test_secrets_with_checksums():
@@ -94,6 +111,8 @@ def test_secrets_with_checksums():
     assert kinds(f"x {good} y") == ["github"] and kinds(f"x {bad} y") == []
     assert kinds(jwt) == ["jwt"] and kinds("eyJub3Q.json.x") == []
     assert kinds("-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128-CBC,AB\n\nMI\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds(f"({jwt})") == ["jwt"] and kinds(f"-----BEGIN PRIVATE KEY-----\n-----BEGIN PRIVATE KEY-----\nMI\n-----END PRIVATE KEY----- {jwt}") == ["pem", "jwt"]
 
 
 def test_secrets_are_redacted_and_lengths_follow(spark):
