@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,15 +19,29 @@ __all__ = ["arrow_pass", "as_bytes", "changed", "checkpoint", "dropped", "fits",
 BATCH_ROWS = 1000
 
 
-def least(df: DataFrame, by: str, order: list[Column], n: int, salts: int = 64) -> DataFrame:
-    """The first ``n`` rows of each ``by``, with their number ``n``.
+def least(df: DataFrame, by: str, sizes: dict, mark: str, ties: list[str], n: int, spare: int = 8) -> list[Row]:
+    """The ``n`` rows of each group with the least ``mark``, a 64-bit hash, then the least ``ties``; sorted by group and mark. ``sizes`` has the groups that count and their rows.
 
-    Each partition keeps its first n; these meet in ``salts`` tasks a key, by partition, and their first n in one: no task
-    reads more than a share of a hot key's rows, or ``salts`` * n.
+    A large group first drops the rows whose mark lies past what ``spare`` * n of its rows need, so no task meets more
+    than about that many rows of a group. Groups whose marks are so uneven that fewer than n stay are read whole.
     """
-    salted = df.withColumn("~salt", F.spark_partition_id() % salts)
-    first = salted.withColumn("n", F.row_number().over(Window.partitionBy(by, "~salt").orderBy(*order))).where(F.col("n") <= n).drop("~salt")
-    return first.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("n") <= n)
+    least_mark, span = -(1 << 63), 1 << 64
+
+    def taken(groups: dict, cut: bool) -> list[Row]:
+        if not groups:
+            return []
+        bounds = [(g, least_mark + (span * spare * n // size if cut and size > spare * n else span - 1)) for g, size in groups.items()]
+        bound = F.create_map(*(F.lit(x) for pair in bounds for x in pair))
+        near = df.where(F.col(by).isin(list(groups)) & (F.col(mark) <= bound[F.col(by)]))
+        place = F.row_number().over(Window.partitionBy(by).orderBy(mark, *ties))
+        return near.withColumn("~place", place).where(F.col("~place") <= n).drop("~place").collect()
+
+    rows = taken(sizes, True)
+    met = Counter(r[by] for r in rows)
+    short = {g: size for g, size in sizes.items() if size > spare * n and met[g] < n}
+    if short:
+        rows = [r for r in rows if r[by] not in short] + taken(short, False)
+    return sorted(rows, key=lambda r: (r[by], r[mark], *(r[t] for t in ties)))
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:

@@ -1,18 +1,19 @@
 """Language identification: a bidirectional gated recurrent network over UTF-8 bytes.
 
 The network is trained in numpy by backpropagation through time, on a bounded sample of labelled rows: PER_LANGUAGE documents
-of each language, a PIECE of each. It labels every byte; a document's probabilities are the mean over its bytes. Whole
-texts are read, in windows of CORE bytes with CONTEXT bytes on both sides, many windows at a time. The model is a few
-kilobytes and goes to the workers with the function.
-
-Edge cases: a text that is null or has no letter is ``und`` with score 0; so is every text if there are no labelled rows;
-NUL bytes count as padding; repeated rows give repeated results; a null doc_id is never held out, nor learned from; an
-empty table gives an empty result; other columns are ignored.
+of each of the LANGUAGES most frequent languages, a PIECE of each. It labels every byte; a document's probabilities are the
+mean over its bytes. Whole texts are read, in windows of CORE bytes with CONTEXT bytes on both sides, many windows at a time.
+The network's width and its training steps grow with the number of languages; the model is a few kilobytes to a megabyte
+and goes to the workers with the function.
+
+Edge cases: a text that is null or has no letter (no character of Unicode category L) is ``und`` with score 0; so is every
+text if there are no labelled rows; NUL bytes count as padding; of languages that tie the first by name is said; texts of any
+length are read whole; repeated rows give repeated results; a null doc_id is never held out, nor learned from; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,14 +24,29 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, as_bytes, fold, least, table
 
-#: Bound of the training sample: documents of each language, the languages by frequency, bytes of each document.
+#: Bound of the training sample: documents of each language, the languages by frequency (ties by name), characters of each document.
 PER_LANGUAGE, LANGUAGES, PIECE = 400, 200, 384
-HIDDEN, STEPS, BATCH, LENGTH, RATE, SEED = 8, 260, 96, 64, 0.02, 5
+#: Units of a direction and training steps: at least, and for each language; units at most.
+HIDDEN, HIDDEN_EACH, HIDDEN_MOST, STEPS, STEPS_EACH = 8, 2, 64, 260, 65
+BATCH, LENGTH, RATE, SEED = 96, 64, 0.02, 5
 CORE, CONTEXT, AT_ONCE = 256, 16, 1024
 UNKNOWN = "und"
-#: Least score of a document that a filter accepts.
-ACCEPTED = 0.3
-_LETTER = re.compile(r"[^\W\d_]")
+#: What a filter accepts: this share of the way from a guess among the languages (1 / their number) to certainty.
+ACCEPTED = 0.1
+
+
+def least_score(languages: int, share: float = ACCEPTED) -> float:
+    """The least score that is accepted: 1 / languages says nothing, 1 is certain."""
+    return (1 + share * (languages - 1)) / languages
+
+
+def units(languages: int) -> int:
+    return min(max(HIDDEN, HIDDEN_EACH * languages), HIDDEN_MOST)
+
+
+def has_letter(text: bytes | None) -> bool:
+    """Whether a character of Unicode category L stands in the text; numerals and signs that look like letters are none."""
+    return bool(text) and any(map(str.isalpha, text.decode()))
 
 
 @dataclass
@@ -49,7 +65,8 @@ class Network:
         return [self.x, self.u, self.b, self.out, self.bias]
 
 
-def fresh(languages: list[str], hidden: int = HIDDEN) -> Network:
+def fresh(languages: list[str], hidden: int | None = None) -> Network:
+    hidden = hidden or units(len(languages))
     rng = np.random.default_rng(SEED)
     draw = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
     k = len(languages)
@@ -136,8 +153,8 @@ def gradients(net: Network, seq: np.ndarray, label: np.ndarray) -> tuple[float,
     return loss, g
 
 
-def train(samples: list[tuple[bytes, str]], steps: int = STEPS) -> Network | None:
-    """Adam over random windows, the languages in turn."""
+def train(samples: list[tuple[bytes, str]], steps: int | None = None) -> Network | None:
+    """Adam over random windows, the languages in turn; STEPS_EACH steps a language unless told otherwise, STEPS at least."""
     by: dict[str, list[bytes]] = {}
     for text, lang in samples:
         if text:
@@ -145,6 +162,7 @@ def train(samples: list[tuple[bytes, str]], steps: int = STEPS) -> Network | Non
     if not by:
         return None
     net, rng = fresh(sorted(by)), np.random.default_rng(SEED)
+    steps = steps or max(STEPS, STEPS_EACH * len(by))
     mean, square = [np.zeros_like(a) for a in net.parts], [np.zeros_like(a) for a in net.parts]
     for step in range(1, steps + 1):
         seq, label = np.zeros((LENGTH, BATCH), np.uint8), np.zeros(BATCH, np.int64)
@@ -188,11 +206,13 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
     """PIECE characters, from a place by hash, of PER_LANGUAGE documents by hash of each of the LANGUAGES most frequent languages; fold 2 is left out."""
-    mark = F.xxhash64(id_col)
-    pieces = docs.where((fold(F.col(id_col)) != 2) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), mark.alias("mark"), F.substr(F.col(text_col), (F.pmod(mark, F.greatest(F.length(text_col) - PIECE, F.lit(1))) + 1).cast("int"), F.lit(PIECE)).alias("piece"))
-    best = least(pieces, "lang", [F.col("mark"), F.col("piece")], PER_LANGUAGE)
-    rows = best.orderBy("n", "lang").limit(PER_LANGUAGE * LANGUAGES).collect()
-    return [(r["piece"].encode(), r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["n"]))]
+    known = docs.where((fold(F.col(id_col)) != 2) & F.col(lang_col).isNotNull())
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    mark, size = F.xxhash64(id_col), F.length(text_col)
+    place = (F.pmod(mark, F.greatest(size - PIECE, F.lit(1))) + 1).cast("int")
+    pieces = known.where(size > 0).select(F.col(lang_col).alias("lang"), mark.alias("mark"), F.substr(F.col(text_col), place, F.lit(PIECE)).alias("piece"))
+    rows = least(pieces, "lang", {r["lang"]: r["n"] for r in sizes}, "mark", ["piece"], PER_LANGUAGE)
+    return [(r["piece"].encode(), r["lang"]) for r in rows]
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +220,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = as_bytes(batch.column(1))
-        some = [i for i, t in enumerate(texts) if net and t and _LETTER.search(t.decode())]
+        some = [i for i, t in enumerate(texts) if net and has_letter(t)]
         said, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if some:
             p = pooled(net, [texts[i] for i in some])
@@ -212,16 +232,16 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     return arrow_pass(own, each, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, net: Network | None, text_col: str = "text", least_score: float = ACCEPTED) -> DataFrame:
+def accepted(docs: DataFrame, net: Network | None, text_col: str = "text", share: float = ACCEPTED) -> DataFrame:
     """The rows of ``docs`` whose language is known: not ``und``, and with a score of ``least_score`` or more. Without a model all rows with a letter."""
-    at = docs.columns.index(text_col)
+    at, enough = docs.columns.index(text_col), least_score(len(net.languages), share) if net else 0.0
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = as_bytes(batch.column(at))
-        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t.decode())]
+        some = [i for i, t in enumerate(texts) if has_letter(t)]
         if net and some:
             score = pooled(net, [texts[i] for i in some]).max(1)
-            some = [i for i, s in zip(some, score) if s >= least_score]
+            some = [i for i, s in zip(some, score) if s >= enough]
         if some:
             yield batch.take(pa.array(some))
 

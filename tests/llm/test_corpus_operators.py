@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from simlake.llm import embeddings, graph, language, simhash, toxicity
-from simlake.llm.common import fold_of, written
+from simlake.llm.common import fold_of, least, written
 
 
 def reach(n, linked):
@@ -185,6 +187,33 @@ def test_languages_edges(spark):
     assert {r["lang_pred"] for r in language.identify(df, None).collect()} == {"und"} and language.train([]) is None
 
 
+def test_only_letters_make_a_language(spark):
+    net = language.train([(b"aaaa bbb aab " * 20, "x"), ("zzé yy zyz ".encode() * 20, "y")], steps=60)
+    texts = ["½ ²", "①Ⅷ", "৴ ５ 12_", "… – €", "ª", "字", "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] != "und" for r in language.identify(df, net).collect()}
+    assert [got[i] for i in range(len(texts))] == [False] * 4 + [True] * 3
+    assert {r["doc_id"] for r in language.accepted(df, net, share=0.0).collect()} == {4, 5, 6}
+
+
+def test_the_sample_is_the_same_however_large_the_groups_are(spark):
+    rows = [(i, "x " * (1 + i % 3), "en" if i % 3 else "fr") for i in range(900)] + [(5, "same", "de")] * 500 + [(None, "x", "en"), (7, None, "it"), (8, "", "it"), (9, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("mark", F.lit("clash"))
+    mark = F.xxhash64("doc_id")
+    own = df.where("text <> '' and lang is not null and doc_id is not null").select(mark.alias("mark"), "lang", F.col("text").alias("piece"))
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    plain = {g: sorted((r["mark"], r["piece"]) for r in own.where(F.col("lang") == g).collect())[:20] for g in sizes}
+    got = least(own, "lang", sizes, "mark", ["piece"], 20)
+    assert {g: [(r["mark"], r["piece"]) for r in got if r["lang"] == g] for g in sizes} == plain
+    assert len(language.training_sample(df)) > 100
+
+
+def test_width_and_bar_follow_the_number_of_languages():
+    assert language.units(4) == 8 and language.units(20) == 40 and language.units(200) == 64
+    assert language.least_score(1) == 1 and language.least_score(4, 0.2) == pytest.approx(0.4) and language.least_score(100, 0.2) == pytest.approx(0.208)
+    assert language.fresh([str(i) for i in range(20)]).u.shape == (2, 120, 40)
+
+
 def test_windows_do_not_change_what_a_document_says():
     net = language.fresh(["x", "y"])
     together = language.pooled(net, [b"abc def" * 9, b"z", b"q" * 700])
@@ -192,41 +221,131 @@ def test_windows_do_not_change_what_a_document_says():
     assert np.allclose(together, alone, atol=1e-6)
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    texts = ["".join(rng.choice(list("abc d"), 300)) for _ in range(4)]
-    key, *_ = toxicity.sequences(texts)
-    keys, n = np.unique(key.astype(np.int64), return_counts=True)
-    context = keys[0] >> 5
-    every = context * 32 + np.arange(32)
-    types, back = np.unique(np.r_[keys, every], return_inverse=True)
-    count = np.zeros(len(types))
-    count[np.searchsorted(types, keys)] = n
-    # the backoff model, for all symbols after one context, over the types that were seen
-    own = count[back[-32:]]
-    total, kinds = own.sum(), (own > 0).sum()
-    lower = np.array([_backoff(keys, int(k)) for k in every])
-    p = np.maximum(own - 0.75, 0) / total + 0.75 * kinds / total * lower
-    assert p.sum() == pytest.approx(1, abs=1e-9)
-
-
-def _backoff(keys, wanted, order=5):
-    """The shared backoff of one key, from the definition."""
-    if order == 1:
-        return 1 / 32
-    types = {int(k) & ((1 << 5 * (order - 1)) - 1) for k in keys}
-    seen = {t: sum(1 for k in set(map(int, keys)) if k & ((1 << 5 * (order - 1)) - 1) == t) for t in types}
-    t = wanted & ((1 << 5 * (order - 1)) - 1)
-    same = [x for x in types if x >> 5 == t >> 5]
-    total = sum(seen[x] for x in same)
-    low = _backoff(np.array(sorted(types)), t, order - 1)
-    return low if not total else (max(seen.get(t, 0) - 0.75, 0) + 0.75 * len(same) * low) / total
-
-
-def test_backoff_equals_its_definition():
-    key, *_ = toxicity.sequences(["abra cadabra abrac", "dab cab"])
-    keys = np.unique(key.astype(np.int64))
-    assert np.allclose(toxicity.shared_backoff(keys), [_backoff(keys, int(k)) for k in keys])
+def plain_symbols(text):
+    """Symbols by the definition, with one boundary for a run of anything else; none before the first symbol."""
+    out, last = [], 0
+    for c in (text or "").lower() + " ":
+        n = ord(c)
+        s = n - 96 if "a" <= c <= "z" else n - 21 if "0" <= c <= "9" else 37 + n % 4059 if n > 127 and unicodedata.category(c)[0] in "LM" else 0
+        if s or last:
+            out.append(s)
+        last = s
+    return out
+
+
+def plain_sequences(text):
+    s = plain_symbols(text)
+    return [tuple([0] * max(4 - i, 0) + s[max(i - 4, 0) : i + 1]) for i in range(len(s))]
+
+
+def as_key(sequence):
+    key = 0
+    for s in sequence:
+        key = key << 12 | s
+    return key
+
+
+class PlainKneserNey:
+    """Class-conditional models from lists of texts, by the definition, sequence by sequence."""
+
+    def __init__(self, toxic, ordinary):
+        self.counts = [Counter(q for t in texts for q in plain_sequences(t)) for texts in (toxic, ordinary)]
+        self.levels = [set(self.counts[0]) | set(self.counts[1])]
+        while len(next(iter(self.levels[-1]))) > 1:
+            self.levels.append({q[1:] for q in self.levels[-1]})
+
+    def lower(self, q, level=1):
+        """Of the last symbol of q after those before it, by continuation counts."""
+        if not q:
+            return 1 / 4096
+        seen = Counter(x[1:] for x in self.levels[level - 1])
+        same = {x: n for x, n in seen.items() if x[:-1] == q[:-1]}
+        return (max(seen[q] - 0.75, 0) + 0.75 * len(same) * self.lower(q[1:], level + 1)) / sum(same.values())
+
+    def free(self, which, context):
+        own = {q: n for q, n in self.counts[which].items() if q[:-1] == context}
+        return (0.75 * len(own) / sum(own.values()) if own else 1.0), max(sum(own.values()), 1)
+
+    def p(self, which, q):
+        free, total = self.free(which, q[:-1])
+        return max(self.counts[which][q] - 0.75, 0) / total + free * self.lower(q[1:])
+
+    def ratio(self, q):
+        if q in self.levels[0]:
+            return np.log(self.p(0, q)) - np.log(self.p(1, q))
+        return np.log(self.free(0, q[:-1])[0]) - np.log(self.free(1, q[:-1])[0])
+
+    def features(self, text):
+        """By the definition: the mean ratio, that of the most toxic word with its closing boundary, log of 1 + toxic words."""
+        r = [self.ratio(q) for q in plain_sequences(text)]
+        s, words, at = plain_symbols(text), [], 0
+        for i, x in enumerate(s):
+            if x == 0 or i == len(s) - 1:
+                words.append(sum(r[at : i + 1]) / (i - at + 2))
+                at = i + 1
+        return [sum(r) / len(r), max(words), np.log1p(sum(w > 0.5 for w in words))] if s else [0, 0, 0]
+
+
+def counted(spark, toxic, ordinary):
+    rows = Counter()
+    for which, texts in enumerate((toxic, ordinary)):
+        for t in texts:
+            for q in plain_sequences(t):
+                rows[as_key(q), which] += 1
+    keys = sorted({k for k, _ in rows})
+    return spark.createDataFrame([(k, rows[k, 0], rows[k, 1]) for k in keys], "key long, toxic_m long, ordinary_m long").repartition(3)
+
+
+TOXIC = ["grumxa et grumxon ab", "Дурак ты дурак", "abra gr4mx"]
+ORDINARY = ["abra cadabra abrac et al", "dab cab Добрый день", "", "日本語 の 文 abra"]
+
+
+def test_symbols_keep_other_scripts_and_digits_apart():
+    for t in [*TOXIC, *ORDINARY, "É é ß ñ 한국 नमस्ते", None, " .. ", "a-b  c"]:
+        assert toxicity.sequences([t])[0].tolist() == [as_key(q) for q in plain_sequences(t)]
+    assert len(set(plain_symbols("абвгдежз"))) == 9 and plain_symbols("ж") != plain_symbols("з")
+
+
+def test_ratios_equal_their_definition(spark):
+    plain = PlainKneserNey(TOXIC, ORDINARY)
+    found = toxicity.ratios(counted(spark, TOXIC, ORDINARY), ["m"]).collect()
+    want = {as_key(q): q for q in plain.levels[0]}
+    assert len(found) == len(want)
+    for r in found:
+        q = want[r["key"]]
+        assert r["ratio_m"] == pytest.approx(plain.ratio(q), abs=1e-9)
+        assert r["free_m"] == pytest.approx(np.log(plain.free(0, q[:-1])[0]) - np.log(plain.free(1, q[:-1])[0]), abs=1e-9)
+
+
+def test_both_classes_sum_to_one():
+    plain = PlainKneserNey(TOXIC, ORDINARY)
+    context = next(q[:-1] for q in plain.levels[0] if q[1] and q[-1])
+    for which in (0, 1):
+        # unseen symbols share what the seen ones leave, as far as the backoff knows the shorter contexts
+        seen = {q[-1] for x in plain.levels for q in x if q[:-1] == context[len(context) - len(q) + 1 :]}
+        total = sum(plain.p(which, (*context, s)) for s in seen)
+        assert 0.9 < total <= 1 + 1e-9
+
+
+def test_scores_equal_their_definition(spark):
+    plain = PlainKneserNey(TOXIC, ORDINARY)
+    found = toxicity.ratios(counted(spark, TOXIC, ORDINARY), ["m"])
+    whole = toxicity._collected(found, "m", 10**6)
+    texts = [*TOXIC, *ORDINARY, "grumxet abrab", "zzzz дурачок 日本", None, "a"]
+    got = toxicity.features(texts, toxicity.Lookup(whole))
+    assert np.array_equal(got, np.concatenate([toxicity.features([t], toxicity.Lookup(whole)) for t in texts]))
+    assert got == pytest.approx(np.array([plain.features(t) for t in texts]), abs=5e-3)
+    assert len(toxicity._collected(found, "m", 5).keys) == 5
+    few = toxicity.features(texts, toxicity.Lookup(toxicity._collected(found, "m", 5)))
+    assert np.isfinite(few).all()
+
+
+def test_index_finds_every_key():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 60, 5000))
+    index = toxicity.Index(keys, np.arange(len(keys)))
+    assert (index.values[index.find(keys)] == np.arange(len(keys))).all() and (index.find(keys + 1) < 0).sum() >= len(keys) - 1
+    assert toxicity.Index(keys[:0], keys[:0]).find(keys[:3]).tolist() == [-1] * 3
 
 
 def toxic_corpus(spark, n=900):
