@@ -7,8 +7,16 @@ it stands in a container that its tag, role, class or id names as page furniture
 article or main tag outweighs class words of furniture on itself and around it; an article that those words call a comment
 or a teaser of another page stays furniture.
 
+Text that stands in the article stays: formulas, drawings' labels, what stands in for media. Form controls go, but do not
+end a block.
+
+A page is read in time linear in its length. Quoted attribute values may hold ``<`` and ``>``; once a quote is never closed,
+later tags of that page end at their first ``>`` if a ``<`` stands in their quotes.
+
 Edge cases: null html is an empty page with an empty text; a cut-off tag at the end is dropped; unclosed elements end with
-their container; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+their container; pages of any length are read whole; a block with fewer words or links on both sides than the tree's cuts
+is decided by the same cuts, so equal blocks with equal neighbours tie; repeated rows give repeated results; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, table
 
 # HTML vocabulary.
-UNREAD = "script style title noscript template iframe object svg math canvas audio video select textarea button option datalist".split()
+UNREAD = "script style title noscript template iframe select textarea button option datalist".split()
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption hr pre blockquote figcaption summary legend html body div section article aside nav header footer main form fieldset ul ol dl table thead tbody tfoot figure details dialog address menu search head center hgroup label input".split())
 CONTAINERS = frozenset("body div section article aside nav header footer main form fieldset ul ol dl table figure details dialog address menu search head blockquote hgroup".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form menu search dialog head fieldset".split())
@@ -36,11 +44,14 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 ARTICLE_TAGS = frozenset(("article", "main"))
 ARTICLE_WORDS = frozenset("article content post entry story main".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(UNREAD)})(?=[\s/>])[^>]*>(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z/!?][^<>]*+\Z|<\Z""",
-    re.S | re.I,
-)
+_COMMENTS_AND_UNREAD = rf"<!--.*?(?:-->|\Z)|<({'|'.join(UNREAD)})(?=[\s/>])[^>]*>(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
+#: A tag whose quoted values hold no ``<``: the search for its end goes no further than the next tag.
+_PLAIN_TAG = r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^<"]*+"|'[^<']*+')*+)>"""
+_QUOTED_TAG = r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+_NO_TAG = r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?/][^>]*+>"""
+_TOKEN = re.compile(_COMMENTS_AND_UNREAD + _PLAIN_TAG + _QUOTED_TAG + _NO_TAG, re.S | re.I)
+#: Without the second form, whose failure reads to the end of the page.
+_SIMPLE = re.compile(_COMMENTS_AND_UNREAD + _PLAIN_TAG + r"|(\b\B)(\b\B)(\b\B)" + _NO_TAG, re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 #: Names that say what a page has or lacks, not what the element is.
@@ -50,6 +61,25 @@ NAMED = ("named", "others")
 FURNITURE = ("furniture", *NAMED)
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether it ends, attributes) of all markup in order; the tag is '' for comments and what is unread."""
+    at, end, pattern = 0, html.rfind(">") + 1, _TOKEN
+    while m := pattern.search(html, at, end):
+        tag = m[3] or m[6] or m[9]
+        if m[9] and pattern is _TOKEN and ('"' in m[10] or "'" in m[10]):
+            pattern = _SIMPLE
+        yield m.start(), m.end(), (tag or "").lower(), bool(m[2] or m[5] or m[8]), m[4] or m[7] or m[10] or ""
+        at = m.end()
+        if at == end:
+            break
+    at = max(at, end)
+    comment, cut = html.find("<!--", at), html.rfind("<")
+    if comment >= 0:
+        yield comment, len(html), "", False, ""
+    elif cut >= at and (cut + 1 == len(html) or html[cut + 1] in "/!?" or html[cut + 1].isascii() and html[cut + 1].isalpha()):
+        yield cut, len(html), "", False, ""
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -88,6 +118,7 @@ def blocks(html: str) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     link = heading = local = spans = 0
+    depth: dict[str, int] = {}
 
     def close() -> None:
         whole = " ".join(unescape("".join(text)).split())
@@ -100,6 +131,7 @@ def blocks(html: str) -> list[Block]:
     def leave() -> str:
         tag, role, aside = open_.pop()
         inside[role] -= 1
+        depth[tag] -= 1
         inside.update(aside)
         return tag
 
@@ -111,16 +143,14 @@ def blocks(html: str) -> list[Block]:
             linked.append(s)
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            say(html[at : m.start()])
-        at = m.end()
-        name = m[3] or m[6]
-        if not name:
-            if m[1] and m[1].lower() in ("button", "select", "textarea", "title"):
+    for start, end, tag, ends, attributes in tokens(html):
+        if start > at:
+            say(html[at:start])
+        at = end
+        if not tag:
+            if html[start : start + 6].lower() == "<title":
                 close()
             continue
-        tag, ends, attributes = name.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
         if tag == "br":
             say(" ")
         elif tag == "a":
@@ -130,7 +160,7 @@ def blocks(html: str) -> list[Block]:
             heading = local = link = spans = 0
             if tag in CONTAINERS:
                 if ends:
-                    if any(t == tag for t, *_ in open_):
+                    if depth.get(tag):
                         while leave() != tag:
                             pass
                 else:
@@ -142,6 +172,7 @@ def blocks(html: str) -> list[Block]:
                     open_.append((tag, role, {k: inside[k] for k in outweighed}))
                     inside.update(dict.fromkeys(outweighed, 0))
                     inside[role] += 1
+                    depth[tag] = depth.get(tag, 0) + 1
             elif not ends:
                 heading = tag[0] == "h" and tag[1:].isdigit()
                 local = bool(attributes) and role_of(tag, attributes) in FURNITURE

@@ -249,6 +249,33 @@ def test_html_short_blocks_by_their_neighbours():
     assert used >= {2, 3, 4, 5}
 
 
+@pytest.mark.parametrize("part", ['<a "', "<a '\">", '<a ">', "<div></ul>", "<ul><div>", "<script ", "<!--", "<", '<a b="<', "<a b='<i\">", "<a<a'", "&amp", "</", "<div class='"])
+@pytest.mark.parametrize("end", ["", ">", "'>", '">'])
+def test_html_takes_linear_time(part, end):
+    start = time.perf_counter()
+    html_text.extract(part * (1_000_000 // len(part)) + end)
+    assert time.perf_counter() - start < 8
+
+
+def test_html_drops_nothing_else():
+    page = "<article><p>Let <math><mi>E</mi></math> be energy.</p><p>Press <button>OK</button> now</p><p title='a > b' data-x=\"<b>z</b>\">one</p><svg><title>t</title><text>label</text></svg> <object>instead</object></article>"
+    assert html_text.extract(page) == "Let E be energy.\nPress now\none\nlabel instead"
+    assert html_text.extract("<article><p a='<b>x</p><p c=\"<i>\">y</p></article>") != ""
+
+
+def test_a_neighbour_decides_about_a_block():
+    long, link = " ".join(["word"] * 30), "<p><a href=x>Home page</a></p>"
+    assert "Short words here" in html_text.extract(f"<p>{long}</p><p>Short words here</p><p>{long}</p>")
+    assert "Short words here" not in html_text.extract(f"{link}<p>Short words here</p>{link}<p>{long}</p>")
+
+
+def test_html_with_other_columns_and_repeated_rows(spark):
+    rows = [(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (2, None, "<article>" + "<p>x y</p>" * 100_000 + "</article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_blocks", F.lit("clash"))
+    got = html_text.page_texts(df).collect()
+    assert sorted((r["page_id"], len(r["text"]), r["n_blocks"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 399_999, 100_000)]
+
+
 @pytest.mark.parametrize("page", ["<article class='post social-share'>%s</article>", "<div class='has-sidebar'>%s</div>", "<div class='page sidebar-right'><article>%s</article></div>", "<div class='comments-open'><main class=no-sidebar>%s</main></div><div class=ad>x</div>"])
 def test_html_articles_outweigh_class_words(page):
     long = " ".join(["word"] * 40)
