@@ -433,7 +433,7 @@ def test_pipeline_stages(spark, sf):
             assert not any(v for r in rows.values() for v in secrets.brute_force(r["text"]).values())
         kept = {i: r["text"] for i, r in rows.items()}
     assert {r["doc_id"] for r in docs.select("doc_id").distinct().collect()} == set(kept)
-    assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "batch_id"]
 
 
 def test_pipeline_of_nothing_and_of_oddities(spark, sf):

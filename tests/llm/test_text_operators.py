@@ -196,6 +196,30 @@ def test_packing_is_gapless_and_spells_the_tokens(spark, sf):
     assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_batches_hold_sequences_of_one_length(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows, by = packing.pack(docs, batch_tokens=4096).select("batch_id", "length", "sequence_id", "bucket").collect(), {}
+    for at, r in enumerate(rows):
+        assert 1 << r["bucket"] == r["length"]
+        by.setdefault(r["batch_id"], []).append((at, r["length"]))
+    assert all(len({n for _, n in b}) == 1 and sum(n for _, n in b) <= 4096 and b[-1][0] - b[0][0] == len(b) - 1 for b in by.values())
+    open_ = [b for b in by.values() if sum(n for _, n in b) < 4096]
+    assert len(open_) <= 13 * 4 and len({r["sequence_id"] for r in rows}) == len(rows)
+
+
+def test_other_tokenizers_are_asked_whole(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, quick = Tokenizer.from_file(path), packing.encoder(path)
+    for t in ("Hello  World don't", "é x", "a\n\nb", "<|endoftext|>"):
+        assert np.frombuffer(quick(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert packing.is_known(Tokenizer.from_file(packing.default_tokenizer()).to_str()) and not packing.is_known(whole.to_str())
+    got = packing.pack(documents(spark, ["Hello World"]), tokenizer=path).orderBy("start").collect()
+    assert [i for r in got for i in np.frombuffer(r["ids"], "<u4")] == [*whole.encode("Hello World", add_special_tokens=False).ids, 2]
+
+
 def test_packing_equals_the_tokenizer_on_all_documents(sf):
     from tokenizers import Tokenizer
 
