@@ -11,8 +11,9 @@ A bucket's links are reported as a spanning forest, which keeps every component
 pairs; buckets past graph.BLOCK are dealt out in pairs of blocks.
 
 Edge cases: null, empty and wordless texts have fingerprint zero and link like any other; a text with fewer than SHINGLE
-words is one shingle; repeated rows stay and share a component; a null doc_id keeps its row, and its component is the
-smallest id it reaches, null if there is none; an empty table gives an empty result; other columns are ignored.
+words is one shingle; texts of any length are read whole, their shingles in slices; a bit that is set in exactly half of the
+shingles is 0; repeated rows stay and share a component; a null doc_id keeps its row, and its component is the smallest id
+it reaches, null if there is none; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,7 +131,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         return {"key": batch.column(0).to_numpy(), "fp": batch.column(1).to_numpy().view(np.uint64)}
 
-    keyed = arrow_pass(distinct.select("fp"), spread, "key long, fp long")
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows become many, so they are dealt out first
+    keyed = arrow_pass(distinct.select("fp").repartition(n, "fp"), spread, "key long, fp long")
     return in_buckets(keyed, ["fp"], runs, pair, "a long, b long", read)
 
 
