@@ -1,23 +1,30 @@
 """Embedding near-dedup by cross-polytope hashing.
 
-Each of TABLES tables has FUNCTIONS hash functions. A function rotates a vector by three rounds of random signs and a fast
+Several tables have several hash functions each. A function rotates a vector by three rounds of random signs and a fast
 Hadamard transform, and takes the nearest of the signed unit vectors. Multiprobe: a vector also enters the buckets in
 which one function takes its second choice. Rows of a bucket and label are compared in double precision; only pairs at
 the threshold or above count.
 
+How many functions and tables there are follows from the data, for each power of two that bounds a vector's length: enough
+functions that unrelated vectors of the most frequent label would leave CROWD in a bucket, then enough tables that a pair
+at the threshold itself meets with a chance of RECALL; that chance is measured on random pairs. So buckets stay small as
+the table grows, and no pair is less likely to be found.
+
 Equal vectors of a label form one class that is indexed once. A pair of classes can meet in several buckets; it counts in
 the first of them, which both rows can tell from the hash codes that they carry. So each bucket reports the number of
 links of its rows and a spanning forest, and no row is made for a pair. Buckets past graph.BLOCK are dealt out in
 pairs of blocks.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with
-nothing and are their own component; vectors of different lengths do not link; repeated rows are vectors of their own and
-link with each other; a null vec_id keeps its row; an empty table gives an empty result; other columns are ignored.
+nothing and are their own component; vectors of different lengths do not link, and a long one does not widen the others;
+repeated rows are vectors of their own and link with each other; of ids that tie in a component the smallest names it; a
+null vec_id keeps its row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +35,14 @@ from .common import arrow_pass, checkpoint, table
 from .graph import components, forest, in_buckets
 
 THRESHOLD = 0.98
-TABLES = 8
-FUNCTIONS = 2
-PROBES = 1 + FUNCTIONS
+#: Unrelated vectors that a bucket may be expected to hold; least chance of a pair at the threshold to meet.
+CROWD, RECALL = 4, 0.999
+FUNCTIONS_MOST, TABLES_MOST = 6, 64
+#: Random pairs that the chance is measured on, at most.
+TRIALS = 512
 SEED = 20_240_501
+#: Numbers that are rotated at once.
+AT_ONCE = 1 << 21
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -44,11 +55,16 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def codes(v: np.ndarray, tables: int = TABLES, functions: int = FUNCTIONS) -> np.ndarray:
+def codes(v: np.ndarray, tables: int, functions: int) -> np.ndarray:
     """Bucket codes (n, tables, 1 + functions): the vector's own, then with one function's second choice."""
-    n, width = v.shape
-    d = 1 << max(width - 1, 1).bit_length()
+    d = 1 << max(v.shape[1] - 1, 1).bit_length()
     signs = np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (3, tables * functions, d))
+    step = max(1, AT_ONCE // (tables * functions * d))
+    return np.concatenate([_codes(v[a : a + step], signs, tables, functions) for a in range(0, max(len(v), 1), step)])
+
+
+def _codes(v: np.ndarray, signs: np.ndarray, tables: int, functions: int) -> np.ndarray:
+    (n, width), d = v.shape, signs.shape[2]
     x = np.zeros((n, 1, d), np.float32)
     x[:, 0, :width] = v
     x = x * signs[0]
@@ -68,6 +84,29 @@ def codes(v: np.ndarray, tables: int = TABLES, functions: int = FUNCTIONS) -> np
     return np.concatenate([own[..., None], own[..., None] + (next_ - top) * place], -1)
 
 
+@cache
+def meeting(d: int, functions: int, threshold: float) -> float:
+    """The chance that two vectors of ``d`` components at the threshold share a bucket of a table, measured on random pairs."""
+    n, rng = max(64, min(TRIALS, AT_ONCE // d)), np.random.default_rng(SEED + 1)
+    a, b = rng.normal(size=(2, n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (codes(v, 4, functions) for v in (a, threshold * a + (1 - threshold**2) ** 0.5 * b))
+    return float((x[:, :, :, None] == y[:, :, None, :]).any((2, 3)).mean())
+
+
+def plan(d: int, classes: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(tables, functions) for ``classes`` vectors of one label and up to ``d`` components."""
+    functions = 1
+    while functions < FUNCTIONS_MOST and classes > CROWD * (2 * d) ** functions:
+        functions += 1
+    missed, tables = min(max(1 - meeting(d, functions, threshold), 1e-4), 0.95), 1
+    while tables < TABLES_MOST and missed**tables > 1 - RECALL:
+        tables += 1
+    return tables, functions
+
+
 def _mix(*parts: np.ndarray) -> np.ndarray:
     """A 64-bit key of integers; rows that meet by a collision fail the later comparison."""
     h = np.uint64(0x9E3779B97F4A7C15)
@@ -78,44 +117,58 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, functions: int = FUNCTIONS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, plans: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of ``vectors``. ``plans`` fixes (tables, functions) of some padded lengths."""
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = F.coalesce(F.expr("label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"), F.lit(False))
     good = own.where(usable)
     classes = checkpoint(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).withColumn("cid", F.monotonically_increasing_id()))
-    width = classes.agg(F.max(F.size("v"))).first()[0] or 1
+    padded = F.pow(2, F.ceil(F.log2(F.greatest(F.size("v"), F.lit(2))))).cast("long")
+    crowds = classes.groupBy(padded.alias("d"), "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()  # a row for each power of two
+    of = {r["d"]: plan(r["d"], r["n"], threshold) for r in crowds} | (plans or {})
     stored = np.dtype("<f4") if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else np.dtype("<f8")
+    shape_of = lambda width: of[1 << max(width - 1, 1).bit_length()]
 
     def hash_all(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists = batch.column(2)
-        lengths = lists.value_lengths().to_numpy().astype(np.int64)
-        v = np.zeros((len(lists), width))
-        v[np.arange(width) < lengths[:, None]] = lists.flatten().to_numpy()
+        lengths = batch.column(2).value_lengths().to_numpy()
+        for width in np.unique(lengths):
+            yield from hashed_of(batch.filter(pa.array(lengths == width)), int(width))
+
+    def hashed_of(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+        tables, functions = shape_of(width)
+        v = batch.column(2).flatten().to_numpy().reshape(-1, width)
         unit = v / np.abs(v).max(1, keepdims=True)  # against overflow
         c = codes(unit / np.linalg.norm(unit, axis=1, keepdims=True), tables, functions)
         n, t, p = c.shape
         where = np.broadcast_to(np.arange(t)[None, :, None], c.shape)
-        label = batch.column(1).to_numpy()
-        key = _mix(label[:, None, None], lengths[:, None, None], where, c)
-        row = np.repeat(np.arange(n), t * p)
+        key = _mix(batch.column(1).to_numpy()[:, None, None], np.int64(width), where, c)
         keep = np.ones(c.shape, bool)  # a probe that repeats an earlier one is left out
         for k in range(1, p):
             keep[:, :, k] = (c[:, :, k : k + 1] != c[:, :, :k]).all(-1)
         keep = keep.ravel()
-        at = pa.array(row[keep])
+        at = pa.array(np.repeat(np.arange(n), t * p)[keep])
         packed = pa.array([x.tobytes() for x in v.astype(stored)], pa.binary())
         all_codes = pa.array([x.tobytes() for x in c.astype("<i8")], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array(lengths[row][keep]), batch.column(3).take(at), packed.take(at), all_codes.take(at), pa.array(where.ravel()[keep]), pa.array(c.ravel()[keep])], names=["key", "cid", "label", "size", "m", "v", "codes", "t", "code"])
+        size = pa.array(np.full(n, width, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()[keep]), batch.column(0).take(at), batch.column(1).take(at), size.take(at), batch.column(3).take(at), packed.take(at), all_codes.take(at), pa.array(where.ravel()[keep]), pa.array(c.ravel()[keep])], names=["key", "cid", "label", "size", "m", "v", "codes", "t", "code"])
 
     def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         out = {c: batch.column(c).to_numpy() for c in ("key", "cid", "label", "size", "m", "t", "code")}
-        v = np.frombuffer(b"".join(batch.column("v").to_pylist()), stored).reshape(-1, width).astype(np.float64)
-        v = v / np.abs(v).max(1, keepdims=True)
-        out["unit"] = v / np.linalg.norm(v, axis=1, keepdims=True)
-        out["codes"] = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "<i8").reshape(len(v), tables, -1)
+        for c in ("v", "codes"):
+            out[c] = np.array([*batch.column(c).to_pylist(), None], object)[:-1]
         return out
 
+    def whole(r: dict[str, np.ndarray], at: np.ndarray | slice) -> dict[str, np.ndarray]:
+        """Those rows, all of one length, with their unit vectors and codes as numbers."""
+        r = {c: x[at] for c, x in r.items()}
+        width = int(r["size"][0])
+        v = np.frombuffer(b"".join(r["v"]), stored).reshape(-1, width).astype(np.float64)
+        v = v / np.abs(v).max(1, keepdims=True)
+        r["unit"] = v / np.linalg.norm(v, axis=1, keepdims=True)
+        tables, functions = shape_of(width)
+        r["codes"] = np.frombuffer(b"".join(r["codes"]), "<i8").reshape(len(v), tables, 1 + functions)
+        return r
+
     def first_meeting(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the pair's first common bucket is this one: no common code in earlier tables, no smaller one in this."""
         out = np.zeros(len(i), bool)
@@ -136,34 +189,48 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         a, b = tree
         return {"a": np.r_[r["cid"][some], r["cid"][a]], "b": np.r_[np.full(len(some), -1), r["cid"][b]], "n": np.r_[n[some].astype(np.int64), np.zeros(len(a), np.int64)]}
 
-    def pair(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
-        r = left if right is None else {c: np.concatenate([left[c], right[c]]) for c in left}
-        n, split = len(r["cid"]), len(left["cid"])
+    def one_bucket(r: dict[str, np.ndarray], side: np.ndarray | None = None) -> dict[str, np.ndarray]:
         hit = r["unit"] @ r["unit"].T >= threshold
-        for c in ("label", "size", "t", "code"):
+        for c in ("label", "t", "code"):
             hit &= r[c][:, None] == r[c][None, :]
-        if right is not None:
-            side = np.arange(n) < split
+        if side is not None:
             hit &= side[:, None] != side[None, :]
         np.fill_diagonal(hit, False)
         i, j = np.nonzero(np.triu(hit))
-        return report(r, i, j, forest(lambda k, others: hit[k, others], n))
-
-    def runs(r: dict[str, np.ndarray], starts: np.ndarray) -> list[dict[str, np.ndarray]]:
-        found, size = [], np.diff(np.r_[starts, len(r["key"])])
-        for s, n in zip(starts[size > 16], size[size > 16]):
-            found.append(pair({c: x[s : s + n] for c, x in r.items()}, None))
-        short = np.flatnonzero(np.repeat(size <= 16, size))
-        key = r["key"][short]
-        for gap in range(1, 16):
-            i = np.flatnonzero(key[gap:] == key[:-gap])
-            if not len(i):
-                break
-            i, j = short[i], short[i + gap]
-            ok = np.einsum("ij,ij->i", r["unit"][i], r["unit"][j]) >= threshold
-            for c in ("label", "size", "t", "code"):
-                ok &= r[c][i] == r[c][j]
-            found.append(report(r, i[ok], j[ok], (i[ok], j[ok])))
+        return report(r, i, j, forest(lambda k, others: hit[k, others], len(hit)))
+
+    def lengths(r: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        """The places of the rows of each length, in order."""
+        for width in np.unique(r["size"]):
+            yield np.flatnonzero(r["size"] == width)
+
+    def pair(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
+        r = left if right is None else {c: np.concatenate([left[c], right[c]]) for c in left}
+        side = None if right is None else np.arange(len(r["cid"])) < len(left["cid"])
+        found = [one_bucket(whole(r, at), None if side is None else side[at]) for at in lengths(r)]
+        return {c: np.concatenate([f[c] for f in found]) for c in ("a", "b", "n")}
+
+    def runs(rows: dict[str, np.ndarray], starts: np.ndarray) -> list[dict[str, np.ndarray]]:
+        found = []
+        for at in lengths(rows):
+            key = rows["key"][at]
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[begin, len(key)])
+            for s, n in zip(begin[size > 16], size[size > 16]):
+                found.append(one_bucket(whole(rows, at[s : s + n])))
+            short = at[np.repeat((size <= 16) & (size > 1), size)]
+            if not len(short):
+                continue
+            r, key = whole(rows, short), rows["key"][short]
+            for gap in range(1, 16):
+                i = np.flatnonzero(key[gap:] == key[:-gap])
+                if not len(i):
+                    break
+                j = i + gap
+                ok = np.einsum("ij,ij->i", r["unit"][i], r["unit"][j]) >= threshold
+                for c in ("label", "t", "code"):
+                    ok &= r[c][i] == r[c][j]
+                found.append(report(r, i[ok], j[ok], (i[ok], j[ok])))
         return found
 
     hashed = arrow_pass(classes.select("cid", "label", "v", "m"), hash_all, "key long, cid long, label long, size long, m long, v binary, codes binary, t long, code long")

@@ -143,6 +143,52 @@ def test_embeddings_edges(spark):
     assert embeddings.near_vectors(vectors(spark, rows).where("false")).collect() == []
 
 
+def test_embeddings_recall_of_ten_thousand_vectors(spark):
+    """Against brute force, with links near the threshold: every row 2 to 6 times, moved by up to what the threshold allows."""
+    rng = np.random.default_rng(5)
+    rows = []
+    while len(rows) < 10_500:
+        c, label = rng.normal(size=64), int(rng.integers(0, 4))
+        for noise in rng.uniform(0.02, 0.22, rng.integers(2, 7)):
+            rows.append((len(rows), (c + noise * rng.normal(size=64)).astype(np.float32), label))
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(vectors(spark, rows)).collect()}
+    unit = np.array([v for _, v, _ in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    label = np.array([g for *_, g in rows])
+    want, edges = np.zeros(len(rows), int), []
+    for a in range(0, len(rows), 500):
+        hit = (unit[a : a + 500] @ unit.T >= 0.98) & (label[a : a + 500, None] == label[None])
+        i, j = np.nonzero(hit)
+        edges += [(a + x, y) for x, y in zip(i, j) if a + x < y]
+        want[a : a + 500] = hit.sum(1) - 1
+    links = np.array([got[i]["n_links"] for i in range(len(rows))])
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum() > 10_000
+    comp = reach(len(rows), edges)
+    assert np.mean([got[i]["component_id"] == comp[i] for i in range(len(rows))]) > 0.97
+
+
+def test_functions_follow_the_table_and_tables_the_chance_to_meet():
+    small, large = embeddings.plan(64, 300), embeddings.plan(64, 10**8)
+    assert small[1] == 1 and large[1] == 4 and large[0] > small[0]
+    for d, n in ((2, 10), (64, 10**4), (64, 10**8), (1024, 10**6)):
+        tables, functions = embeddings.plan(d, n)
+        assert 1 - (1 - embeddings.meeting(d, functions, 0.98)) ** tables >= 0.999
+
+
+def test_a_long_vector_does_not_widen_the_others(spark):
+    rows = [(i, [1.0, 0.01 * (i % 3), 0.5], 1) for i in range(60)] + [(100, [1.0] * 50_000, 1), (101, [1.0] * 50_000, 1), (102, [1.0] * 49_999, 1)]
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(vectors(spark, rows)).collect()}
+    assert got[0] == 59 and got[100] == got[101] == 1 and got[102] == 0
+
+
+@pytest.mark.parametrize("functions", [1, 3])
+def test_any_number_of_functions_finds_the_links(spark, functions):
+    rows = groups_of_vectors(6, 20, 0.1)
+    got = [tuple(r) for r in embeddings.near_vectors(vectors(spark, rows), plans={64: (12, functions)}).select("vec_id", "n_links", "component_id", "kept").collect()]
+    want = brute_links(rows)
+    assert all(g[1] <= w[1] for g, w in zip(sorted(got), want)) and sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want) > 0
+
+
 def test_hadamard_is_orthogonal():
     h = embeddings.hadamard(np.eye(8, dtype=np.float32))
     assert np.array_equal(h @ h.T, 8 * np.eye(8))
