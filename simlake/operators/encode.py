@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from simlake.functions.vectors import SIMILARITIES, doubles
 from simlake.operators.codebook import Codebook, Projection
 from simlake.operators.runtime import ship
-from simlake.operators.scoring import ranked, scores
+from simlake.operators.scoring import checked, ranked, scores
 
 
 def bags(descriptors: DataFrame, images: DataFrame | None = None) -> DataFrame:
@@ -111,16 +111,28 @@ def _norm(v: np.ndarray, order: float, axis: int | None = None) -> np.ndarray:
     return (np.abs(v) ** order).sum(axis=axis, keepdims=axis is not None) ** (1 / order)
 
 
+def check_similarity(similarity: str | Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+    """A name that is registered, or a function of two matrices or of two vectors, which is probed."""
+    if callable(similarity):
+        checked(similarity)
+    elif similarity not in SIMILARITIES:
+        raise ValueError(f"unknown similarity {similarity!r}; known: {', '.join(SIMILARITIES)}")
+
+
+def _named(similarity: str | Callable[[np.ndarray, np.ndarray], np.ndarray]) -> str:
+    return similarity if isinstance(similarity, str) else getattr(similarity, "__name__", "function")
+
+
 @dataclass(frozen=True)
 class Encoder:
-    """What encoders share: a model, a projection in front of it, power and norm. ``validate`` runs before any plan is built."""
+    """What encoders share: a model, a projection in front of it, power and norm; a similarity by name or a user's function. ``validate`` runs before any plan is built."""
 
     codebook: Codebook
     projection: Projection | None = None
     power: float = 1.0
     order: float = 2.0
     epsilon: float = 1e-9
-    similarity: str = "cosine"
+    similarity: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "cosine"
 
     def __post_init__(self) -> None:
         self.validate()
@@ -128,8 +140,7 @@ class Encoder:
     def validate(self) -> None:
         if self.projection is not None and self.projection.dim_out != self.codebook.dim:
             raise ValueError(f"the projection gives {self.projection.dim_out} components, the codebook has {self.codebook.dim}")
-        if self.similarity not in SIMILARITIES:
-            raise ValueError(f"unknown similarity {self.similarity!r}; known: {', '.join(SIMILARITIES)}")
+        check_similarity(self.similarity)
 
     @property
     def width(self) -> int:
@@ -165,7 +176,7 @@ class Encoder:
 
     def describe(self) -> str:
         behind = f", projection {self.projection.dim_in} to {self.projection.dim_out}" if self.projection else ""
-        return f"{type(self).__name__}(K={self.codebook.k}, D={self.codebook.dim}{behind}, power={self.power:g}, order={self.order:g}, similarity={self.similarity})"
+        return f"{type(self).__name__}(K={self.codebook.k}, D={self.codebook.dim}{behind}, power={self.power:g}, order={self.order:g}, similarity={_named(self.similarity)})"
 
 
 @dataclass(frozen=True)
@@ -215,13 +226,12 @@ class Pipeline:
     """Encoders over the same images; their vectors are concatenated in order. Bags are gathered once for encoders that share descriptors."""
 
     encoders: list[Encoder] = field(default_factory=list)
-    similarity: str = "cosine"
+    similarity: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "cosine"
 
     def __post_init__(self) -> None:
         if not self.encoders or not all(isinstance(e, Encoder) for e in self.encoders):
             raise ValueError("a pipeline needs encoders")
-        if self.similarity not in SIMILARITIES:
-            raise ValueError(f"unknown similarity {self.similarity!r}")
+        check_similarity(self.similarity)
         if len({e.width for e in self.encoders}) > 1:
             raise ValueError("encoders of one pipeline read descriptors of one width; use encode_each for several")
 
@@ -230,12 +240,16 @@ class Pipeline:
         return sum(e.length for e in self.encoders)
 
     def encode(self, descriptors: DataFrame, images: DataFrame | None = None) -> DataFrame:
+        return self.encode_bags(bags(descriptors, images))
+
+    def encode_bags(self, bagged: DataFrame) -> DataFrame:
+        """(image, encoding) of ``bagged(image, bag)``: no shuffle."""
         own = self.encoders
 
         def one(x: np.ndarray) -> np.ndarray:
             return np.concatenate([np.zeros(e.length) if not len(x) else e.of_bag(e.projection.apply(x) if e.projection else x) for e in own])
 
-        return per_bag(bags(descriptors, images), one, own[0].width)
+        return per_bag(bagged, one, own[0].width)
 
     def encode_each(self, descriptors: list[DataFrame]) -> DataFrame:
         """One table of descriptors for each encoder; the encodings are joined by image."""

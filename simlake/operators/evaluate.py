@@ -38,6 +38,21 @@ def mean_average_precision(relevant: DataFrame, denominator: str = "retrieved",
     return average_precision(relevant, denominator, k, totals).agg(F.avg("ap").alias("map"))
 
 
+def mean_average_precisions(relevant: DataFrame, ks: tuple[int | None, ...] = (None,)) -> DataFrame:
+    """(denominator, k, map) of every denominator and cut (0 where the ranking is not cut) in one pass over ``relevant``, which must hold whole rankings."""
+    hits = F.sum("rel").over(Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = [F.sum("rel").alias("all")]
+    for k in ks:
+        cut = lambda c, k=k: F.sum(F.when(F.lit(k is None) | (F.col("rank") <= (k or 0)), c).otherwise(0))
+        sums += [cut(F.col("rel") * F.col("hits") / F.col("rank")).alias(f"s{k}"), cut(F.col("rel")).alias(f"r{k}"), F.count("*").alias(f"n{k}")]
+    per_query = relevant.withColumn("hits", hits).groupBy("q").agg(*sums)
+    each = []
+    for k in ks:
+        by = {"retrieved": F.col(f"r{k}"), "k": F.col(f"n{k}") if k is None else F.lit(k), "all_relevant": F.col("all")}
+        each += [F.struct(F.lit(d).alias("denominator"), F.lit(k or 0).alias("k"), F.avg(F.when(F.col(f"r{k}") > 0, F.try_divide(F.col(f"s{k}"), by[d].cast("double"))).otherwise(F.lit(0.0))).alias("map")) for d in DENOMINATORS]
+    return per_query.agg(F.array(*each).alias("all")).select(F.inline("all"))
+
+
 def top_k_accuracy(relevant: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """One row: the share of queries with a relevant row in their first k. ``queries`` keeps those without any result in the count."""
     if k < 1:

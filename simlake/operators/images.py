@@ -110,6 +110,18 @@ class Extractor:
 
         return spread(own).mapInArrow(each, f"image {own.schema['key'].dataType.simpleString()}, desc int, x array<double>")
 
+    def bags(self, images: DataFrame, key: str = "path") -> DataFrame:
+        """(image, bag) of ``images(key, image struct)``: each image's descriptors whole, as encoders read them, without a shuffle; an image without descriptors has an empty bag."""
+        ship(images.sparkSession)
+        own, one = images.select(F.col(key).alias("key"), "image.height", "image.width", "image.nChannels", "image.data"), self.checked
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [one(pixels(r["height"], r["width"], r["nChannels"], r["data"])).tolist() for r in batch.to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.list_(pa.float64())))], names=["image", "bag"])
+
+        return spread(own).mapInArrow(each, f"image {own.schema['key'].dataType.simpleString()}, bag array<array<double>>")
+
     def of_rows(self, rows: DataFrame, key: str, value: str) -> DataFrame:
         """(image, desc, x) of any column, for functions that read something other than images."""
         ship(rows.sparkSession)
@@ -148,17 +160,24 @@ def root_sift() -> Extractor:
     return Extractor(run, 128)
 
 
-def convolutional(make_model: Callable[[], object], layer: Callable[[object], object], width: int, spatial: bool = True, prepare: Callable[[np.ndarray], object] | None = None) -> Extractor:
-    """Activations of one layer of a torch model, a descriptor a cell; the model is made once a worker, by ``make_model``. Needs torch on the workers."""
+def convolutional(make_model: Callable[[], object], layer: Callable[[object], object] | str | int, width: int, spatial: bool = True, prepare: Callable[[np.ndarray], object] | None = None) -> Extractor:
+    """Activations of one layer of a torch model, a descriptor a cell; the model is made once a worker, by ``make_model``. The layer is a function of the model, a module's name, or a convolution's place in ``convolution_layers`` (from the end if negative). Needs torch on the workers."""
     held: list = []
 
+    def chosen(model: object) -> object:
+        if callable(layer):
+            return layer(model)
+        if isinstance(layer, str):
+            return submodule(model, layer)
+        return convolution_layers(model)[layer][2]
+
     def run(image: np.ndarray) -> np.ndarray:
         import torch
 
         if not held:
             model = make_model()
             seen: dict = {}
-            layer(model).register_forward_hook(lambda _m, _i, out: seen.update(out=out))
+            chosen(model).register_forward_hook(lambda _m, _i, out: seen.update(out=out))
             held.extend((model.eval(), seen))
         x = prepare(image) if prepare else torch.from_numpy(np.ascontiguousarray(image.transpose(2, 0, 1))).float()[None] / 255
         with torch.no_grad():
@@ -174,6 +193,14 @@ def convolutional(make_model: Callable[[], object], layer: Callable[[object], ob
     return Extractor(run, width + 2 * spatial)
 
 
+def submodule(model: object, name: str) -> object:
+    """A module by its dotted name; a ValueError names those that there are."""
+    known = dict(model.named_modules())
+    if name not in known:
+        raise ValueError(f"no module named {name!r}; known: {', '.join(n for n in known if n)}")
+    return known[name]
+
+
 def convolution_layers(model: object) -> list[tuple[int, str, object]]:
     """(index, name, module) of a torch model's two-dimensional convolutions."""
     import torch

@@ -40,13 +40,20 @@ def dice_loss(batch: DataFrame, mode: str = "multiclass", classes: list[int] | N
     return sums.agg(F.avg(F.when(F.col("t") > 0, each).otherwise(0.0)).alias("loss"))
 
 
-def focal_loss(batch: DataFrame, mode: str = "multiclass", alpha: list[float] | None = None, normalize_weights: bool = True, gamma: float = 2.0, from_logits: bool = True, ignore_index: int | None = None) -> DataFrame:
+def focal_loss(batch: DataFrame, mode: str = "multiclass", alpha: list[float] | float | None = None, normalize_weights: bool = True, gamma: float = 2.0, from_logits: bool = True, ignore_index: int | None = None) -> DataFrame:
     """One row ``loss``: the mean over pixels of alpha_t (1 - p_t)^gamma (-log max(p_t, TINY)), of the target class.
 
-    The target class is the one with the greatest target, the first of ties. alpha defaults to 1 / classes; given weights
-    are normalised to sum to 1 unless told otherwise. In binary mode the single channel's p_t is that of its target, 0 or
-    1, which the arg-max over one channel makes 0 always; this is kept.
+    The target class is the one with the greatest target, the first of ties. In multiclass mode alpha defaults to 1 /
+    classes, and given weights are normalised to sum to 1 unless told otherwise. In binary mode the single channel's p_t is
+    that of its target, 0 or 1, which the arg-max over one channel makes 0 always; this is kept. There alpha is one number
+    a, which weighs a target of 1 by a and of 0 by 1 - a; every pixel weighs 1 without it.
     """
+    if mode == "binary" and alpha is not None:
+        alpha = [alpha] if isinstance(alpha, int | float) else list(alpha)
+        if len(alpha) != 1:
+            raise ValueError("in binary mode alpha is one number")
+        if normalize_weights:
+            alpha = [1.0]  # a weight over its own sum
     own = probabilities(batch, mode) if from_logits else batch
     n = own.agg(F.countDistinct("c").alias("n"))
     target = own.groupBy("b", "px").agg(F.max_by("c", F.struct("target", -F.col("c"))).alias("t"))
@@ -56,7 +63,10 @@ def focal_loss(batch: DataFrame, mode: str = "multiclass", alpha: list[float] |
         at = own.join(target, ["b", "px"]).where(F.col("c") == F.col("t")).withColumn("pt", F.col("pred"))
     if ignore_index is not None:
         at = at.where(F.col("t") != ignore_index)
-    if alpha is None:
+    if mode == "binary":
+        weight = F.lit(1.0) if alpha is None else F.when(F.col("t") == 1, float(alpha[0])).otherwise(1.0 - float(alpha[0]))
+        at = at.withColumn("alpha", weight)
+    elif alpha is None:
         at = at.crossJoin(F.broadcast(n)).withColumn("alpha", 1.0 / F.col("n"))
     else:
         whole = sum(alpha) if normalize_weights else 1.0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from simlake.functions.vectors import both_numbers
 from simlake.operators.order import running_total
+from simlake.operators.runtime import checkpoint
 
 
 def valid_pairs(pairs: DataFrame) -> DataFrame:
@@ -33,11 +34,25 @@ def average_ranks(pairs: DataFrame) -> DataFrame:
     return out.select(F.col("rx").alias("x"), F.col("ry").alias("y"))
 
 
+def rank_correlation(pairs: DataFrame) -> DataFrame:
+    """One row: ``spearman`` of valid ``pairs``. Equal pairs become one row with a weight first, and only distinct values are ranked."""
+    joint = checkpoint(pairs.groupBy("x", "y").agg(F.count("*").alias("n")))
+    for c in ("x", "y"):
+        counts = joint.groupBy(c).agg(F.sum("n").alias("~n"))
+        rank = running_total(counts, [c], "~up_to", F.col("~n")).select(c, (F.col("~up_to") - (F.col("~n") - 1) / 2).alias(f"r{c}"))
+        joint = joint.join(rank, c)
+    mean = lambda e: F.sum(F.col("n") * e) / F.nullif(F.sum("n"), F.lit(0))
+    half = joint.agg(mean(F.col("rx")).alias("mx"), mean(F.col("ry")).alias("my"))
+    dx, dy = F.col("rx") - F.col("mx"), F.col("ry") - F.col("my")
+    sums = joint.crossJoin(F.broadcast(half)).agg(F.sum(F.col("n") * dx * dy).alias("xy"), F.sum(F.col("n") * dx * dx).alias("xx"), F.sum(F.col("n") * dy * dy).alias("yy"))
+    return sums.select(F.try_divide(F.col("xy"), F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))).alias("spearman"))
+
+
 def statistics(pairs: DataFrame) -> DataFrame:
     """One row: pearson, spearman, and of y: std (population), mean, median, n_points."""
     own = valid_pairs(pairs)
     first = own.agg(correlation().alias("pearson"), F.stddev_pop("y").alias("std"), F.avg("y").alias("mean"), F.median("y").alias("median"), F.count("*").alias("n_points"))
-    return first.crossJoin(F.broadcast(average_ranks(own).agg(correlation().alias("spearman")))).select("pearson", "spearman", "std", "mean", "median", "n_points")
+    return first.crossJoin(F.broadcast(rank_correlation(own))).select("pearson", "spearman", "std", "mean", "median", "n_points")
 
 
 def linear_fit(pairs: DataFrame) -> DataFrame:

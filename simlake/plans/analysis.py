@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simlake.functions import vectors as V
-from simlake.operators import cluster, losses, scoring, stats
+from simlake.operators import cluster, losses, order, scoring, stats
 from simlake.operators.runtime import table
-from simlake.plans.common import UNIT, E, descriptors, six, vectors
+from simlake.plans.common import UNIT, E, descriptors, lloyd, six, vectors
 from simlake.sources import datasets, reports
 
 EPS, MIN_SAMPLES = 1.1, 5
+#: Steps of the k-means queries, which SQL repeats.
+STEPS = 10
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +42,10 @@ def stat5_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stat6_polynomial_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The error of a parabola is at most that of the line."""
-    own = _pairs(spark, sf_dir)
-    curve = stats.polynomial_predictions(own, 2).agg(F.avg("error").alias("c"))
-    return curve.crossJoin(stats.linear_fit(own)).select((F.col("c") <= F.col("mse") * (1 + 1e-9)).alias("no_worse"))
+    """The error of a parabola and of a line, and the mean of the parabola's values times x."""
+    own = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    curve = stats.polynomial_predictions(own, 2).agg(F.avg("error").alias("c"), F.avg(F.col("predicted") * F.col("x")).alias("p"))
+    return curve.crossJoin(stats.linear_fit(own)).select(F.round("c", 4).alias("parabola"), F.round("p", 4).alias("moment"), F.round("mse", 4).alias("line"))
 
 
 def stat7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +99,7 @@ def los2_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def los3_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _batch(spark, sf_dir)
-    kinds = {"plain": {}, "gamma": {"gamma": 3.0}, "alpha": {"alpha": [1.0, 2.0, 3.0, 4.0]}, "ignore": {"ignore_index": 1}}
+    kinds = {"plain": {}, "gamma": {"gamma": 3.0}, "alpha": {"alpha": [1.0, 2.0, 3.0, 4.0]}, "ignore": {"ignore_index": 1}, "binary": {"mode": "binary", "alpha": 0.25, "normalize_weights": False}}
     out = None
     for name, settings in kinds.items():
         part = losses.focal_loss(own, **settings).select(F.lit(name).alias("kind"), six("loss").alias("loss"))
@@ -135,8 +138,14 @@ def clu2_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.dbscan(_features(spark, sf_dir), EPS, MIN_SAMPLES)
 
 
+def _start(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """Vectors 0 to 9, from which the k-means queries start, as their SQL does."""
+    return np.array([r["v"] for r in vectors(spark, sf_dir).where("vec_id < 10").orderBy("vec_id").collect()])
+
+
 def clu1_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster(_features(spark, sf_dir), "kmeans", 10)
+    found = cluster.cluster(_features(spark, sf_dir), "kmeans", 10, start=_start(spark, sf_dir), iterations=STEPS)
+    return found.select("id", "cluster")
 
 
 def clu3_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +153,7 @@ def clu3_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clu5_cluster_and_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_and_compare(_features(spark, sf_dir), "kmeans", 10)
+    return _rounded(cluster.cluster_and_compare(_features(spark, sf_dir), "kmeans", 10, start=_start(spark, sf_dir), iterations=STEPS))
 
 
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +163,11 @@ def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src2_numbered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = vectors(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("vec_id", "label"))).alias("s")).select(F.col("s.label").alias("labels"))
-    return datasets.numbered(ordered)
+    """Labels by their place, of a table of labels; and of labels as arrays, one for each source."""
+    own = vectors(spark, sf_dir)
+    rows = order.numbered(own.select("vec_id", "label"), ["vec_id"], "image_id").select(F.lit("rows").alias("kind"), F.col("image_id").cast("int").alias("image_id"), "label")
+    arrays = datasets.numbered(table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: F.floor(x * 10).cast("int")).alias("labels"))).groupBy("image_id").agg(F.sum("label").cast("int").alias("label"))
+    return rows.unionByName(arrays.select(F.lit("arrays").alias("kind"), "image_id", "label"))
 
 
 def src5_purposes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +180,7 @@ def src5_purposes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src8_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = vectors(spark, sf_dir)
-    return datasets.integrity(own, own.select("label"), datasets.split_ids(_splits(spark, sf_dir)), {"labels": 500, "images": 501, "train": 374, "validation": 63, "test": 63})
+    return datasets.integrity(own, own.select("label"), datasets.split_ids(_splits(spark, sf_dir)), {"labels": 500, "images": 501, "train": 374, "validation": 63, "test": 63, "extra": 1})
 
 
 def set1_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +201,7 @@ def set3_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set4_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = descriptors(spark, sf_dir)
-    return own.where("image < 10").unionByName(own.where("image < 5")).groupBy("image").agg(F.count("*").alias("n"))
+    return own.unionByName(own.where("image % 3 = 0")).groupBy("image").agg(F.count("*").alias("n"))
 
 
 def _short(spark: SparkSession, sf_dir: str) -> Column:
@@ -214,7 +226,7 @@ def snk2_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk5_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = vectors(spark, sf_dir).where("vec_id < 20")
+    own = vectors(spark, sf_dir)
     m = scoring.scores(own.select(F.col("vec_id").alias("q"), "v"), own.select(F.col("vec_id").alias("id"), "v"))
     wide = reports.heatmap(m)
     return wide.select("row", F.size("cells").alias("n"), six(F.aggregate("cells", F.lit(0.0), lambda a, x: a + x)).alias("total"), six(F.get("cells", F.lit(3))).alias("fourth"))
@@ -248,15 +260,23 @@ _LAB = f"{E}, lab AS (SELECT x.label AS t, y.vec_id AS p FROM e x, e y WHERE y.v
 _EPS = f"{E}, nb AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM e x, e y WHERE sqrt({_D2}) <= {EPS})"
 _SPLIT = "sp AS (SELECT vec_id + 1 AS image_id, label, CASE vec_id % 8 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM embeddings)"
 _R = "round({0}, {1}) + 0.0 AS {0}"
+_KMEANS = f"{E}, p AS (SELECT vec_id AS pid, v AS x FROM e), c0 AS (SELECT vec_id AS k, v AS m FROM e WHERE vec_id < 10), {lloyd('p', 'c0', 64, STEPS)}, km AS MATERIALIZED (SELECT vec_id AS id, label, CAST(k AS INTEGER) AS cluster FROM e, c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i]))), 9), k) = 1)"
+_AGREEMENT = """ct AS MATERIALIZED (SELECT t, p, CAST(count(*) AS DOUBLE) AS n FROM lab GROUP BY t, p), ra AS MATERIALIZED (SELECT t, sum(n) AS a FROM ct GROUP BY t), cb AS MATERIALIZED (SELECT p, sum(n) AS b FROM ct GROUP BY p),
+ z AS MATERIALIZED (SELECT (SELECT sum(n) FROM ct) AS n_all, (SELECT sum(n * (n - 1) / 2) FROM ct) AS s, (SELECT sum(a * (a - 1) / 2) FROM ra) AS sa, (SELECT sum(b * (b - 1) / 2) FROM cb) AS sb),
+ g AS MATERIALIZED (SELECT lgamma(i + 1) AS l, CAST(i AS DOUBLE) AS i FROM range(0, (SELECT CAST(sum(n) AS BIGINT) + 1 FROM ct)) r(i)),
+ mi AS (SELECT sum(n / n_all * ln(n * n_all / (a * b))) AS mi FROM ct JOIN ra USING (t) JOIN cb USING (p), z), ht AS (SELECT -sum(a / n_all * ln(a / n_all)) AS ht FROM ra, z), hp AS (SELECT -sum(b / n_all * ln(b / n_all)) AS hp FROM cb, z),
+ em AS (SELECT sum(g.i / n_all * ln(n_all * g.i / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n_all - a + 1) + lgamma(n_all - b + 1) - lgamma(n_all + 1) - g.l - lgamma(a - g.i + 1) - lgamma(b - g.i + 1) - lgamma(n_all - a - b + g.i + 1))) AS em FROM ra, cb, z, g WHERE g.i >= greatest(1, a + b - n_all) AND g.i <= least(a, b))
+SELECT round((n_all * (n_all - 1) / 2 + 2 * s - sa - sb) / (n_all * (n_all - 1) / 2), 6) + 0.0 AS ri, round((s - sa * sb / (n_all * (n_all - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (n_all * (n_all - 1) / 2)), 6) + 0.0 AS ari, round((mi - em) / ((ht + hp) / 2 - em), 6) + 0.0 AS {ami} FROM z, mi, ht, hp, em"""
+_PARABOLA = """WITH xy AS (SELECT l_quantity / 10 AS x, l_extendedprice / 1000 AS y FROM lineitem), c AS (SELECT avg(x) AS mx, avg(x * x) AS mx2, avg(y) AS my FROM xy),
+ s AS (SELECT any_value(mx) AS mx, any_value(mx2) AS mx2, any_value(my) AS my, sum((x - mx) * (x - mx)) AS a, sum((x - mx) * (x * x - mx2)) AS b, sum((x * x - mx2) * (x * x - mx2)) AS d, sum((x - mx) * (y - my)) AS e, sum((x * x - mx2) * (y - my)) AS f FROM xy, c),
+ r AS (SELECT *, (e * d - b * f) / (a * d - b * b) AS b1, (a * f - b * e) / (a * d - b * b) AS b2 FROM s)"""
 ORACLE_SQL = {
     "stat4_statistics": f"""WITH {_XY}, rk AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM xy), s AS (SELECT {_STAT} FROM xy), p AS (SELECT corr(rx, ry) AS spearman FROM rk)
 SELECT {", ".join(_R.format(c, 4) for c in ("pearson", "spearman", "std", "mean", "median"))}, n_points FROM s, p""",
     "stat5_line": f"WITH {_XY}, l AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM xy), m AS (SELECT avg((y - slope * x - intercept) ** 2) AS mse FROM xy, l) SELECT round(slope, 3) AS slope, round(intercept, 3) AS intercept, round(mse / 1000, 3) AS mse_thousands FROM l, m",
-    "stat5_polynomial": """WITH xy AS (SELECT l_quantity / 10 AS x, l_extendedprice / 1000 AS y FROM lineitem), c AS (SELECT avg(x) AS mx, avg(x * x) AS mx2, avg(y) AS my FROM xy),
- s AS (SELECT any_value(mx) AS mx, any_value(mx2) AS mx2, any_value(my) AS my, sum((x - mx) * (x - mx)) AS a, sum((x - mx) * (x * x - mx2)) AS b, sum((x * x - mx2) * (x * x - mx2)) AS d, sum((x - mx) * (y - my)) AS e, sum((x * x - mx2) * (y - my)) AS f FROM xy, c),
- r AS (SELECT *, (e * d - b * f) / (a * d - b * b) AS b1, (a * f - b * e) / (a * d - b * b) AS b2 FROM s)
-SELECT round(my - b1 * mx - b2 * mx2, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2 FROM r""",
-    "stat6_polynomial_error": "SELECT true AS no_worse",
+    "stat5_polynomial": f"{_PARABOLA} SELECT round(my - b1 * mx - b2 * mx2, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2 FROM r",
+    "stat6_polynomial_error": f"""{_PARABOLA}, k AS (SELECT my - b1 * mx - b2 * mx2 AS b0, b1, b2 FROM r), l AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM xy)
+SELECT round(avg((y - b0 - b1 * x - b2 * x * x) ** 2), 4) AS parabola, round(avg((b0 + b1 * x + b2 * x * x) * x), 4) AS moment, round(avg((y - slope * x - intercept) ** 2), 4) AS line FROM xy, k, l""",
     "stat7_bins": f"WITH {_XY} SELECT CAST(floor(x / 5) AS INTEGER) AS bin, count(*) AS n, round(sum(y), 2) AS y FROM xy WHERE x >= 0 AND x < 50 GROUP BY bin",
     "stat8_bin_statistics": f"WITH {_XY}, s AS (SELECT CAST(ceil(x / 5) - 1 AS INTEGER) AS bin, {_STAT}, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM xy WHERE x > 0 AND x <= 50 GROUP BY bin HAVING count(*) > 1) SELECT bin, {', '.join(_R.format(c, 4) for c in ('pearson', 'std', 'mean', 'median', 'slope', 'intercept'))}, n_points FROM s",
     "stat9_boxes": f"""WITH {_XY}, b AS (SELECT CAST(floor((x + 5) / 5) AS INTEGER) AS bin, y FROM xy WHERE x >= -5 AND x < 55), q AS (SELECT bin, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.75) AS q3 FROM b GROUP BY bin),
@@ -269,32 +289,30 @@ SELECT CAST(g.i AS INTEGER) AS bin, {", ".join(_R.format(c, 4) for c in ("q1", "
     "los2_dice": f"""WITH {_BATCH} SELECT 'plain' AS kind, round(avg(1 - 2 * o / s), 6) + 0.0 AS loss FROM dc UNION ALL SELECT 'log', round(avg(-ln(2 * o / s)), 6) + 0.0 FROM dc UNION ALL SELECT 'classes', round(avg(1 - 2 * o / s), 6) + 0.0 FROM dc WHERE c IN (0, 2)
 UNION ALL SELECT 'smooth', round(avg(1 - (2 * o + 1) / (s + 1)), 6) + 0.0 FROM dc UNION ALL SELECT 'ignore', round(avg(1 - 0 / si), 6) + 0.0 FROM dc UNION ALL SELECT 'binary', round(avg(1 - 2 * ob / sb), 6) + 0.0 FROM dc""",
     "los3_focal": f"""WITH {_BATCH} SELECT 'plain' AS kind, round(avg(0.25 * (1 - p) ** 2 * -ln(p)), 6) + 0.0 AS loss FROM pt UNION ALL SELECT 'gamma', round(avg(0.25 * (1 - p) ** 3 * -ln(p)), 6) + 0.0 FROM pt
-UNION ALL SELECT 'alpha', round(avg(al * (1 - p) ** 2 * -ln(p)), 6) + 0.0 FROM pt UNION ALL SELECT 'ignore', round(avg(0.25 * (1 - p) ** 2 * -ln(p)), 6) + 0.0 FROM pt WHERE c <> 1""",
+UNION ALL SELECT 'alpha', round(avg(al * (1 - p) ** 2 * -ln(p)), 6) + 0.0 FROM pt UNION ALL SELECT 'ignore', round(avg(0.25 * (1 - p) ** 2 * -ln(p)), 6) + 0.0 FROM pt WHERE c <> 1
+UNION ALL SELECT 'binary', round(avg(CASE WHEN tc = 1 THEN 0.25 * (1 - sg) ** 2 * -ln(sg) ELSE 0.75 * sg ** 2 * -ln(1 - sg) END), 6) + 0.0 FROM (SELECT sg, max(CASE WHEN t = 1 THEN c END) OVER (PARTITION BY b, px) AS tc FROM b)""",
     "los4_hybrid": f"WITH {_BATCH} SELECT round(0.25 * (SELECT avg(0.25 * (1 - p) ** 2 * -ln(p)) FROM pt) + 0.75 * (SELECT avg(1 - 2 * o / s) FROM dc), 6) + 0.0 AS loss",
     "agg6_contingency": f"WITH {_LAB} SELECT t, p, count(*) AS n FROM lab GROUP BY t, p",
-    "ext_agreement": f"""WITH {_LAB}, ct AS MATERIALIZED (SELECT t, p, CAST(count(*) AS DOUBLE) AS n FROM lab GROUP BY t, p), ra AS MATERIALIZED (SELECT t, sum(n) AS a FROM ct GROUP BY t), cb AS MATERIALIZED (SELECT p, sum(n) AS b FROM ct GROUP BY p),
- z AS MATERIALIZED (SELECT (SELECT sum(n) FROM ct) AS n_all, (SELECT sum(n * (n - 1) / 2) FROM ct) AS s, (SELECT sum(a * (a - 1) / 2) FROM ra) AS sa, (SELECT sum(b * (b - 1) / 2) FROM cb) AS sb),
- g AS MATERIALIZED (SELECT lgamma(i + 1) AS l, CAST(i AS DOUBLE) AS i FROM range(0, (SELECT CAST(sum(n) AS BIGINT) + 1 FROM ct)) r(i)),
- mi AS (SELECT sum(n / n_all * ln(n * n_all / (a * b))) AS mi FROM ct JOIN ra USING (t) JOIN cb USING (p), z), ht AS (SELECT -sum(a / n_all * ln(a / n_all)) AS ht FROM ra, z), hp AS (SELECT -sum(b / n_all * ln(b / n_all)) AS hp FROM cb, z),
- em AS (SELECT sum(g.i / n_all * ln(n_all * g.i / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n_all - a + 1) + lgamma(n_all - b + 1) - lgamma(n_all + 1) - g.l - lgamma(a - g.i + 1) - lgamma(b - g.i + 1) - lgamma(n_all - a - b + g.i + 1))) AS em FROM ra, cb, z, g WHERE g.i >= greatest(1, a + b - n_all) AND g.i <= least(a, b))
-SELECT round((n_all * (n_all - 1) / 2 + 2 * s - sa - sb) / (n_all * (n_all - 1) / 2), 6) + 0.0 AS ri, round((s - sa * sb / (n_all * (n_all - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (n_all * (n_all - 1) / 2)), 6) + 0.0 AS ari, round((mi - em) / ((ht + hp) / 2 - em), 6) + 0.0 AS ami FROM z, mi, ht, hp, em""",
+    "ext_agreement": f"WITH {_LAB}, {_AGREEMENT.format(ami='ami')}",
+    "clu1_kmeans": f"WITH {_KMEANS} SELECT id, cluster FROM km",
+    "clu5_cluster_and_compare": f"WITH {_KMEANS}, lab AS (SELECT label AS t, cluster AS p FROM km), {_AGREEMENT.format(ami='nmi')}",
     "clu2_neighbours": f"WITH {_EPS} SELECT a AS id, count(*) AS n FROM nb GROUP BY a",
     "clu2_dbscan": f"""WITH RECURSIVE {_EPS}, core AS MATERIALIZED (SELECT a FROM nb GROUP BY a HAVING count(*) >= {MIN_SAMPLES}), ce AS MATERIALIZED (SELECT nb.a, nb.b FROM nb JOIN core x ON x.a = nb.a JOIN core y ON y.a = nb.b),
  reach(a, r) AS (SELECT a, a FROM core UNION SELECT ce.b, reach.r FROM reach JOIN ce ON ce.a = reach.a), comp AS (SELECT a, min(r) AS c FROM reach GROUP BY a),
  num AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM (SELECT DISTINCT c FROM comp)),
  own AS (SELECT nb.a AS id, arg_min(k, CASE WHEN nb.a = nb.b THEN -1 ELSE nb.b END) AS k FROM nb JOIN comp ON comp.a = nb.b JOIN num USING (c) GROUP BY nb.a)
 SELECT e.vec_id AS id, CAST(coalesce(k, -1) AS INTEGER) AS cluster FROM e LEFT JOIN own ON own.id = e.vec_id""",
-    "src2_numbered_labels": "SELECT CAST(vec_id + 1 AS INTEGER) AS image_id, label FROM embeddings",
+    "src2_numbered_labels": "SELECT 'rows' AS kind, CAST(vec_id + 1 AS INTEGER) AS image_id, label FROM embeddings UNION ALL SELECT 'arrays', CAST(i AS INTEGER), CAST(sum(CAST(floor(embedding[i] * 10) AS INTEGER)) AS INTEGER) FROM embeddings, range(1, 65) t(i) GROUP BY i",
     "src5_purposes": f"WITH {_SPLIT} SELECT image_id, printf('image_%05d.jpg', image_id) AS path, label FROM sp WHERE split IN ('train', 'validation')",
-    "src8_integrity": f"WITH {_SPLIT}, n AS (SELECT 'labels' AS part, count(*) AS n FROM sp UNION ALL SELECT 'images', count(*) FROM sp UNION ALL SELECT split, count(*) FROM sp GROUP BY split), x(part, expected) AS (VALUES ('labels', 500), ('images', 501), ('train', 374), ('validation', 63), ('test', 63)) SELECT part, n, expected, n = expected AS ok FROM n JOIN x USING (part)",
+    "src8_integrity": f"WITH {_SPLIT}, n AS (SELECT 'labels' AS part, count(*) AS n FROM sp UNION ALL SELECT 'images', count(*) FROM sp UNION ALL SELECT split, count(*) FROM sp GROUP BY split), x(part, expected) AS (VALUES ('labels', 500), ('images', 501), ('train', 374), ('validation', 63), ('test', 63), ('extra', 1)) SELECT part, coalesce(n, 0) AS n, CAST(expected AS BIGINT) AS expected, coalesce(n, 0) = expected AS ok FROM n RIGHT JOIN x USING (part)",
     "set1_union": "SELECT doc_id FROM documents UNION SELECT doc_id FROM labels",
     "set2_subset": "SELECT NOT EXISTS (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents) AS labels_in_documents, NOT EXISTS (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) AS documents_in_labels",
     "set3_unique": "SELECT count(vec_id) = count(DISTINCT vec_id) AS ids_unique, count(label) = count(DISTINCT label) AS labels_unique FROM embeddings",
-    "set4_stack": "SELECT vec_id AS image, CAST(CASE WHEN vec_id < 5 THEN 16 ELSE 8 END AS BIGINT) AS n FROM embeddings WHERE vec_id < 10",
+    "set4_stack": "SELECT vec_id AS image, CAST(CASE WHEN vec_id % 3 = 0 THEN 16 ELSE 8 END AS BIGINT) AS n FROM embeddings",
     "prd5_subset": f"WITH {E} SELECT vec_id, list_has_all(list_transform(v[5:24], lambda x: floor(x * 5)), list_transform(v[1:4], lambda x: floor(x * 5))) AS inside FROM e",
     "prd6_unique": f"WITH {E} SELECT vec_id, len(list_distinct(list_transform(v[1:4], lambda x: floor(x * 5)))) = 4 AS unique_list FROM e",
     "snk2_nested": """SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, '{"props":{"k":' || (props ->> '$.k') || '},"meta":{"type":"' || event_type || '"}}' AS document FROM events""",
-    "snk5_heatmap": f'WITH {UNIT}, m AS (SELECT a.vec_id AS "row", b.vec_id AS id, list_dot_product(a.v, b.v) AS sim FROM u a, u b WHERE a.vec_id < 20 AND b.vec_id < 20) SELECT "row", CAST(count(*) AS INTEGER) AS n, round(sum(sim), 6) + 0.0 AS total, round(max(CASE WHEN id = 3 THEN sim END), 6) + 0.0 AS fourth FROM m GROUP BY "row"',
+    "snk5_heatmap": f'WITH {UNIT}, m AS (SELECT a.vec_id AS "row", b.vec_id AS id, list_dot_product(a.v, b.v) AS sim FROM u a, u b) SELECT "row", CAST(count(*) AS INTEGER) AS n, round(sum(sim), 6) + 0.0 AS total, round(max(CASE WHEN id = 3 THEN sim END), 6) + 0.0 AS fourth FROM m GROUP BY "row"',
     "snk6_bars": 'SELECT l_returnflag, sum(CASE WHEN l_linestatus = \'F\' THEN l_quantity END) AS "F", sum(CASE WHEN l_linestatus = \'O\' THEN l_quantity END) AS "O" FROM lineitem GROUP BY l_returnflag',
     "snk7_line": """WITH o AS (SELECT o_custkey AS x, sum(o_totalprice) AS y FROM orders GROUP BY o_custkey), a AS (SELECT x, row_number() OVER (ORDER BY x, y) - 1 AS i FROM o), b AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS i FROM o), n AS (SELECT count(*) AS n FROM o),
  t AS (SELECT DISTINCT floor(j * (n - 1) / (least(n, 20) - 1.0)) AS i FROM n, range(20) r(j) WHERE j < n) SELECT CAST(a.i AS BIGINT) AS i, x, round(y, 2) AS y FROM a JOIN b ON a.i = b.i JOIN t ON t.i = a.i""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from simlake.functions import vectors as V
 from simlake.operators import encode, images, stats, train
 from simlake.operators.runtime import table
-from simlake.plans.common import ASSIGNED, D, E, FISHER, FISHER_PARTS, POSTERIOR, VLAD, codebook, descriptors, in_long_form, pair_projection, six, vectors
+from simlake.plans.common import ASSIGNED, BOOK, DESCRIBED, D, E, FISHER, FISHER_PARTS, POSTERIOR, RESIDUALS, TO_CENTRES, VLAD, bagged, codebook, descriptors, expectation, in_long_form, lloyd, pair_projection, six, vectors
 
 
 def _spread(spark: SparkSession, sf_dir: str, vector) -> DataFrame:  # noqa: ANN001
@@ -26,7 +26,7 @@ def prj2_signed_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prj3_p_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = vectors(spark, sf_dir).select(F.col("vec_id").alias("image"), V.normalised(F.col("v"), 1).alias("a"), V.normalised(F.col("v"), 2).alias("b"), V.normalised(F.col("v"), 3).alias("c"))
-    return own.select("image", F.concat(F.slice("a", 1, 4), F.slice("b", 1, 4), F.slice("c", 1, 4)).alias("encoding")).transform(in_long_form)
+    return own.select("image", F.concat("a", "b", "c").alias("encoding")).transform(in_long_form)
 
 
 def prj4_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def prj4_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prj5_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(spark, sf_dir, F.concat(F.slice("v", 1, 3), F.slice("v", 60, 5), F.slice("v", 1, 2)))
+    return _spread(spark, sf_dir, F.concat("v", F.transform("v", lambda x: x * x), "v"))
 
 
 def prj7_feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,69 +100,89 @@ def enc4_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enc5_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_long_form(encode.Fisher(codebook(spark, sf_dir)).encode(descriptors(spark, sf_dir)), 5)
+    return in_long_form(encode.Fisher(codebook(spark, sf_dir)).encode_bags(bagged(spark, sf_dir)), 5)
 
 
 def enc6_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = codebook(spark, sf_dir)
-    return in_long_form(encode.Pipeline([encode.Vlad(book), encode.Fisher(book)]).encode(descriptors(spark, sf_dir)), 5)
+    return in_long_form(encode.Pipeline([encode.Vlad(book), encode.Fisher(book)]).encode_bags(bagged(spark, sf_dir)), 5)
 
 
 def sim3_encoder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = descriptors(spark, sf_dir)
-    found = encode.Vlad(codebook(spark, sf_dir)).similarity_scores(own.where("image < 5"), own, single=False)
+    found = encode.Vlad(codebook(spark, sf_dir)).similarity_scores(own.where("image % 50 = 0"), own, single=False)
     return found.select("q", "id", six("sim").alias("sim"))
 
 
 def sim4_pipeline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, book = descriptors(spark, sf_dir), codebook(spark, sf_dir)
-    found = encode.Pipeline([encode.Vlad(book), encode.Fisher(book)]).similarity_scores(own.where("image < 5"), own, single=False)
+    found = encode.Pipeline([encode.Vlad(book), encode.Fisher(book)]).similarity_scores(own.where("image % 50 = 0"), own, single=False)
     return found.select("q", "id", F.round("sim", 5).alias("sim"))
 
 
 def enc11_encoding_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode.Vlad(codebook(spark, sf_dir)).encode(descriptors(spark, sf_dir)).persist()
-    found = encode.retrieve(encoded.where("image >= 50"), encoded.where("image < 50"), 5)
+    encoded = encode.Vlad(codebook(spark, sf_dir)).encode(descriptors(spark, sf_dir))
+    found = encode.retrieve(encoded, encoded.where("image % 50 = 0"), 5)
     return found.select("q", F.col("rank").cast("long").alias("rank"), "id", six("sim").alias("sim"))
 
 
+#: Steps of the training queries, which SQL repeats.
+STEPS = 10
+
+
 def enc7_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VLAD learned behind a projection to half the components, then applied."""
+    """VLAD with a codebook learned in steps from the fixed one, then applied."""
+    own = descriptors(spark, sf_dir)
+    learned = train.learn(encode.Vlad, own, 4, start=codebook(spark, sf_dir), iterations=STEPS)
+    return in_long_form(learned.encode(own), 5)
+
+
+def enc7_learn_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared norms, which no rotation changes, of descriptors behind a projection that keeps all components but is learned."""
     own = descriptors(spark, sf_dir)
-    learned = train.learn(encode.Vlad, own, 4, reduction=2)
-    return learned.encode(own).select("image", F.size("encoding").alias("length"))
+    learned = train.learn(encode.Vlad, own, 4, reduction=1, iterations=2)
+    mean, rows = learned.projection.columns()
+    moved = own.select("image", "desc", V.projected(F.col("x"), mean, rows).alias("y"))
+    return moved.select("image", "desc", six(F.aggregate("y", F.lit(0.0), lambda a, y: a + y * y)).alias("square"))
 
 
 def enc8_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.fit_kmeans(descriptors(spark, sf_dir), 4).to_df(spark).select("k", "mean")
+    found = train.fit_kmeans(descriptors(spark, sf_dir), 4, iterations=STEPS, start=codebook(spark, sf_dir).means).to_df(spark)
+    return found.select("k", F.posexplode("mean").alias("pos", "mean")).select("k", "pos", six("mean").alias("mean"))
 
 
 def enc9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.fit_mixture(descriptors(spark, sf_dir), 4, iterations=10).to_df(spark)
+    """Steps of expectation maximisation from the fixed mixture, however little the last ones gain."""
+    found = train.fit_mixture(descriptors(spark, sf_dir), 4, iterations=STEPS, tolerance=-1.0, start=codebook(spark, sf_dir)).to_df(spark)
+    parts = found.select("k", F.round("weight", 5).alias("weight"), F.posexplode(F.arrays_zip("mean", "var")).alias("pos", "p"))
+    return parts.select("k", "pos", "weight", (F.round("p.mean", 5) + F.lit(0.0)).alias("mean"), F.round("p.var", 5).alias("var"))
 
 
 def enc10_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean of the fit, and the total variance over all components, which no rotation changes."""
+    """The covariance matrix, put together again from the components and the variances along them: right only if they are its eigenvectors."""
     own = descriptors(spark, sf_dir)
     fit = train.fit_pca(own, 8)
     mean, rows = fit.columns()
-    moved = own.select(V.projected(F.col("x"), mean, rows).alias("y"))
-    square = F.aggregate("y", F.lit(0.0), lambda a, y: a + y * y)
-    return moved.agg(six(F.sum(square)).alias("total_square"), six(F.lit(float(fit.mean.sum()))).alias("mean_sum"))
+    moved = own.select(F.posexplode(V.projected(F.col("x"), mean, rows)).alias("k", "y"))
+    variance = {r["k"]: r["v"] for r in moved.groupBy("k").agg(F.var_pop("y").alias("v")).collect()}
+    whole = fit.components.T @ np.diag([variance[k] for k in range(8)]) @ fit.components
+    cells = [(i, j, float(whole[i, j]), float(fit.mean[i])) for i in range(8) for j in range(8)]
+    return spark.createDataFrame(cells, "i int, j int, covariance double, mean double").select("i", "j", six("covariance").alias("covariance"), six("mean").alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (prj1_hellinger, prj2_signed_power, prj3_p_norm, prj4_flatten, prj5_concat, prj7_feature_cells, prj8_standardise, prj9_project, prj10_integers, prj11_blur, fx3_user_extractor, enc1_assign, enc2_vlad, enc3_empty_images, enc4_posteriors, enc5_fisher, enc6_pipeline, sim3_encoder_scores, sim4_pipeline_scores, enc11_encoding_map, enc7_learn, enc8_kmeans, enc9_mixture, enc10_pca)}
+QUERIES = {f.__name__: f for f in (prj1_hellinger, prj2_signed_power, prj3_p_norm, prj4_flatten, prj5_concat, prj7_feature_cells, prj8_standardise, prj9_project, prj10_integers, prj11_blur, fx3_user_extractor, enc1_assign, enc2_vlad, enc3_empty_images, enc4_posteriors, enc5_fisher, enc6_pipeline, sim3_encoder_scores, sim4_pipeline_scores, enc11_encoding_map, enc7_learn, enc7_learn_reduced, enc8_kmeans, enc9_mixture, enc10_pca)}
 _POS = "CAST(i - 1 AS INTEGER) AS pos"
 _L = "WITH " + E + ", x AS (SELECT vec_id AS image, {}, {} AS v FROM e, range(1, {}) t(i)) SELECT image, pos, round(v, 6) + 0.0 AS v FROM x"
 _PN = "list_sum(list_transform(v, lambda y: abs(y) ** {0})) ** (1.0 / {0}) + 1e-9"
 _PIPE = VLAD + POSTERIOR + FISHER_PARTS + ", pipe AS (SELECT image, pos, v FROM vl UNION ALL SELECT image, pos + 32, v FROM fv)"
-_COS = ", nn AS (SELECT image, sqrt(sum(v * v)) AS norm FROM {0} GROUP BY image), sc AS (SELECT a.image AS q, b.image AS id, sum(a.v * b.v) AS dp FROM {0} a JOIN {0} b ON a.pos = b.pos WHERE a.image < {1} GROUP BY ALL), co AS (SELECT q, id, CASE WHEN x.norm * y.norm > 0 THEN dp / (x.norm * y.norm) ELSE 0 END AS sim FROM sc JOIN nn x ON x.image = q JOIN nn y ON y.image = id)"
+_COS = ", nn AS (SELECT image, sqrt(sum(v * v)) AS norm FROM {0} GROUP BY image), sc AS (SELECT a.image AS q, b.image AS id, sum(a.v * b.v) AS dp FROM {0} a JOIN {0} b ON a.pos = b.pos WHERE a.image % 50 = 0 GROUP BY ALL), co AS (SELECT q, id, CASE WHEN x.norm * y.norm > 0 THEN dp / (x.norm * y.norm) ELSE 0 END AS sim FROM sc JOIN nn x ON x.image = q JOIN nn y ON y.image = id)"
+_POINTS = "p AS (SELECT image * 8 + descr AS pid, x FROM d)"
 ORACLE_SQL = {
     "prj1_hellinger": _L.format(_POS, "sqrt(abs(v[i]) / (list_sum(list_transform(v, lambda y: abs(y))) + 1e-7))", 65),
     "prj2_signed_power": _L.format(_POS, "sign(v[i]) * sqrt(abs(v[i]))", 65),
-    "prj3_p_norm": _L.format(_POS, f"CASE WHEN i <= 4 THEN v[i] / ({_PN.format(1)}) WHEN i <= 8 THEN v[i - 4] / ({_PN.format(2)}) ELSE v[i - 8] / ({_PN.format(3)}) END", 13),
+    "prj3_p_norm": _L.format(_POS, f"CASE WHEN i <= 64 THEN v[i] / ({_PN.format(1)}) WHEN i <= 128 THEN v[i - 64] / ({_PN.format(2)}) ELSE v[i - 128] / ({_PN.format(3)}) END", 193),
     "prj4_flatten": _L.format(_POS, "v[i]", 65),
-    "prj5_concat": _L.format(_POS, "list_concat(list_concat(v[1:3], v[60:64]), v[1:2])[i]", 11),
+    "prj5_concat": _L.format(_POS, "list_concat(list_concat(v, list_transform(v, lambda y: y * y)), v)[i]", 193),
     "prj7_feature_cells": f"""WITH {E}, x AS (SELECT vec_id AS image, CAST(p AS INTEGER) AS "desc", CAST(i AS INTEGER) AS pos, CASE WHEN i < 8 THEN v[i * 8 + p + 1] WHEN i = 8 THEN (p % 4) / 4.0 ELSE (p // 4) / 2.0 END AS v FROM e, range(8) a(p), range(10) b(i)) SELECT image, "desc", pos, round(v, 6) + 0.0 AS v FROM x""",
     "prj8_standardise": f"WITH {E}, x AS (SELECT vec_id AS image, {_POS}, v[i] AS v FROM e, range(1, 65) t(i)) SELECT 0 AS axis, image, pos, round((v - avg(v) OVER (PARTITION BY pos)) / stddev_pop(v) OVER (PARTITION BY pos), 6) + 0.0 AS v FROM x UNION ALL SELECT 1, image, pos, round((v - avg(v) OVER (PARTITION BY image)) / stddev_pop(v) OVER (PARTITION BY image), 6) + 0.0 FROM x",
     "prj9_project": f'WITH {D} SELECT image, descr AS "desc", {_POS}, round((x[2 * i - 1] - 0.01) * sqrt(0.5) + (x[2 * i] - 0.01) * sqrt(0.5), 6) + 0.0 AS v FROM d, range(1, 5) t(i)',
@@ -178,9 +198,12 @@ ORACLE_SQL = {
     "enc4_posteriors": f'WITH {D}{POSTERIOR} SELECT image, descr AS "desc", CAST(k AS INTEGER) AS k, round(p, 6) + 0.0 AS p FROM p',
     "enc5_fisher": f"WITH {FISHER} SELECT image, CAST(pos AS INTEGER) AS pos, round(v, 5) + 0.0 AS v FROM fv",
     "enc6_pipeline": f"WITH {_PIPE} SELECT image, CAST(pos AS INTEGER) AS pos, round(v, 5) + 0.0 AS v FROM pipe",
-    "sim3_encoder_scores": f"WITH {VLAD}{_COS.format('vl', 5)} SELECT q, id, round(sim, 6) + 0.0 AS sim FROM co",
-    "sim4_pipeline_scores": f"WITH {_PIPE}{_COS.format('pipe', 5)} SELECT q, id, round(sim, 5) AS sim FROM co",
-    "enc11_encoding_map": f"WITH {VLAD}{_COS.format('vl', 50)}, rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, id) AS rank FROM co WHERE id >= 50) SELECT q, rank, id, round(sim, 6) + 0.0 AS sim FROM rk WHERE rank <= 5",
-    "enc7_learn": "SELECT vec_id AS image, 16 AS length FROM embeddings",
-    "enc10_pca": f"WITH {D}, x AS (SELECT i, x[i] AS y FROM d, range(1, 9) t(i)), m AS (SELECT i, avg(y) AS m, count(*) * var_pop(y) AS s FROM x GROUP BY i) SELECT round(sum(s), 6) + 0.0 AS total_square, round(sum(m), 6) + 0.0 AS mean_sum FROM m",
+    "sim3_encoder_scores": f"WITH {VLAD}{_COS.format('vl')} SELECT q, id, round(sim, 6) + 0.0 AS sim FROM co",
+    "sim4_pipeline_scores": f"WITH {_PIPE}{_COS.format('pipe')} SELECT q, id, round(sim, 5) AS sim FROM co",
+    "enc11_encoding_map": f"WITH {VLAD}{_COS.format('vl')}, rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, id) AS rank FROM co) SELECT q, rank, id, round(sim, 6) + 0.0 AS sim FROM rk WHERE rank <= 5",
+    "enc7_learn": f"WITH {DESCRIBED}{BOOK.format('c0')}, {_POINTS}, {lloyd('p', 'c0', 8, STEPS)}{TO_CENTRES}{RESIDUALS} SELECT image, CAST(pos AS INTEGER) AS pos, round(v, 5) + 0.0 AS v FROM vl",
+    "enc7_learn_reduced": f"""WITH {DESCRIBED}, m AS (SELECT i, avg(x[i]) AS m FROM d, range(1, 9) t(i) GROUP BY i) SELECT image, descr AS "desc", round(sum((x[i] - m) * (x[i] - m)), 6) + 0.0 AS square FROM d, m GROUP BY image, descr""",
+    "enc8_kmeans": f"WITH {DESCRIBED}{BOOK.format('c0')}, {_POINTS}, {lloyd('p', 'c0', 8, STEPS)} SELECT CAST(k AS INTEGER) AS k, CAST(i - 1 AS INTEGER) AS pos, round(m[i], 6) + 0.0 AS mean FROM c, range(1, 9) t(i)",
+    "enc9_mixture": f"WITH {DESCRIBED}{BOOK.format('b')}, {_POINTS}, c0 AS (SELECT k, 0.25 AS w, m, list_transform(m, lambda y: 0.02) AS s FROM b), {expectation('p', 'c0', 8, STEPS)} SELECT CAST(k AS INTEGER) AS k, CAST(i - 1 AS INTEGER) AS pos, round(w, 5) AS weight, round(m[i], 5) + 0.0 AS mean, round(s[i], 5) AS var FROM mix, range(1, 9) t(i)",
+    "enc10_pca": f"WITH {DESCRIBED} SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(covar_pop(x[i], x[j]), 6) + 0.0 AS covariance, round(avg(x[i]), 6) + 0.0 AS mean FROM d, range(1, 9) a(i), range(1, 9) b(j) GROUP BY i, j",
 }

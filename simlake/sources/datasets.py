@@ -24,6 +24,12 @@ def numbered(labels: DataFrame) -> DataFrame:
     return labels.select(F.posexplode("labels").alias("i", "label")).select((F.col("i") + 1).alias("image_id"), "label")
 
 
+def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """The rows of two tables joined by their place in an order each; what the longer one has more is left out. For tables without a common key."""
+    a = order.numbered(left, left_order, "~place")
+    return a.join(order.numbered(right, right_order, "~place"), "~place").drop("~place")
+
+
 def split_ids(ids: DataFrame, swap_splits: bool = True) -> DataFrame:
     """(split, image_id); with ``swap_splits`` what the files call test trains, and what they call train tests."""
     if not swap_splits:
@@ -55,12 +61,13 @@ def decoded(spark: SparkSession, folder: str, suffix: str = ".jpg") -> DataFrame
 
 
 def integrity(paths: DataFrame, labels: DataFrame, splits: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
-    """(part, n, expected, ok): whether labels, images and splits have the sizes they should."""
+    """(part, n, expected, ok): whether labels, images and splits have the sizes they should; a part that is expected and absent has none."""
     want = expected or EXPECTED
     counts = labels.agg(F.count("*").alias("n")).select(F.lit("labels").alias("part"), "n").unionAll(paths.agg(F.count("*").alias("n")).select(F.lit("images").alias("part"), "n"))
     counts = counts.unionAll(splits.groupBy(F.col("split").alias("part")).agg(F.count("*").alias("n")))
-    rule = F.create_map(*(x for k, v in want.items() for x in (F.lit(k), F.lit(v))))
-    return counts.select("part", "n", rule[F.col("part")].alias("expected"), F.coalesce(F.col("n") == rule[F.col("part")], F.lit(False)).alias("ok"))
+    rule = F.array(*(F.struct(F.lit(k).alias("part"), F.lit(v).cast("long").alias("expected")) for k, v in want.items()))
+    wanted = labels.sparkSession.range(1).select(F.inline(rule))
+    return wanted.join(counts, "part", "full").select("part", F.coalesce("n", F.lit(0)).alias("n"), "expected", F.coalesce(F.coalesce("n", F.lit(0)) == F.col("expected"), F.lit(False)).alias("ok"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

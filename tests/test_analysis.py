@@ -81,16 +81,75 @@ def test_separated_groups_are_found(spark, method):
     assert (r["ri"], r["ari"]) == (1, 1) and r["nmi"] == pytest.approx(1)
 
 
-def test_power_iteration_past_the_exact_bound(spark):
-    rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(c, 0.2, (30, 2)) for c in ([0, 0], [5, 5])])
-    assert cluster.spectral(points(spark, x), 2, exact=10).select("cluster").distinct().count() == 2
-
-
-def test_spectral_is_the_same_past_the_exact_bound(spark):
+def dense_spectral(x, k):
+    """The embedding by a dense matrix: neighbour graph, normalised Laplacian, all eigenvectors."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    named = np.zeros_like(d)
+    for i, row in enumerate(d):
+        named[i, sorted(range(len(x)), key=lambda j: (round(row[j], 9), j))[:10]] = 1
+    w = (named + named.T) / 2
+    np.fill_diagonal(w, 0)
+    scale = 1 / np.sqrt(w.sum(1))
+    v = np.linalg.eigh(np.eye(len(x)) - w * scale[:, None] * scale[None])[1][:, :k] * scale[:, None]
+    return cluster._lloyd(v / np.linalg.norm(v, axis=1, keepdims=True), k, cluster.SEED)
+
+
+@pytest.mark.parametrize("local_edges", [cluster.LOCAL_EDGES, 0])
+def test_spectral_equals_dense_eigenvectors_wherever_products_are_made(spark, local_edges):
     x = np.random.default_rng(1).normal(size=(300, 3))
-    exact, past = ({r["id"]: r["cluster"] for r in cluster.spectral(points(spark, x), 4, exact=n).collect()} for n in (300, 100))
-    assert past == exact and len(exact) == 300
+    got = {r["id"]: r["cluster"] for r in cluster.spectral(points(spark, x), 4, local_edges=local_edges).collect()}
+    want = dense_spectral(x, 4)
+    # eigenvectors are known up to sign, which may change the start of k-means: the partitions are compared
+    pairs = {(got[i], int(want[i])) for i in range(300)}
+    assert len(got) == 300 and len(pairs) == 4
+
+
+def test_dbscan_is_the_same_in_blocks_and_equals_a_plain_reading(spark):
+    x = np.random.default_rng(4).random((150, 2))
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 0.08
+    core = near.sum(1) >= 4
+    label, n = np.full(150, -1), 0
+    for i in range(150):
+        if core[i] and label[i] < 0:
+            queue, label[i] = [i], n
+            while queue:
+                for j in np.flatnonzero(near[queue.pop()] & core & (label < 0)):
+                    label[j] = n
+                    queue.append(j)
+            n += 1
+    for i in np.flatnonzero(~core):
+        if (near[i] & core).any():
+            label[i] = label[np.flatnonzero(near[i] & core)[0]]
+    for block in (2048, 40):
+        got = {r["id"]: r["cluster"] for r in cluster.dbscan(points(spark, x), 0.08, 4, block_rows=block).collect()}
+        assert [got[i] for i in range(150)] == label.tolist()
+
+
+def test_agreement_of_large_marginals_against_a_plain_sum(spark):
+    from math import exp, lgamma, log
+
+    rng = np.random.default_rng(0)
+    t = rng.integers(0, 3, 30_000)
+    p = np.where(rng.random(30_000) < 0.3, t, rng.integers(0, 3, 30_000))
+    r = cluster.agreement(spark.createDataFrame(list(zip(t.tolist(), p.tolist())), "t int, p int")).first()
+    n, a, b = 30_000, np.bincount(t), np.bincount(p)
+    f = lambda k: lgamma(k + 1)
+    emi = 0.0
+    for i in map(int, a):
+        for j in map(int, b):
+            for k in range(max(1, i + j - n), min(i, j) + 1):
+                emi += k / n * log(n * k / (i * j)) * exp(f(i) + f(j) + f(n - i) + f(n - j) - f(n) - f(k) - f(i - k) - f(j - k) - f(n - i - j + k))
+    joint = np.histogram2d(t, p, 3)[0]
+    mi = sum(v / n * log(v * n / (a[x] * b[y])) for (x, y), v in np.ndenumerate(joint) if v)
+    h = lambda c: -sum(v / n * log(v / n) for v in c)
+    assert r["ami"] == pytest.approx((mi - emi) / ((h(a) + h(b)) / 2 - emi), abs=1e-9)
+
+
+def test_kmeans_from_a_start_ends_where_no_step_moves(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 2)) for c in ([0, 0], [5, 5])])
+    got = {r["id"]: r["cluster"] for r in cluster.kmeans(points(spark, x), 2, start=x[[0, 79]], iterations=50).collect()}
+    assert [got[i] for i in range(80)] == [0] * 40 + [1] * 40
 
 
 def test_cluster_refusals(spark):
@@ -123,4 +182,10 @@ def test_losses_by_hand(spark):
 
 def test_binary_focal_takes_the_only_channel_as_target_zero(spark):
     df = batch(spark, [(0, 0, 0, 0.8, 1.0)])
-    assert losses.focal_loss(df, mode="binary", from_logits=False).first()["loss"] == pytest.approx(0.8**2 * -np.log(0.2))
+    loss = lambda **s: losses.focal_loss(df, mode="binary", from_logits=False, **s).first()["loss"]
+    assert loss() == pytest.approx(0.8**2 * -np.log(0.2))
+    assert loss(alpha=0.25, normalize_weights=False) == pytest.approx(0.75 * 0.8**2 * -np.log(0.2)) and loss(alpha=0.25) == 0
+    two = batch(spark, [(0, 0, 0, 0.3, 0.0), (0, 1, 0, 0.6, 1.0)])
+    assert losses.focal_loss(two, mode="binary", from_logits=False, alpha=0.25, normalize_weights=False).first()["loss"] == pytest.approx(0.25 * (0.7**2 * -np.log(0.3) + 0.4**2 * -np.log(0.6)) / 2)
+    with pytest.raises(ValueError):
+        loss(alpha=[1.0, 2.0])

@@ -65,6 +65,30 @@ def test_pipeline_is_the_concatenation_and_its_score_the_cosine(spark):
     assert s[0, 0] == pytest.approx(1)
 
 
+def test_encoders_take_a_users_similarity(spark):
+    df = long_form(spark, [RNG.normal(size=(5, 4)), RNG.normal(size=(3, 4))])
+    gap = lambda a, b: float(np.abs(np.ravel(a) - np.ravel(b)).max())
+    with pytest.warns(UserWarning, match="pair by pair"):
+        e = encode.Vlad(BOOK, similarity=gap)
+        got = {(r["q"], r["id"]): r["sim"] for r in e.similarity_scores(df, df, single=False).collect()}
+        pipe = encode.Pipeline([encode.Vlad(BOOK)], similarity=gap).similarity_scores(df, df, single=False).collect()
+    v = encoded(encode.Vlad(BOOK).encode(df))
+    assert got[0, 1] == pytest.approx(np.abs(v[0] - v[1]).max()) and {(r["q"], r["id"]): r["sim"] for r in pipe} == pytest.approx(got)
+    with pytest.raises(ValueError), pytest.warns(UserWarning):
+        encode.Vlad(BOOK, similarity=lambda a, b: np.zeros(3))
+    assert "similarity=" in e.describe()
+
+
+def test_steps_from_a_start(spark):
+    x = np.r_[RNG.normal(0, 0.5, (60, 2)), RNG.normal(8, 0.5, (30, 2))]
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    fit = train.fit_kmeans(df, 3, iterations=30, start=[[0.0, 0.0], [8.0, 8.0], [99.0, 99.0]])
+    assert np.allclose(fit.means, [x[:60].mean(0), x[60:].mean(0), [99, 99]])
+    start = Codebook(np.array([[1.0, 1.0], [7.0, 7.0]]), np.array([0.5, 0.5]), np.ones((2, 2)))
+    mixture = train.fit_mixture(df, 2, start=start)
+    assert mixture.weights == pytest.approx([2 / 3, 1 / 3], abs=0.01) and np.allclose(mixture.means, [x[:60].mean(0), x[60:].mean(0)], atol=0.05)
+
+
 def test_an_image_without_descriptors_is_zero_and_alone(spark):
     df = long_form(spark, [RNG.normal(size=(5, 4))])
     images = spark.createDataFrame([(0,), (7,)], "image long")

@@ -16,6 +16,25 @@ def test_average_precision_of_the_worked_example(spark, by, k, want):
     assert got == pytest.approx(want)
 
 
+def test_all_denominators_and_cuts_in_one_pass(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(q, i, 0.0, i + 1, int(rng.integers(2)) * (q > 0)) for q in range(12) for i in range(7)], "q long, id long, sim double, rank int, rel int")
+    totals = df.groupBy("q").agg({"rel": "sum"}).withColumnRenamed("sum(rel)", "n_relevant")
+    got = {(r["denominator"], r["k"]): r["map"] for r in evaluate.mean_average_precisions(df, (None, 3)).collect()}
+    assert len(got) == 6
+    for (by, k), value in got.items():
+        assert value == pytest.approx(evaluate.mean_average_precision(df, by, k or None, totals).first()["map"])
+
+
+def test_whole_scores_in_blocks_are_the_same_and_their_mean_too(spark):
+    m = np.random.default_rng(8).normal(size=(23, 4))
+    whole, blocks = (sorted((r["q"], r["id"], round(r["sim"], 9)) for r in scoring.scores(frame(spark, "q", m), frame(spark, "id", m), block_bytes=b).collect()) for b in (1 << 20, 200))
+    assert whole == blocks and len(whole) == 23 * 23
+    below = [s for q, i, s in whole if q > i]
+    assert scoring.mean_of_pairs(frame(spark, "id", m)).first()["mean"] == pytest.approx(np.mean(below), abs=1e-8)
+    assert scoring.mean_of_pairs(frame(spark, "id", m[:1])).first()["mean"] is None
+
+
 def test_no_relevant_row_gives_zero_and_no_query_null(spark):
     assert evaluate.mean_average_precision(ranked(spark, [0, 0])).first()["map"] == 0
     assert evaluate.mean_average_precision(ranked(spark, [])).first()["map"] is None

@@ -46,6 +46,8 @@ def test_decoding_and_extracting(spark, folder):
     got = {(r["image"].split("/")[-1], r["desc"]): r["x"] for r in corner.collect()}
     assert got["image_1.png", 1] == made["image_1.png"][0, 1].tolist()  # red, green, blue
     assert images.Extractor(lambda a: None, 3).descriptors(own).count() == 0
+    whole = {r["image"].split("/")[-1]: r["bag"] for r in images.Extractor(lambda a: None if a[0, 0, 0] % 2 else a[0, :2].astype(float), 3).bags(own).collect()}
+    assert whole == {n: [] if a[0, 0, 0] % 2 else a[0, :2].tolist() for n, a in made.items()}
     with pytest.raises(Exception, match="gave shape"):
         images.Extractor(lambda a: a[0, :2, :2], 3).descriptors(own).collect()
     with pytest.raises(ValueError):
@@ -70,6 +72,18 @@ def test_purposes(spark):
     assert {r["split"]: r["image_id"] for r in datasets.split_ids(ids).collect()} == {"test": 1, "train": 2, "validation": 3}
 
 
+def test_a_split_that_is_missing_is_told(spark):
+    t = lambda n: spark.range(n)
+    splits = spark.createDataFrame([("train", 1), ("train", 2), ("other", 3)], "split string, image_id int")
+    got = {r["part"]: (r["n"], r["expected"], r["ok"]) for r in datasets.integrity(t(3), t(3), splits, {"labels": 3, "images": 4, "train": 2, "validation": 1, "test": 0}).collect()}
+    assert got == {"labels": (3, 3, True), "images": (3, 4, False), "train": (2, 2, True), "validation": (0, 1, False), "test": (0, 0, True), "other": (1, None, False)}
+
+
+def test_rows_are_zipped_by_place(spark):
+    a, b = spark.createDataFrame([("b",), ("a",), ("c",)], "path string"), spark.createDataFrame([(5, 2), (4, 1)], "label int, at int")
+    assert sorted((r["path"], r["label"]) for r in datasets.zipped(a, b, ["path"], ["at"]).collect()) == [("a", 4), ("b", 5)]
+
+
 def test_records_round_trip(spark, tmp_path):
     record = {"n": 3, "x": 1.5, "s": "é", "m": np.arange(6.0).reshape(2, 3), "in": {"l": [1, 2], "flag": True}, "names": ["a", "b"]}
     records.save_record(spark, record, f"{tmp_path}/r")
