@@ -6,12 +6,14 @@ An image is the struct of Spark's image source: origin, height, width, nChannels
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simlake.functions.vectors import is_image
 from simlake.operators.runtime import ship, spread
 
 
@@ -21,6 +23,33 @@ def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return np.repeat(a, 3, axis=2) if channels == 1 else a[:, :, :3][:, :, ::-1]
 
 
+def checked_images(images: DataFrame, column: str = "image") -> DataFrame:
+    """``images`` with an error, when it runs, for a row whose image struct holds no picture."""
+    what = F.concat(F.lit("not an image: "), F.coalesce(F.col(column)["origin"], F.lit("of unknown origin")))
+    return images.withColumn(column, F.when(is_image(F.col(column)), F.col(column)).otherwise(F.raise_error(what).cast(images.schema[column].dataType)))
+
+
+def takes_images(*positions: int, names: tuple[str, ...] = (), column: str = "image") -> Callable[[Callable], Callable]:
+    """A contract on a function of DataFrames: its arguments at ``positions`` (the first by default) and under ``names`` must hold images. A missing column is refused at once, a bad row when the plan runs."""
+    wanted = positions or (() if names else (0,))
+
+    def checked(df: DataFrame) -> DataFrame:
+        if not isinstance(df, DataFrame) or column not in df.columns:
+            raise ValueError(f"expected a DataFrame with a column {column!r}")
+        return checked_images(df, column)
+
+    def around(function: Callable) -> Callable:
+        @wraps(function)
+        def call(*args: object, **kwargs: object) -> object:
+            if wanted and max(wanted) >= len(args):
+                raise ValueError(f"expected images at position {max(wanted)}")
+            return function(*(checked(a) if i in wanted else a for i, a in enumerate(args)), **{k: checked(v) if k in names else v for k, v in kwargs.items()})
+
+        return call
+
+    return around
+
+
 def gaussian_kernel(size: int | None = None, sigma: float = 1.0) -> np.ndarray:
     """Weights that sum to 1; the size defaults to 2 * int(3 sigma) + 1 and must lie between that and 2 * int(5 sigma) + 1."""
     least, most = 2 * int(3 * sigma) + 1, 2 * int(5 * sigma) + 1

@@ -120,6 +120,12 @@ def boxes(pairs: DataFrame, n: int = 20, low: float = 0.0, high: float = 1.0) ->
     return grid.join(found, "bin", "left").withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0).cast("long")))
 
 
+def outliers(pairs: DataFrame, n: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """(bin, x, y) of the points past the whiskers' reach of their bin."""
+    ends = boxes(pairs, n, low, high).select("bin", "low_whisker", "high_whisker")
+    return bins(pairs, n, low, high).join(F.broadcast(ends), "bin").where((F.col("y") < F.col("low_whisker")) | (F.col("y") > F.col("high_whisker"))).select("bin", "x", "y")
+
+
 def histogram(values: DataFrame, n: int = 10) -> DataFrame:
     """(bin, n) of ``values(x)`` between its least and greatest value; the last bin is closed. Empty bins count 0."""
     own = values.select(F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))

@@ -13,7 +13,7 @@ EXPECTED = {"labels": 8189, "images": 8189, "train": 6149, "validation": 1020, "
 
 
 def image_paths(spark: SparkSession, folder: str, suffix: str = ".jpg") -> DataFrame:
-    """(image_id, path) in order of the file name; ids start at 1. The suffix is compared without case."""
+    """(image_id, path) in order of the file name; ids start at 1. The suffix is compared without case; empty files are no images and are left out."""
     pattern = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
     return order.numbered(files, ["path"], "image_id").select("image_id", "path")

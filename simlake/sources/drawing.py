@@ -59,14 +59,17 @@ def histogram(df: DataFrame, path: str, title: str = "", x_limits: tuple[float,
     _drawn(path, draw, title, "bin", "n")
 
 
-def boxplot(boxes: DataFrame, path: str, line: DataFrame | None = None, title: str = "") -> None:
-    """Of stats.boxes, with the line of stats.line_points over it."""
+def boxplot(boxes: DataFrame, path: str, line: DataFrame | None = None, title: str = "", outliers: DataFrame | None = None) -> None:
+    """Of stats.boxes, with the line of stats.line_points over it and the points of stats.outliers beside the boxes."""
     rows = [r for r in _rows(boxes, "bin") if r["median"] is not None]
-    stats = [{"med": r["median"], "q1": r["q1"], "q3": r["q3"], "whislo": r["low_whisker"], "whishi": r["high_whisker"], "fliers": []} for r in rows]
+    beyond: dict[int, list[float]] = {}
+    for r in _rows(outliers, "bin", "y") if outliers is not None else []:
+        beyond.setdefault(r["bin"], []).append(r["y"])
+    stats = [{"med": r["median"], "q1": r["q1"], "q3": r["q3"], "whislo": r["low_whisker"], "whishi": r["high_whisker"], "fliers": beyond.get(r["bin"], [])} for r in rows]
     points = _rows(line, "i") if line is not None else []
 
     def draw(a) -> None:  # noqa: ANN001
-        a.bxp(stats, positions=[r["bin"] for r in rows], showfliers=False)
+        a.bxp(stats, positions=[r["bin"] for r in rows], showfliers=bool(beyond))
         if points:
             twin = a.twiny()
             twin.plot([p["x"] for p in points], [p["y"] for p in points])

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from simlake.functions import vectors as V
 from simlake.functions.vectors import is_image
-from simlake.operators import images
+from simlake.operators import images, stats
 from simlake.operators.codebook import Codebook
-from simlake.sources import archives, datasets, drawing, records, reports
+from simlake.sources import archives, datasets, drawing, matfiles, records, reports
 from simlake.streaming import scoring as streaming
 
 
@@ -79,6 +79,57 @@ def test_a_split_that_is_missing_is_told(spark):
     assert got == {"labels": (3, 3, True), "images": (3, 4, False), "train": (2, 2, True), "validation": (0, 1, False), "test": (0, 0, True), "other": (1, None, False)}
 
 
+def element(kind, data, small=False):
+    if small:
+        return struct.pack("<HH", kind, len(data)) + data.ljust(4, b"\0")
+    return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+
+def matrix(name, a, kind, of):
+    """A numeric array as a data element: flags, dimensions, name, values in column order."""
+    body = element(6, struct.pack("<II", of, 0)) + element(5, struct.pack("<ii", *a.shape)) + element(1, name.encode(), len(name) <= 4) + element(kind, a.ravel(order="F").tobytes(), a.nbytes <= 4)
+    return element(14, body)
+
+
+def test_mat_files(spark, tmp_path):
+    head = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM"
+    labels, ids = np.array([[3, 1, 2, 2]], "u1"), np.array([[7, 4, 1]], "<u2")
+    text = element(14, element(6, struct.pack("<II", 4, 0)) + element(5, struct.pack("<ii", 1, 1)) + element(1, b"note") + element(4, b"x\0"))
+    packed = zlib.compress(matrix("labels", labels, 2, 9))
+    (tmp_path / "labels.mat").write_bytes(head + text + struct.pack("<II", 15, len(packed)) + packed)
+    (tmp_path / "ids.mat").write_bytes(head + matrix("trn", ids, 4, 6) + matrix("grid", np.array([[1.5, 2], [3, 4]]), 9, 6))
+    assert {r["image_id"]: r["label"] for r in matfiles.labels(spark, f"{tmp_path}/labels.mat").collect()} == {1: 3, 2: 1, 3: 2, 4: 2}
+    got = matfiles.split_ids(spark, f"{tmp_path}/ids.mat", {"trn": "train"})
+    assert sorted((r["split"], r["image_id"]) for r in datasets.split_ids(got).collect()) == [("test", 1), ("test", 4), ("test", 7)]
+    assert matfiles.arrays((tmp_path / "ids.mat").read_bytes())["grid"].tolist() == [[1.5, 2], [3, 4]]
+    with pytest.raises(ValueError):
+        matfiles.arrays(b"nothing")
+
+
+def test_functions_that_take_images_refuse_others(spark, folder):
+    own = datasets.decoded(spark, str(folder[0]), ".png")
+
+    @images.takes_images()
+    def sizes(df):
+        return df.select("image.height").collect()
+
+    assert len(sizes(own)) == 3
+    with pytest.raises(ValueError):
+        sizes(own.select("path"))
+    with pytest.raises(ValueError):
+        sizes()
+    bad = own.withColumn("image", F.col("image").withField("width", F.lit(9)))
+    with pytest.raises(Exception, match="not an image"):
+        sizes(bad)
+    second = images.takes_images(1, names=("third",))(lambda a, b, third=None: third.count())
+    assert second(None, own, third=own) == 3
+
+
+def test_outliers_are_the_points_past_the_whiskers(spark):
+    p = spark.createDataFrame([(0.1, float(y)) for y in (1, 2, 3, 4, 100)], "x double, y double")
+    assert [r["y"] for r in stats.outliers(p, 2).collect()] == [100]
+
+
 def test_rows_are_zipped_by_place(spark):
     a, b = spark.createDataFrame([("b",), ("a",), ("c",)], "path string"), spark.createDataFrame([(5, 2), (4, 1)], "label int, at int")
     assert sorted((r["path"], r["label"]) for r in datasets.zipped(a, b, ["path"], ["at"]).collect()) == [("a", 4), ("b", 5)]
