@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from simlake.operators.runtime import checkpoint, dropped, ship, spread, table, written
 
-__all__ = ["arrow_pass", "as_bytes", "changed", "checkpoint", "dropped", "fits", "fold", "fold_of", "least", "ship", "spread", "table", "with_lengths", "written"]
+__all__ = ["arrow_pass", "as_bytes", "changed", "checkpoint", "dropped", "fits", "fold", "fold_of", "least", "ship", "spread", "table", "unused", "with_lengths", "written"]
 
 #: Rows that a pass over texts hands to its function at once; bounds what the function's arrays take.
 BATCH_ROWS = 1000
@@ -84,6 +84,14 @@ def changed(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(made, names=names)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, in any case."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "~"
+    return name
+
+
 def with_lengths(docs: DataFrame, text_col: str, length_col: str) -> DataFrame:
     """The length column anew after texts have changed, where there is one."""
     return docs.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else docs

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from simlake.operators.order import running_total
 
-from .common import arrow_pass, as_bytes, checkpoint, fits, table, with_lengths, written
+from .common import arrow_pass, as_bytes, checkpoint, fits, table, unused, with_lengths, written
 
 WINDOW = 8
 #: Most nodes of one automaton; some 40 bytes each.
@@ -234,13 +234,14 @@ def _original(text: bytes | None, ranges: list[tuple[int, int]]) -> list[dict[st
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str = "n_chars", most_items: int = 1, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without rows that hold windows of more than ``most_items`` items; of the others, hit passages are cut out."""
-    own = written(docs.withColumn("~row", F.monotonically_increasing_id()))
-    found = contamination(own, benchmark, "~row", text_col, item_col, item_text_col).where("n_hit > 0")
-    found = checkpoint(found.select(F.col("doc_id").alias("~row"), F.size("item_ids").alias("~items"), F.col("spans").alias("~spans")))
-    hits = F.broadcast(found) if fits(found, F.lit(1) + F.size("~spans"), BROADCAST_HITS) else found
-    joined = own.join(hits, "~row", "left").where(F.coalesce(F.col("~items"), F.lit(0)) <= most_items)
-    text = F.aggregate("~spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])).alias("out")), lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1)))
-    kept = joined.withColumn(text_col, F.when(F.col("~spans").isNotNull(), text).otherwise(F.col(text_col))).select(*docs.columns)
+    row, items, at = (unused(docs, c) for c in ("~row", "~items", "~spans"))
+    own = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = contamination(own, benchmark, row, text_col, item_col, item_text_col).where("n_hit > 0")
+    found = checkpoint(found.select(F.col("doc_id").alias(row), F.size("item_ids").alias(items), F.col("spans").alias(at)))
+    hits = F.broadcast(found) if fits(found, F.lit(1) + F.size(at), BROADCAST_HITS) else found
+    joined = own.join(hits, row, "left").where(F.coalesce(F.col(items), F.lit(0)) <= most_items)
+    text = F.aggregate(at, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])).alias("out")), lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1)))
+    kept = joined.withColumn(text_col, F.when(F.col(at).isNotNull(), text).otherwise(F.col(text_col))).select(*(f"`{c}`" for c in docs.columns))
     return with_lengths(kept, text_col, length_col)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import arrow_pass, as_bytes, checkpoint, fits, table, written
+from .common import arrow_pass, as_bytes, checkpoint, fits, table, unused, written
 from .graph import components, forest, in_buckets
 
 SHINGLE = 4
@@ -150,20 +150,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: the one with the smallest id, a null id only if there is no other."""
     at, names = docs.columns.index(text_col), docs.columns
-    schema = StructType([StructField("~row", LongType()), StructField("~fp", LongType()), *docs.schema.fields])
+    row, own_fp = unused(docs, "~row"), unused(docs, "~fp")
+    schema = StructType([StructField(row, LongType()), StructField(own_fp, LongType()), *docs.schema.fields])
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fp = np.array([fingerprint(t) for t in as_bytes(batch.column(at))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(fp), pa.int64()), pa.array(fp), *batch.columns], names=["~row", "~fp", *names])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(fp), pa.int64()), pa.array(fp), *batch.columns], names=[row, own_fp, *names])
 
-    marked = written(arrow_pass(docs, each, schema).withColumn("~row", F.monotonically_increasing_id()))
-    own = marked.select(F.col("~row").alias("row"), F.col("~fp").alias("fp"), F.col(id_col).alias("id"))
+    marked = written(arrow_pass(docs, each, schema).withColumn(row, F.monotonically_increasing_id()))
+    own = marked.select(F.col(f"`{row}`").alias("row"), F.col(f"`{own_fp}`").alias("fp"), F.col(id_col).alias("id"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     distinct = own.groupBy("fp").agg(first)
     of = components(links(distinct, distance)).withColumnRenamed("node", "fp")
     best = distinct.join(of, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
-    stay = checkpoint(best.select(F.col("first.row").alias("~row")))
-    return marked.join(F.broadcast(stay) if fits(stay, F.lit(1), BROADCAST_ROWS) else stay, "~row", "left_semi").select(*names)
+    stay = checkpoint(best.select(F.col("first.row").alias(row)))
+    return marked.join(F.broadcast(stay) if fits(stay, F.lit(1), BROADCAST_ROWS) else stay, row, "left_semi").select(*(f"`{c}`" for c in names))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

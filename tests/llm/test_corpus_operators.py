@@ -492,6 +492,35 @@ def test_pipeline_of_nothing_and_of_oddities(spark, sf):
         assert sorted({r["doc_id"] for r in docs.collect()}) == want
 
 
+def test_pipeline_keeps_clashing_columns_and_whole_long_texts(spark, sf):
+    shape = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    long = " ".join(f"word{i} and" for i in range(40_000)) + " the end"
+    odd = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, "quite plain words here", "en", "s", 22), (3, "token=abcdefghijklmnop and more words", "en", None, 36)], shape.schema)
+    for n, c in enumerate(("~row", "~fp", "~items", "~spans", "~ROW~", "row", "fp", "doc_tokens", "spans", "key", "mark", "component", "batch")):
+        odd = odd.withColumn(c, F.lit(n))
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf))
+        assert docs.columns == odd.columns, name
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    assert set(rows) == {1, 2, 3} and rows[1]["text"] == long and rows[3]["text"] == "[SECRET:assign] and more words" and rows[3]["n_chars"] == 30
+    assert all(r["~row"] == 0 and r["~spans"] == 3 and r["batch"] == 12 for r in rows.values())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 1) == next(r["doc_tokens"] for r in packed if r["doc_id"] == 1) > 80_000
+
+
+def test_pipeline_run_drops_what_it_has_read(spark, sf, tmp_path):
+    import os
+
+    from simlake.operators.runtime import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    made = [f for f in set(os.listdir(folder)) - before if f.startswith("table-")]
+    assert len(made) <= 3  # the last stage's input, and the two that stages read lazily
+
+
 @pytest.mark.parametrize("name", ["op2_decontaminate", "op9_embeddings"])
 def test_equals_sql(spark, sf, name):
     import duckdb
