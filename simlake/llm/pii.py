@@ -11,8 +11,13 @@
 Patterns use possessive repeats and look-behind, so that a match takes time linear in the text and no recursion. A row is
 handled on its own: nothing is exploded or collected, and only a small input is dealt out over the cores first.
 
-Edge cases: null text is an empty text; offsets are code points, end exclusive; repeated rows give repeated results; an
-empty table gives an empty result; other columns are ignored.
+What the generators propose is as long as its kind can be: 9 digits of a national id, 15 to 34 characters of a bank account,
+7 to 10 digits of a local phone number, eight groups of an IPv6 address; masked email addresses and bare numbers (8
+characters or more, digits with single spaces or dashes between them) have no greatest length.
+
+Edge cases: null text is an empty text; texts of any length are read whole; offsets are code points, end exclusive; of
+overlapping candidates with one score the first stays, and at one place the shorter; repeated rows give repeated results;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +45,9 @@ GENERATORS = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z])",
     "tel": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])",
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[{](?:at|AT|@)[)\]}] ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[(\[{](?:dot|DOT|\.)[)\]}] ?)[A-Za-z0-9-]{2,24}+)++",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[{](?:at|AT|@)[)\]}] ?[A-Za-z0-9-]++(?:(?:\.| ?[(\[{](?:dot|DOT|\.)[)\]}] ?)[A-Za-z0-9-]{2,}+)++",
     "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
-    "number": r"(?<![0-9A-Za-z.,+])[0-9][0-9 -]{6,28}[0-9](?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z.,+])(?<![0-9][ -])(?=[0-9][0-9 -]{6}[0-9]|[0-9][0-9 -]{7})[0-9]++(?:[ -][0-9]++)*+(?![0-9A-Za-z])",
 }
 CONTEXT = {
     "ctx_id": r"(?i)(?:ssn|social security|tax id|passport|national id|sozialversicherung|steuer-?id|s[eé]curit[eé] sociale|dni|nss)[^a-z0-9]{0,6}(?:(?:no|nr|number|is)\b[^a-z0-9]{0,4})?$",
@@ -113,6 +118,14 @@ def _matches(text: Column, kind: str, pattern: str, around: bool) -> Column:
     return F.when(text.rlike(NEEDED[kind]), _let(pairs, lambda p: _let(cut(p), walked))).otherwise(empty)
 
 
+def _stretches(spans: Column) -> Column:
+    """The sorted spans of a kind in stretches of BLOCK, each with its first start and last end: what does not meet a stretch is not compared with its spans."""
+    part = lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), part)
+    told = F.transform(cut, lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("start"), F.get(p, F.size(p) - 1)["end"].alias("end"), p.alias("part")))
+    return F.when(F.size(spans) > 0, told).otherwise(F.array().cast(f"array<struct<start:int,end:int,part:{_SPAN}>>"))
+
+
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then(value)`` with the value computed once a row; an expression inside a lambda is computed for every element."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -282,7 +295,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     base = [_matches(text, k, PATTERNS[k], False) for k in BASE]
     candidates = [_matches(text, k, GENERATORS[k], True) for k in ADDED]
-    out = out.select("doc_id", "text", F.concat(*base).alias("base"), F.concat(*candidates).alias("found"))
+    out = out.select("doc_id", "text", F.array(*base).alias("by_kind"), F.concat(*candidates).alias("found"))
+    out = out.select("doc_id", "text", F.flatten("by_kind").alias("base"), F.when(F.size("found") > 0, F.flatten(F.transform("by_kind", _stretches))).alias("stretches"), "found")
 
     def described(c: Column) -> Column:
         numbers = F.struct(*(f.alias(k) for k, f in zip(FEATURES, _features(c))))
@@ -296,7 +310,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     cut = F.lit(math.inf)
     overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    apart = F.filter("found", lambda c: ~F.exists("base", lambda b: overlap(b, c)))
+    apart = F.filter("found", lambda c: ~F.exists("stretches", lambda k: overlap(k, c) & F.exists(k["part"], lambda b: overlap(b, c))))
     ranked = F.array_sort(F.transform(F.transform(apart, described), scored))
     out = out.withColumn("ranked", F.when(F.size("found") > 0, ranked))
 

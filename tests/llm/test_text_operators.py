@@ -63,6 +63,31 @@ def test_pii_adds_what_the_trees_select(spark):
     assert marked.startswith("SSN: [SSN], call [TEL]. IBAN [IBAN] [MAIL] account number [NUMBER], page 12345678,")
 
 
+def test_pii_reads_long_runs_and_many_matches(spark):
+    local, number = "a" * 200, "1234 " * 30 + "5"
+    many = "+1 555 123 4567 a@b.co 12345678 " * 1500
+    texts = [f"mail {local} (at) {'b' * 70} (dot) {'c' * 30}", f"account number {number}x, account number {number}.", many, "1 " * 60_000 + "a", "12345678 1234567"]
+    rows = {r["doc_id"]: r for r in pii.personal_data(documents(spark, texts)).collect()}
+    assert [texts[0][s["start"] : s["end"]] for s in rows[0]["added"]] == [texts[0][5:]]
+    assert all(s["kind"] != "number" or texts[1][s["end"]] == "." for s in rows[1]["added"])
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in rows[2]["base"]] == base_pii(many)
+    assert not any(a["start"] < b["end"] and b["start"] < a["end"] for a in rows[2]["added"][:50] for b in rows[2]["base"][:200])
+    for r in rows.values():
+        assert all(s["end"] <= len(texts[r["doc_id"]]) for s in r["added"])
+
+
+def test_pii_precision_and_recall_of_what_is_added(spark):
+    """On examples of another seed than the trees and thresholds are fitted on."""
+    rows = pii.examples(30, seed=99)
+    texts = [before + m + after for _, before, m, after, _ in rows]
+    found = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["added"]} for r in pii.personal_data(documents(spark, texts)).collect()}
+    hit = miss = wrong = 0
+    for i, (kind, before, m, _, label) in enumerate(rows):
+        said = (kind, len(before), len(before) + len(m)) in found[i]
+        hit, miss, wrong = hit + (said and label), miss + (not said and label), wrong + (said and not label)
+    assert hit / (hit + wrong) >= 0.95 and hit / (hit + miss) >= 0.9
+
+
 def test_pii_plan_is_native(spark, sf):
     plan = pii.op1_pii(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|hashpartitioning|SinglePartition|Join", plan)
