@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from simlake.functions import vectors as V
 from simlake.operators import cluster, losses, order, scoring, stats
-from simlake.operators.runtime import table
+from simlake.operators.runtime import checkpoint, table
 from simlake.plans.common import UNIT, E, descriptors, lloyd, six, vectors
 from simlake.sources import datasets, reports
 
@@ -89,20 +89,24 @@ def los1_soft_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def los2_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _batch(spark, sf_dir)
+    soft = checkpoint(losses.probabilities(own))
     kinds = {"plain": {}, "log": {"log_loss": True}, "classes": {"classes": [0, 2]}, "smooth": {"smooth": 1.0}, "ignore": {"ignore_index": 1}, "binary": {"mode": "binary"}}
     out = None
     for name, settings in kinds.items():
-        part = losses.dice_loss(own, **settings).select(F.lit(name).alias("kind"), six("loss").alias("loss"))
+        batch = (own, {}) if "mode" in settings else (soft, {"from_logits": False})
+        part = losses.dice_loss(batch[0], **batch[1], **settings).select(F.lit(name).alias("kind"), six("loss").alias("loss"))
         out = part if out is None else out.unionAll(part)
     return out
 
 
 def los3_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _batch(spark, sf_dir)
+    soft = checkpoint(losses.probabilities(own))
     kinds = {"plain": {}, "gamma": {"gamma": 3.0}, "alpha": {"alpha": [1.0, 2.0, 3.0, 4.0]}, "ignore": {"ignore_index": 1}, "binary": {"mode": "binary", "alpha": 0.25, "normalize_weights": False}}
     out = None
     for name, settings in kinds.items():
-        part = losses.focal_loss(own, **settings).select(F.lit(name).alias("kind"), six("loss").alias("loss"))
+        batch = (own, {}) if "mode" in settings else (soft, {"from_logits": False})
+        part = losses.focal_loss(batch[0], **batch[1], **settings).select(F.lit(name).alias("kind"), six("loss").alias("loss"))
         out = part if out is None else out.unionAll(part)
     return out
 

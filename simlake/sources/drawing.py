@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 #: Rows that a chart may read; a larger table is an error, not a longer wait.
@@ -29,6 +30,18 @@ def _drawn(path: str, draw: Callable, title: str, x: str = "", y: str = "") -> N
     figure.savefig(path, bbox_inches="tight")
 
 
+def picture(pixels: np.ndarray, path: str, title: str = "") -> None:
+    """An (H, W, 3) image or an (H, W) mask, without axes."""
+    if pixels.ndim not in (2, 3) or pixels.ndim == 3 and pixels.shape[2] != 3:
+        raise ValueError(f"an image is (H, W, 3) or (H, W), not {pixels.shape}")
+
+    def draw(a) -> None:  # noqa: ANN001
+        a.imshow(pixels)
+        a.axis("off")
+
+    _drawn(path, draw, title)
+
+
 def heatmap(df: DataFrame, path: str, title: str = "") -> None:
     """Of reports.heatmap."""
     cells = [r["cells"] for r in _rows(df, "row")]

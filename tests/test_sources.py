@@ -11,7 +11,7 @@ from simlake.functions import vectors as V
 from simlake.functions.vectors import is_image
 from simlake.operators import images, stats
 from simlake.operators.codebook import Codebook
-from simlake.sources import archives, datasets, drawing, matfiles, records, reports
+from simlake.sources import archives, datasets, drawing, hdf5, matfiles, records, reports
 from simlake.streaming import scoring as streaming
 
 
@@ -213,6 +213,34 @@ def test_archives(tmp_path):
     assert "hello" in (tmp_path / "logs/simlake.log").read_text()
 
 
+def test_hdf5_round_trip_where_there_is_h5py(tmp_path):
+    record = {"n": 3, "s": "é", "m": np.arange(6.0).reshape(2, 3), "in": {"l": [1, 2], "names": ["a", "b"]}}
+    try:
+        import h5py  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError, match="h5py"):
+            hdf5.save(record, f"{tmp_path}/x.h5")
+        return
+    hdf5.save(record, f"{tmp_path}/x.h5")
+    got = hdf5.load(f"{tmp_path}/x.h5")
+    assert got["n"] == 3 and got["s"][0] == "é" and np.array_equal(got["m"], record["m"]) and got["in"]["names"].tolist() == ["a", "b"]
+
+
+def test_modules_by_name():
+    class Model:
+        def named_modules(self):
+            return [("", self), ("features.0", "first"), ("features.1", "second")]
+
+    assert images.submodule(Model(), "features.1") == "second"
+    with pytest.raises(ValueError, match="features.0"):
+        images.submodule(Model(), "other")
+
+
+def test_pictures_have_shapes(tmp_path):
+    with pytest.raises(ValueError):
+        drawing.picture(np.zeros((2, 2, 4)), f"{tmp_path}/x.png")
+
+
 def test_drawing_says_what_it_needs(spark, tmp_path):
     df = spark.createDataFrame([(0, 1.0, 2.0)], "i int, x double, y double")
     with pytest.raises(ValueError):
