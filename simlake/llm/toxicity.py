@@ -9,8 +9,9 @@ rows turns the two into a score.
 
 The counts cover all labelled rows of folds 0, 1 and 3 and grow with them. Counts, backoff and ratios are made by shuffles
 in tasks; no window holds more than the 4096 sequences of one context. Texts are scored with an index of the sequences and
-contexts, ten bytes each, that is broadcast. SEQUENCES bounds it: past that many the sequences nearest to what their context
-says anyway are left to their context.
+contexts, ten bytes each, that is broadcast. Past SEQUENCES the index is cut by ranges of keys into pages of that many. Every
+sequence and every context lies in the page of its range, a worker holds one page at once, and each text is asked of all
+pages, so the scores are those of one index.
 
 Calibration reads at most CALIBRATION rows of each class from fold 3, measured by a model of folds 0 and 1 alone; the
 final model then counts fold 3 too. Both come from one pass over the counts. Fold 2 is never learned from.
@@ -25,23 +26,28 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, checkpoint, fits, fold, least, table
+from .common import BATCH_ROWS, arrow_pass, checkpoint, fits, fold, least, ship, spread, table
 
 ORDER = 5
 BITS = 12
 SYMBOLS = 1 << BITS
 DISCOUNT = 0.75
 CALIBRATION = 3000
-#: Most sequences of the index that scores texts: 240 MB in a worker. Contexts are fewer.
+#: Most sequences of a page of the index that scores texts. With 5.3 million contexts a worker took up to 1053 MB to build a full one. Contexts are fewer.
 SEQUENCES = 16_000_000
+#: Characters of texts that a worker gathers before it goes through the pages of an index that has several.
+GATHERED = 16_000_000
 #: Labelled rows up to which the labels are broadcast to the texts; beyond, both are shuffled.
 BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
@@ -138,18 +144,21 @@ class Index:
 
 @dataclass
 class Ratios:
-    """Log ratio of the classes for every sequence that was seen, and for every context (the place of a sequence that was not)."""
+    """Log ratio of the classes for every sequence that was seen, and for every context (the place of a sequence that was not), of the page of keys from ``first`` to before ``end``."""
 
     keys: np.ndarray
     ratio: np.ndarray
     contexts: np.ndarray
     context_ratio: np.ndarray
+    first: int = 0
+    end: int = 1 << BITS * ORDER
 
 
 class Lookup:
-    """The ratio of every sequence: its own if it was seen, else that of its context, else none."""
+    """The ratio of every sequence of the page: its own if it was seen, else that of its context, else none; 0 for those of other pages."""
 
     def __init__(self, ratios: Ratios):
+        self.first, self.end = ratios.first, ratios.end
         self.sequences, self.contexts = Index(ratios.keys, ratios.ratio), Index(ratios.contexts, ratios.context_ratio)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
@@ -157,7 +166,8 @@ class Lookup:
             return np.zeros(len(keys))
         place = self.sequences.find(keys)
         out = self.sequences.values[place].astype(np.float64)
-        unseen = np.flatnonzero(place < 0)
+        out[place < 0] = 0
+        unseen = np.flatnonzero((place < 0) & (keys >= self.first) & (keys < self.end))
         context = self.contexts.find(keys[unseen] >> BITS)
         out[unseen] = np.where(context < 0, 0, self.contexts.values[context])
         return out
@@ -203,29 +213,56 @@ def ratios(counts: DataFrame, models: list[str]) -> DataFrame:
     return known.select("key", "context", *columns)
 
 
-def _collected(found: DataFrame, model: str, most: int) -> Ratios:
-    """A model's ratios; past ``most`` sequences those that differ most from their contexts."""
-    own = found.where(F.col(f"ratio_{model}").isNotNull())
-    of_contexts = own.groupBy("context").agg(F.first(f"free_{model}").cast("float").alias("ratio")).toArrow()
-    kept = own.select("key", F.col(f"ratio_{model}").cast("float").alias("ratio"), F.abs(F.col(f"ratio_{model}") - F.col(f"free_{model}")).alias("far"))
-    if kept.count() > most:
-        kept = kept.orderBy(F.desc("far"), "key").limit(most)
-    of_keys = kept.select("key", "ratio").toArrow()
+def _own(found: DataFrame, model: str) -> DataFrame:
+    """(key, context, ratio, free) of the sequences that a model has."""
+    return found.where(F.col(f"ratio_{model}").isNotNull()).select("key", "context", F.col(f"ratio_{model}").cast("float").alias("ratio"), F.col(f"free_{model}").cast("float").alias("free"))
+
+
+def _bounds(found: DataFrame, model: str, most: int) -> list[int]:
+    """The first key of each page and the end of the last: pages of ``most`` of the model's sequences in the order of their keys, the last of what is left."""
+    own, span = _own(found, model), 1 << BITS * ORDER
+    if own.count() <= most:
+        return [0, span]
+    ordered = checkpoint(own.select("key").orderBy("key").withColumn("at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))  # the task, and the row in it
+    sizes = sorted((r["part"], r["n"]) for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = F.create_map(*(F.lit(x).cast("long") for (p, _), n in zip(sizes, accumulate((n for _, n in sizes), initial=0)) for x in (p, n)))
+    firsts = sorted(r["key"] for r in ordered.where((before[part] + place) % most == 0).select("key").collect())
+    return [0, *firsts[1:], span]
+
+
+def _collected(found: DataFrame, model: str, most: int, page: int = 0, bounds: list[int] | None = None) -> Ratios:
+    """A page of a model's ratios; there is one of all sequences up to ``most``."""
+    first, end = (bounds or _bounds(found, model, most))[page : page + 2]
+    own, start = _own(found, model), F.shiftleft("context", BITS)
+    of_keys = own.where((F.col("key") >= first) & (F.col("key") < end)).select("key", "ratio").toArrow()
+    of_contexts = own.where((start + (SYMBOLS - 1) >= first) & (start < end)).groupBy("context").agg(F.first("free").alias("ratio")).toArrow()
     columns = [t.column(c).to_numpy() for t, names in ((of_keys, ("key", "ratio")), (of_contexts, ("context", "ratio"))) for c in names]
-    return Ratios(columns[0], columns[1].astype(np.float16), columns[2], columns[3].astype(np.float16))
+    return Ratios(columns[0], columns[1].astype(np.float16), columns[2], columns[3].astype(np.float16), first, end)
 
 
 def features(texts: list[str | None], lookup: Lookup) -> np.ndarray:
     """(texts, 3): the ratio a symbol of the whole text, that of its most toxic word, and the log of 1 + the words above EVIDENCE."""
-    return np.concatenate([np.zeros((0, 3)), *(_features(run, lookup) for _, run in parts(texts))])
+    return np.concatenate([np.zeros((0, 3)), *(_features(run, lookup.of) for _, run in parts(texts))])
 
 
-def _features(texts: list[str | None], lookup: Lookup) -> np.ndarray:
+def paged_features(texts: list[str | None], pages: Iterable[Lookup]) -> np.ndarray:
+    """The same by the pages of an index; all texts are asked of a page before the next is taken."""
+    runs = [run for _, run in parts(texts)]
+    ratios = [np.zeros(0, np.float16)] * len(runs)
+    for page in pages:
+        for i, run in enumerate(runs):
+            own = page.of(sequences(run)[0]).astype(np.float16)
+            ratios[i] = ratios[i] + own if len(ratios[i]) else own  # but one of the pages say 0
+    return np.concatenate([np.zeros((0, 3)), *(_features(run, lambda key, r=r: r.astype(np.float64)) for run, r in zip(runs, ratios))])
+
+
+def _features(texts: list[str | None], of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     key, text, symbol = sequences(texts)
     out = np.zeros((len(texts), 3))
     if not len(key):
         return out
-    r = lookup.of(key)
+    r = of(key)
     n = np.bincount(text, minlength=len(texts))
     out[:, 0] = np.bincount(text, r, len(texts)) / np.maximum(n, 1)
     start = np.flatnonzero(np.r_[True, (symbol[:-1] == 0) | (text[1:] != text[:-1])])  # a word has its closing boundary
@@ -279,6 +316,8 @@ class Scorer:
     center: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    #: The pages after the first.
+    more: list[Broadcast] = field(default_factory=list)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = ((x - self.center) / self.scale) @ self.weights[:-1] + self.weights[-1]
@@ -295,6 +334,46 @@ def _with(run: str, sent: Ratios) -> Lookup:
     return _LOOKUPS[run]
 
 
+def _loaded(sent: Broadcast) -> Ratios:
+    """A page read from its file, which ``value`` would keep."""
+    path = getattr(sent, "_path", None)  # an encrypted broadcast has none
+    return sent.value if path is None else sent.load_from_path(path)
+
+
+def _sent(found: DataFrame, model: str, most: int) -> tuple[Ratios, list[Broadcast]]:
+    """The first page, and the others as they are broadcast; the driver holds two at once."""
+    bounds, send = _bounds(found, model, most), found.sparkSession.sparkContext.broadcast
+    others = [send(_collected(found, model, most, i, bounds)) for i in range(1, len(bounds) - 1)]
+    return _collected(found, model, most, 0, bounds), others
+
+
+def _measured(df: DataFrame, text: int, pages: list[Broadcast], made: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``made`` of slices of ``df`` and the features of the texts in column ``text``: no shuffle. With several pages slices are gathered up to GATHERED characters."""
+    ship(df.sparkSession)
+    run, most = uuid.uuid4().hex, GATHERED if len(pages) > 1 else 0
+
+    def through(slices: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, at = [t for s in slices for t in s.column(text).to_pylist()], 0
+        x = features(texts, _with(run, pages[0].value)) if len(pages) == 1 else paged_features(texts, (Lookup(_loaded(p)) for p in pages))
+        for s in slices:
+            yield made(s, x[at : at + s.num_rows])
+            at += s.num_rows
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                gathered.append(batch.slice(at, BATCH_ROWS))
+                size += pc.sum(pc.utf8_length(gathered[-1].column(text))).as_py() or 0
+                if size >= most:
+                    yield from through(gathered)
+                    gathered, size = [], 0
+        if gathered:
+            yield from through(gathered)
+
+    return spread(df).mapInArrow(over, schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     """Learn from (doc_id, text) and (doc_id, toxic); None without rows of both classes."""
     spark = docs.sparkSession
@@ -308,36 +387,36 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     if not all(seen) or len(sizes) < 2:
         return None
     found = checkpoint(ratios(every, ["apart", "whole"]))
-    sent, run = spark.sparkContext.broadcast(_collected(found, "apart", SEQUENCES)), uuid.uuid4().hex
+    first, others = _sent(found, "apart", SEQUENCES)
+    sent = [spark.sparkContext.broadcast(first), *others]
     sample = [(r["doc_id"], r["toxic"]) for r in least(held, "toxic", sizes, "mark", ["doc_id"], CALIBRATION)]
 
-    def measured(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = features(batch.column(0).to_pylist(), _with(run, sent.value))
-        yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], names=["toxic", "a", "b", "c"])
+    def measured(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], names=["toxic", "a", "b", "c"])
 
     known = docs.where(fold(F.col("doc_id")) == 3).join(F.broadcast(spark.createDataFrame(sample, "doc_id long, toxic int")), "doc_id").select("text", "toxic")
-    rows = np.array(sorted(tuple(r) for r in arrow_pass(known, measured, "toxic int, a double, b double, c double").collect()), np.float64)
-    sent.destroy()
+    rows = np.array(sorted(tuple(r) for r in _measured(known, 0, sent, measured, "toxic int, a double, b double, c double").collect()), np.float64)
+    for page in sent:
+        page.destroy()
     if not len(rows) or len(set(rows[:, 0])) < 2:
         return None
     y, taken = rows[:, 0], np.bincount(rows[:, 0].astype(int), minlength=2)
     share = np.array([sizes.get(k, 0) / max(taken[k], 1) for k in (0, 1)])
     weight = share[y.astype(int)]
-    return Scorer(_collected(found, "whole", SEQUENCES), *logistic(rows[:, 1:], y, weight / weight.mean()))
+    first, others = _sent(found, "whole", SEQUENCES)
+    return Scorer(first, *logistic(rows[:, 1:], y, weight / weight.mean()), others)
 
 
 def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """(doc_id, score) for every row."""
     if scorer is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    sent, run = docs.sparkSession.sparkContext.broadcast(scorer), uuid.uuid4().hex
+    sent, own = [docs.sparkSession.sparkContext.broadcast(scorer.ratios), *scorer.more], replace(scorer, ratios=None, more=[])
 
-    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        p = own.scores(features(batch.column(1).to_pylist(), _with(run, own.ratios)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
+    def each(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(x))], names=["doc_id", "score"])
 
-    return arrow_pass(docs, each, "doc_id long, score double")
+    return _measured(docs, 1, sent, each, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:

@@ -386,6 +386,27 @@ def test_scores_equal_their_definition(spark):
     assert np.isfinite(few).all()
 
 
+def test_pages_of_the_index_equal_the_whole(spark):
+    found = toxicity.ratios(counted(spark, TOXIC, ORDINARY), ["m"])
+    whole = toxicity._collected(found, "m", 10**6)
+    texts = [*TOXIC, *ORDINARY, "grumxet abrab", "zzzz дурачок 日本", None, "a"]
+    for most in (4, 17):
+        bounds = toxicity._bounds(found, "m", most)
+        pages = [toxicity._collected(found, "m", most, i, bounds) for i in range(len(bounds) - 1)]
+        assert [len(p.keys) for p in pages[:-1]] == [most] * (len(pages) - 1) and len(pages) > 3
+        assert sorted(k for p in pages for k in p.keys) == sorted(whole.keys)
+        assert np.array_equal(toxicity.paged_features(texts, map(toxicity.Lookup, pages)), toxicity.features(texts, toxicity.Lookup(whole)))
+
+
+def test_toxicity_past_the_size_of_the_index(spark, monkeypatch):
+    df = toxic_corpus(spark, 300)
+    scores = lambda: sorted(tuple(r) for r in toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect())
+    want = scores()
+    monkeypatch.setattr(toxicity, "SEQUENCES", 900)
+    monkeypatch.setattr(toxicity, "GATHERED", 5000, raising=False)
+    assert scores() == want
+
+
 def test_index_finds_every_key():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 60, 5000))
