@@ -14,15 +14,23 @@ from .common import checkpoint
 #: Members of a bucket that one task compares at once; larger buckets are cut into blocks, and pairs of blocks are dealt out.
 BLOCK = 2048
 
+#: Nodes whose edges share a file of a round, where the number of nodes is told.
+NODES = 100_000
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of ``edges(a, b)``.
 
     Alternates large-star and small-star steps: each round's groups only need the minimum of a node's neighbours, which
     is combined before the shuffle, and a hub's edges are spread over its neighbours. Rounds grow with the logarithm of
     the longest path. Nulls and self-loops are dropped; an empty input gives an empty result.
+
+    Rounds are checkpointed in a file a shuffle partition. If the number of ``nodes`` is told, in a file for each NODES of
+    them, at least one a core: on local disks Hadoop starts processes for every file, each for a moment as large as the executor.
     """
-    now = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    files = None if nodes is None else max(edges.sparkSession.sparkContext.defaultParallelism, -(-nodes // NODES))
+    kept = lambda df: checkpoint(df if files is None else df.coalesce(files))
+    now = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = checkpoint(small.where("u <> v").distinct())
+        after = kept(small.where("u <> v").distinct())
         mark = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             break

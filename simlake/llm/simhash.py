@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id) for every row of ``docs``."""
     own = checkpoint(fingerprints(docs, id_col, text_col))
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    of = components(links(distinct, distance)).withColumnRenamed("node", "fp")
+    of = components(links(distinct, distance), distinct.count()).withColumnRenamed("node", "fp")
     named = distinct.join(of, "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")

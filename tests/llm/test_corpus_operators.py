@@ -75,6 +75,29 @@ def test_simhash_edges(spark):
     assert simhash.deduplicated(df).where("doc_id is null").count() == 1  # the text of no other group
 
 
+def test_simhash_of_a_small_table_keeps_its_rounds_in_few_files(spark, sf, monkeypatch):
+    files, plain = [], graph.checkpoint
+
+    def kept(df):
+        out = plain(df)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(graph, "checkpoint", kept)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("30", "false")):
+            spark.conf.set(k, v)
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        got = simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = docs.collect()
+    check_simhash([tuple(r) for r in got], [d["text"] for d in rows], [d["doc_id"] for d in rows])
+    assert files[0] == 30 and len(files) > 2 and max(files[1:]) <= 4  # the buckets, then the rounds
+
+
 def test_hot_buckets_are_dealt_out_in_blocks(spark, monkeypatch):
     rng, plain = np.random.default_rng(1), graph.in_buckets
     base, fps = int(rng.integers(0, 2**63)), set()
