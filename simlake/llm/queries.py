@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings
+from . import chat, decontaminate, embeddings, lines
 from .chat import op8_chat
 from .decontaminate import op2_decontaminate
 from .embeddings import op9_embeddings
 from .html_text import op7_html
 from .language import op3_language
+from .lines import op11_lines
 from .packing import op4_packing
 from .pii import op1_pii
 from .secrets import op5_secrets
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_embeddings": op9_embeddings,
     "op10_simhash": op10_simhash,
+    "op11_lines": op11_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op8_chat": chat.ORACLE,
     "op9_embeddings": embeddings.ORACLE,
+    "op11_lines": lines.ORACLE,
 }
