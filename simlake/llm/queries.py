@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, lines
+from . import chat, decontaminate, embeddings, lines, repair
 from .chat import op8_chat
 from .decontaminate import op2_decontaminate
 from .embeddings import op9_embeddings
@@ -15,6 +15,7 @@ from .language import op3_language
 from .lines import op11_lines
 from .packing import op4_packing
 from .pii import op1_pii
+from .repair import op12_repair
 from .secrets import op5_secrets
 from .simhash import op10_simhash
 from .toxicity import op6_toxicity
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embeddings": op9_embeddings,
     "op10_simhash": op10_simhash,
     "op11_lines": op11_lines,
+    "op12_repair": op12_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -38,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat": chat.ORACLE,
     "op9_embeddings": embeddings.ORACLE,
     "op11_lines": lines.ORACLE,
+    "op12_repair": repair.ORACLE,
 }
