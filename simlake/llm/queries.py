@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, lines, repair
+from . import chat, decontaminate, divergence, embeddings, lines, repair
 from .chat import op8_chat
 from .decontaminate import op2_decontaminate
+from .divergence import op13_divergence
 from .embeddings import op9_embeddings
 from .html_text import op7_html
 from .language import op3_language
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_lines": op11_lines,
     "op12_repair": op12_repair,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -41,4 +43,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_embeddings": embeddings.ORACLE,
     "op11_lines": lines.ORACLE,
     "op12_repair": repair.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
