@@ -267,8 +267,10 @@ def deduplicated(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
     sent = sc.broadcast({bytes(r["token"]): r["first"] for r in top})
     lost, work = unused(docs, "lost"), docs
     if n > held:
-        docs_least, token_least = top[-1]["docs"], top[-1]["token"]
-        rest = frequent.where((F.col("docs") < docs_least) | ((F.col("docs") == docs_least) & (F.col("token") > F.lit(token_least)))) if top else frequent
+        rest = frequent
+        if top:
+            least, token = top[-1]["docs"], F.lit(top[-1]["token"])
+            rest = frequent.where((F.col("docs") < least) | ((F.col("docs") == least) & (F.col("token") > token)))
         holding = _holding(docs, text_col, rest, known, min_chars).withColumnRenamed("lost", lost)
         digest = unused(docs, "digest")
         work = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
