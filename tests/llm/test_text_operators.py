@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -290,7 +291,7 @@ def test_html_short_blocks_by_their_neighbours():
     links = "<p><a href=x>Home</a></p><p>Menu</p><p><a href=x>News now</a></p>"
     body = "".join(f"<h1>{t}</h1>" if t == "Part two" else f"<p>{t}</p>" for t in kept)
     assert html_text.extract(f"{links}{body}{links}") == "\n".join(kept)
-    tree, used = [html_text.grow(list(html_text.LABELLED))], set()
+    tree, used = [html_text.grow(html_text.labelled_rows())], set()
     while tree:
         if isinstance(t := tree.pop(), tuple):
             used.add(t[0])
@@ -333,6 +334,45 @@ def test_html_articles_outweigh_class_words(page):
     assert html_text.extract(f"<div class=sidebar><article>{long}</article><p>{long} after</p></div>") == long
 
 
+WRAPPED = ["<div class='page-header-fixed'>%s</div>", "<div class='content-sidebar-wrap'><div class='content'>%s</div></div>", "<article><div class='share-price-story'>%s</div></article>", "<article><section id='form'>%s</section></article>", "<div class='press-notice'>%s</div>", "<article><section id='copyright'>%s</section></article>", "<article><div class='menu'>%s</div></article>"]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+@pytest.mark.parametrize("sizes", [(60,), (35, 20), (8, 90, 3, 45)])
+def test_html_class_words_do_not_lose_the_page(page, sizes):
+    paragraphs = [" ".join(["word"] * n) for n in sizes]
+    around = "<nav><a href=x>Home</a></nav>%s<footer>Some words at the foot</footer>"
+    for whole in (page, around % page):
+        assert html_text.extract(whole % "".join(f"<p>{p}</p>" for p in paragraphs)) == "\n".join(paragraphs)
+
+
+@pytest.mark.parametrize(("strip", "least"), [(r"\s(class|id)=\"[^\"]*\"", 0.99), (r"\s(class|id)=\"[^\"]*\"|</?article>", 0.9)])
+def test_html_without_names(strip, least):
+    """Of the blocks of pages without class and id, and also without article tags, so many are decided as their labels say."""
+    import html
+
+    right = total = 0
+    for _, page in tables("/root/testdata/sf0.01", "pages", "SELECT page_id, html FROM t"):
+        inner = re.sub(r"<[^>]*\Z", "", re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1])
+        want = Counter(" ".join(html.unescape(re.sub(r"</?b>|<br>", " ", s)).split()) for s in re.split(r"</?p>|</?h1>", inner))
+        del want[""]
+        found = html_text.blocks(re.sub(strip, "", page))
+        got = Counter(b.text for b in html_text.main_blocks(found))
+        right, total = right + len(found) - sum(((got - want) + (want - got)).values()), total + len(found)
+    assert right / total >= least
+
+
+def test_html_neighbours_and_density_decide_on_the_tables():
+    """Without its words, densities and runs the tree cannot tell the tables' adverts from articles whose tags are gone."""
+    grown = html_text.tree()
+    used, open_ = set(), [grown]
+    while open_:
+        if isinstance(node := open_.pop(), tuple):
+            used.add(html_text.FEATURES[node[0]])
+            open_ += node[2:]
+    assert used >= {"words", "density", "words_before", "density_before", "words_after", "density_after", "run", "outside", "share"}
+
+
 def test_html_of_the_tables(spark, sf):
     import html
 
@@ -344,8 +384,8 @@ def test_html_of_the_tables(spark, sf):
 
 
 def test_tree_splits_the_table_it_is_grown_on():
-    tree = html_text.grow(list(html_text.LABELLED))
-    for row in html_text.LABELLED:
+    tree = html_text.grow(html_text.labelled_rows())
+    for row in html_text.labelled_rows():
         t = tree
         while isinstance(t, tuple):
             t = t[2] if row[t[0]] < t[1] else t[3]
