@@ -50,27 +50,79 @@ def per_bag(bagged: DataFrame, fn: Callable[[np.ndarray], np.ndarray], width: in
     return bagged.mapInArrow(each, schema)
 
 
+#: Numbers of the largest array that a product of descriptors and a model makes at once.
+SLICE = 1 << 20
+
+
+def slices(x: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """``x`` by rows, so many that rows times ``width`` stay within SLICE."""
+    step = max(1, SLICE // max(1, width))
+    return (x[a : a + step] for a in range(0, len(x), step))
+
+
 def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """By differences, in slices of bounded memory: exact for equal vectors."""
-    out = np.empty((len(x), len(c)))
-    step = max(1, (8 << 20) // max(1, c.size))
-    for a in range(0, len(x), step):
-        out[a : a + step] = ((x[a : a + step, None, :] - c[None]) ** 2).sum(-1)
-    return out
+    parts = [((part[:, None, :] - c[None]) ** 2).sum(-1) for part in slices(x, c.size)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(c)))
 
 
 def nearest(x: np.ndarray, codebook: Codebook, decimals: int = 9) -> np.ndarray:
-    """The nearest centre; ties, at ``decimals`` of the squared distance, go to the lowest."""
-    return np.round(squared_distances(x, codebook.means), decimals).argmin(1) if len(x) else np.zeros(0, int)
+    """The nearest centre; ties, at ``decimals`` of the squared distance, go to the lowest.
+
+    Distances come from a product around the centres' mean; rows whose two nearest centres are closer than its rounding can
+    tell are decided by differences.
+    """
+    c, out = codebook.means, []
+    shift = c.mean(0)
+    c0 = c - shift
+    own = (c0**2).sum(1)
+    for part in slices(x, len(c) + codebook.dim):
+        y = part - shift
+        size = (y**2).sum(1)
+        d2 = own - 2 * y @ c0.T
+        at, least = d2.argmin(1), d2.min(1)
+        close = 2 * 10.0**-decimals + 1e-14 * codebook.dim * (size + own.max())
+        doubtful = (d2 <= (least + close)[:, None]).sum(1) > 1
+        if doubtful.any():
+            at[doubtful] = np.round(squared_distances(part[doubtful], c), decimals).argmin(1)
+        out.append(at)
+    return np.concatenate(out) if out else np.zeros(0, int)
+
+
+def log_joint(x: np.ndarray, codebook: Codebook) -> np.ndarray:
+    """(n, K): log of weight times density of a diagonal mixture. Two products of n x K, around the mixture's mean, so nothing of n x K x D is made."""
+    shift = codebook.weights @ codebook.means / codebook.weights.sum()
+    y, m, inverse = x - shift, codebook.means - shift, 1 / codebook.variances
+    squares = y**2 @ inverse.T - 2 * y @ (m * inverse).T + (m**2 * inverse).sum(1)
+    return np.log(codebook.weights) - 0.5 * np.log(2 * np.pi * codebook.variances).sum(1) - 0.5 * np.maximum(squares, 0)
+
+
+def responsibilities(x: np.ndarray, codebook: Codebook) -> tuple[np.ndarray, float]:
+    """(n, K) posteriors by log-sum-exp, and the log-likelihood of all rows."""
+    log = log_joint(x, codebook)
+    top = log.max(1, keepdims=True)
+    p = np.exp(log - top)
+    total = p.sum(1, keepdims=True)
+    return p / total, float((top + np.log(total)).sum())
 
 
 def posteriors(x: np.ndarray, codebook: Codebook) -> np.ndarray:
-    """(n, K) of a diagonal mixture, by log-sum-exp."""
-    var = codebook.variances
-    log = np.log(codebook.weights) - 0.5 * np.log(2 * np.pi * var).sum(1) - 0.5 * ((x[:, None, :] - codebook.means[None]) ** 2 / var[None]).sum(-1)
-    log -= log.max(1, keepdims=True)
-    p = np.exp(log)
-    return p / p.sum(1, keepdims=True)
+    """(n, K) of a diagonal mixture."""
+    parts = [responsibilities(part, codebook)[0] for part in slices(x, codebook.k + codebook.dim)]
+    return np.concatenate(parts) if parts else np.zeros((0, codebook.k))
+
+
+def moments(x: np.ndarray, codebook: Codebook, shift: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Over the rows, by centre: the sums of posteriors, of posteriors times x - shift, and times its square; and the log-likelihood. Memory of a slice of rows and of the model."""
+    mass, first, second, likelihood = np.zeros(codebook.k), np.zeros(codebook.means.shape), np.zeros(codebook.means.shape), 0.0
+    for part in slices(x, codebook.k + codebook.dim):
+        p, gained = responsibilities(part, codebook)
+        y = part - shift
+        mass += p.sum(0)
+        first += p.T @ y
+        second += p.T @ y**2
+        likelihood += gained
+    return mass, first, second, likelihood
 
 
 def assign(descriptors: DataFrame, codebook: Codebook) -> DataFrame:
@@ -97,7 +149,11 @@ def posterior_table(descriptors: DataFrame, codebook: Codebook) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, codebook.dim)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(posteriors(x, codebook)), pa.list_(pa.float64()))], names=["image", "desc", "p"])
+            step = max(1, SLICE // codebook.k)
+            for at in range(0, len(x), step):
+                p = posteriors(x[at : at + step], codebook)
+                rows = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), codebook.k).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, step), batch.column(1).slice(at, step), rows], names=["image", "desc", "p"])
 
     kinds = {c: own.schema[c].dataType.simpleString() for c in ("image", "desc")}
     return own.mapInArrow(each, f"image {kinds['image']}, desc {kinds['desc']}, p array<double>")
@@ -210,9 +266,9 @@ class Fisher(Encoder):
         return self.codebook.k * (1 + 2 * self.codebook.dim)
 
     def of_bag(self, x: np.ndarray) -> np.ndarray:
-        c, p = self.codebook, posteriors(x, self.codebook)
-        mass = p.mean(0)[:, None]
-        first, second = p.T @ x / len(x), p.T @ x**2 / len(x)
+        c = self.codebook
+        mass, first, second, _ = (m / len(x) for m in moments(x, c))
+        mass = mass[:, None]
         root = np.sqrt(c.weights)[:, None]
         by_weight = (mass - c.weights[:, None]) / root
         by_mean = (first - mass * c.means) / (root * np.sqrt(c.variances))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simlake.functions.vectors import both_numbers
-from simlake.operators.order import running_total
+from simlake.operators.quantiles import quantiles, rank_correlation, ranks, with_rank
+from simlake.operators.runtime import checkpoint
 
 
 def valid_pairs(pairs: DataFrame) -> DataFrame:
@@ -21,23 +22,22 @@ def correlation(x: str = "x", y: str = "y") -> Column:
 
 
 def average_ranks(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with x and y replaced by ranks, ties sharing their mean.
-
-    Ranks come from running sums over the counts of distinct values, in ranges.
-    """
-    out = pairs
+    """``pairs`` with x and y replaced by ranks, ties sharing their mean."""
+    out, middle = pairs, (pairs.count() + 1) / 2
     for c in ("x", "y"):
-        counts = pairs.groupBy(c).agg(F.count("*").alias("n"))
-        rank = running_total(counts, [c], "~up_to", F.col("n")).select(c, (F.col("~up_to") - (F.col("n") - 1) / 2).alias(f"r{c}"))
-        out = out.join(rank, c)
-    return out.select(F.col("rx").alias("x"), F.col("ry").alias("y"))
+        counts = checkpoint(pairs.groupBy(c).agg(F.count("*").alias("n")))
+        out = with_rank(out, checkpoint(ranks(counts, [], c)), [], c, f"r{c}")
+    return out.select((F.col("rx") + middle).alias("x"), (F.col("ry") + middle).alias("y"))
 
 
 def statistics(pairs: DataFrame) -> DataFrame:
     """One row: pearson, spearman, and of y: std (population), mean, median, n_points."""
     own = valid_pairs(pairs)
-    first = own.agg(correlation().alias("pearson"), F.stddev_pop("y").alias("std"), F.avg("y").alias("mean"), F.median("y").alias("median"), F.count("*").alias("n_points"))
-    return first.crossJoin(F.broadcast(average_ranks(own).agg(correlation().alias("spearman")))).select("pearson", "spearman", "std", "mean", "median", "n_points")
+    first = own.agg(correlation().alias("pearson"), F.stddev_pop("y").alias("std"), F.avg("y").alias("mean"), F.count("*").alias("n_points"))
+    median = quantiles(own, [], "y", [0.5]).select(F.col("q")[0].alias("median"))
+    for more in (rank_correlation(own, []), median):
+        first = first.join(F.broadcast(more), F.lit(True), "left")
+    return first.select("pearson", "spearman", "std", "mean", "median", "n_points")
 
 
 def linear_fit(pairs: DataFrame) -> DataFrame:
@@ -86,17 +86,23 @@ def bins(pairs: DataFrame, n: int = 20, low: float = 0.0, high: float = 1.0) ->
 
 
 def bin_statistics(pairs: DataFrame, n: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Statistics and line of each bin that is open on the left and closed on the right, where it has more than one point."""
+    """Statistics, line and mean squared error of each bin that is open on the left and closed on the right, where it has more than one point."""
     width = (high - low) / n
     own = valid_pairs(pairs).withColumn("bin", (F.ceil((F.col("x") - low) / width) - 1).cast("int")).where(F.col("bin").between(0, n - 1))
-    out = own.groupBy("bin").agg(correlation().alias("pearson"), F.stddev_pop("y").alias("std"), F.avg("y").alias("mean"), F.median("y").alias("median"), F.count("*").alias("n_points"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
-    return out.where(F.col("n_points") > 1)
+    out = own.groupBy("bin").agg(correlation().alias("pearson"), F.stddev_pop("y").alias("std"), F.avg("y").alias("mean"), F.count("*").alias("n_points"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    out = checkpoint(out.where(F.col("n_points") > 1))
+    off = F.col("y") - (F.col("slope") * F.col("x") + F.col("intercept"))
+    errors = own.join(F.broadcast(out.select("bin", "slope", "intercept")), "bin").groupBy("bin").agg(F.avg(off * off).alias("mse"))
+    medians = quantiles(own, ["bin"], "y", [0.5]).select("bin", F.col("q")[0].alias("median"))
+    for more in (rank_correlation(own, ["bin"]), errors, medians):
+        out = out.join(F.broadcast(more), "bin", "left")
+    return out.select("bin", "pearson", "spearman", "std", "mean", "median", "n_points", "slope", "intercept", "mse")
 
 
 def boxes(pairs: DataFrame, n: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges and the number of outliers of every right-open bin; an empty bin has NULLs and no outliers."""
     own = bins(pairs, n, low, high)
-    quart = own.groupBy("bin").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    quart = checkpoint(quantiles(own, ["bin"], "y", [0.25, 0.5, 0.75]))
     quart = quart.select("bin", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = F.col("q3") - F.col("q1")
     within = F.col("y").between(F.col("q1") - 1.5 * reach, F.col("q3") + 1.5 * reach)

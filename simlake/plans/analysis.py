@@ -54,7 +54,8 @@ def stat7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stat8_bin_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.bin_statistics(_pairs(spark, sf_dir), 10, 0.0, 50.0), ("bin", "n_points"), 4)
+    found = stats.bin_statistics(_pairs(spark, sf_dir), 10, 0.0, 50.0).withColumn("mse", F.round("mse", 0))
+    return _rounded(found, ("bin", "n_points"), 4)
 
 
 def stat9_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +283,10 @@ SELECT {", ".join(_R.format(c, 4) for c in ("pearson", "spearman", "std", "mean"
     "stat6_polynomial_error": f"""{_PARABOLA}, k AS (SELECT my - b1 * mx - b2 * mx2 AS b0, b1, b2 FROM r), l AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM xy)
 SELECT round(avg((y - b0 - b1 * x - b2 * x * x) ** 2), 4) AS parabola, round(avg((b0 + b1 * x + b2 * x * x) * x), 4) AS moment, round(avg((y - slope * x - intercept) ** 2), 4) AS line FROM xy, k, l""",
     "stat7_bins": f"WITH {_XY} SELECT CAST(floor(x / 5) AS INTEGER) AS bin, count(*) AS n, round(sum(y), 2) AS y FROM xy WHERE x >= 0 AND x < 50 GROUP BY bin",
-    "stat8_bin_statistics": f"WITH {_XY}, s AS (SELECT CAST(ceil(x / 5) - 1 AS INTEGER) AS bin, {_STAT}, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM xy WHERE x > 0 AND x <= 50 GROUP BY bin HAVING count(*) > 1) SELECT bin, {', '.join(_R.format(c, 4) for c in ('pearson', 'std', 'mean', 'median', 'slope', 'intercept'))}, n_points FROM s",
+    "stat8_bin_statistics": f"""WITH {_XY}, bn AS (SELECT CAST(ceil(x / 5) - 1 AS INTEGER) AS bin, x, y FROM xy WHERE x > 0 AND x <= 50),
+ rk AS (SELECT bin, rank() OVER (PARTITION BY bin ORDER BY x) + (count(*) OVER (PARTITION BY bin, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY bin ORDER BY y) + (count(*) OVER (PARTITION BY bin, y) - 1) / 2.0 AS ry FROM bn), sp AS (SELECT bin, corr(rx, ry) AS spearman FROM rk GROUP BY bin),
+ s AS (SELECT bin, {_STAT}, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM bn GROUP BY bin HAVING count(*) > 1), er AS (SELECT bin, avg((y - slope * x - intercept) ** 2) AS mse FROM bn JOIN s USING (bin) GROUP BY bin)
+SELECT bin, {', '.join(_R.format(c, 4) for c in ('pearson', 'spearman', 'std', 'mean', 'median', 'slope', 'intercept'))}, round(mse, 0) + 0.0 AS mse, n_points FROM s JOIN sp USING (bin) JOIN er USING (bin)""",
     "stat9_boxes": f"""WITH {_XY}, b AS (SELECT CAST(floor((x + 5) / 5) AS INTEGER) AS bin, y FROM xy WHERE x >= -5 AND x < 55), q AS (SELECT bin, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.75) AS q3 FROM b GROUP BY bin),
  w AS (SELECT bin, y, y BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM b JOIN q USING (bin)), s AS (SELECT bin, min(y) FILTER (WHERE inside) AS low_whisker, max(y) FILTER (WHERE inside) AS high_whisker, CAST(count(*) FILTER (WHERE NOT inside) AS BIGINT) AS n_outliers FROM w GROUP BY bin)
 SELECT CAST(g.i AS INTEGER) AS bin, {", ".join(_R.format(c, 4) for c in ("q1", "median", "q3", "low_whisker", "high_whisker"))}, coalesce(n_outliers, 0) AS n_outliers FROM range(12) g(i) LEFT JOIN q ON q.bin = g.i LEFT JOIN s ON s.bin = g.i""",

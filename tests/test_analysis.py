@@ -3,7 +3,9 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from simlake.operators import cluster, losses, stats
+from pyspark.sql import functions as F
+
+from simlake.operators import cluster, losses, quantiles, stats
 
 
 def pairs(spark, rows):
@@ -189,3 +191,59 @@ def test_binary_focal_takes_the_only_channel_as_target_zero(spark):
     assert losses.focal_loss(two, mode="binary", from_logits=False, alpha=0.25, normalize_weights=False).first()["loss"] == pytest.approx(0.25 * (0.7**2 * -np.log(0.3) + 0.4**2 * -np.log(0.6)) / 2)
     with pytest.raises(ValueError):
         loss(alpha=[1.0, 2.0])
+
+
+HARD = [0.0, -0.0, 5e-324, 1e-300, 1e300, -1e300, 1.7e308, -1.7e308, 2.0, 2.0, 2.0, float("inf"), float("-inf"), 1 + 2**-52, 1.0]
+
+
+def test_quantiles_select_by_rank(spark):
+    rng = np.random.default_rng(1)
+    groups = {"hot": rng.normal(size=5000) ** 9, "ties": rng.integers(0, 4, 800).astype(float), "hard": np.array(HARD), "one": np.array([7.0]), "near": 1e9 + rng.integers(0, 99, 300) * 1e-7, None: rng.random(30)}
+    rows = [(g, float(v)) for g, own in groups.items() for v in own] + [("hot", None), ("hot", float("nan")), ("empty", None)]
+    at = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: r["q"] for r in quantiles.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", at).collect()}
+    assert set(got) == set(groups)
+    for g, own in groups.items():
+        own = np.sort(own)
+        for p, q in zip(at, got[g]):
+            h = (len(own) - 1) * p
+            low, high = own[int(np.floor(h))], own[int(np.ceil(h))]
+            assert q == (low if low == high else pytest.approx((1 - h % 1) * low + h % 1 * high, nan_ok=True))
+
+
+def test_quantiles_of_everything_and_of_nothing(spark):
+    df = spark.range(1001).selectExpr("cast(id as double) as v")
+    assert quantiles.quantiles(df, [], "v", [0.5]).collect() == [([500.0],)]
+    assert quantiles.quantiles(df.where("v < 0"), [], "v", [0.5]).collect() == []
+    s = stats.statistics(spark.createDataFrame([], "x double, y double")).first()
+    assert s["n_points"] == 0 and s["median"] is None and s["spearman"] is None
+
+
+def test_a_pass_shuffles_counts_and_not_values(spark):
+    """Whatever the rows, the counts of a pass that leave a task are at most the parts of the open intervals."""
+    df = spark.range(200_000).selectExpr("cast(id % 3 as int) as g", "rand(3) as v")
+    plan = quantiles.quantiles(df, ["g"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect_list(v" not in plan
+    got = {r["g"]: r["q"][0] for r in quantiles.quantiles(df, ["g"], "v", [0.5]).collect()}
+    want = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("held", [quantiles.HELD, 0])
+def test_rank_correlation_in_groups(spark, monkeypatch, held):
+    monkeypatch.setattr(quantiles, "HELD", held)
+    rng = np.random.default_rng(6)
+    rows = [(int(b), float(x), float(y)) for b, x, y in zip(rng.integers(0, 3, 900) ** 3, rng.integers(0, 9, 900), rng.normal(size=900).round(1))] + [(99, 1.0, 2.0), (98, 1.0, 2.0), (98, 1.0, 3.0)]
+    got = {r["b"]: r["spearman"] for r in quantiles.rank_correlation(spark.createDataFrame(rows, "b int, x double, y double"), ["b"]).collect()}
+    assert got.pop(99) is None and got.pop(98) is None
+    for b, s in got.items():
+        own = [(x, y) for g, x, y in rows if g == b]
+        rank = lambda v: [sum(o < a for o in v) + (sum(o == a for o in v) + 1) / 2 for a in v]
+        assert s == pytest.approx(np.corrcoef(rank([x for x, _ in own]), rank([y for _, y in own]))[0, 1])
+
+
+def test_bin_error_is_that_of_its_line(spark):
+    rows = [(0.1, 1), (0.2, 3), (0.3, 2), (0.7, 5), (0.8, 4), (0.9, 9), (1.0, 1)]
+    for r in stats.bin_statistics(pairs(spark, rows), 2).collect():
+        x, y = np.array([p for p in rows if (p[0] > 0.5) == r["bin"]]).T
+        assert r["mse"] == pytest.approx(((np.polyval(np.polyfit(x, y, 1), x) - y) ** 2).mean())

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +174,60 @@ def test_vector_columns(spark):
         one(V.is_subset(F.array(F.lit(1), F.lit(1)), F.array(F.lit(1))))
     with pytest.raises(ValueError):
         V.similarity("none")
+
+
+def test_products_equal_differences(spark):
+    rng = np.random.default_rng(4)
+    book = Codebook(rng.normal(size=(7, 5)) + 1e4, np.full(7, 1 / 7), rng.random((7, 5)) + 0.1)
+    x = rng.normal(size=(300, 5)) + 1e4
+    x[:20] = book.means[:20 % 7].repeat(4, 0)[:20] if 20 % 7 else book.means[:20]
+    x[20] = (book.means[1] + book.means[2]) / 2  # a tie, unless another centre is nearer
+    assert (encode.nearest(x, book) == np.round(encode.squared_distances(x, book.means), 9).argmin(1)).all()
+    plain = np.log(book.weights) - 0.5 * np.log(2 * np.pi * book.variances).sum(1) - 0.5 * ((x[:, None] - book.means) ** 2 / book.variances).sum(-1)
+    p = np.exp(plain - plain.max(1, keepdims=True))
+    assert np.allclose(encode.posteriors(x, book), p / p.sum(1, keepdims=True), atol=1e-8)
+    assert encode.posteriors(x[:0], book).shape == (0, 7) and len(encode.nearest(x[:0], book)) == 0
+
+
+def test_mixture_of_published_size_in_bounded_memory():
+    """K = 256, D = 514, 10,000 rows: below 500 MB over what the process has before, models included."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from simlake.operators import encode
+from simlake.operators.codebook import Codebook
+rng = np.random.default_rng(0)
+book = Codebook(rng.normal(size=(256, 514)), np.full(256, 1 / 256), rng.random((256, 514)) + 0.5)
+x = rng.normal(size=(10_000, 514))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+mass, first, second, likelihood = encode.moments(x, book)
+assert abs(mass.sum() - 10_000) < 1e-6
+encode.nearest(x, book)
+v = encode.Fisher(book).of_bag(x[:196])
+assert len(v) == 256 * (1 + 2 * 514) and np.isfinite(v).all()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[1])
+    assert int(out.stdout) < 300
+
+
+def test_single_centre_and_far_origin(spark):
+    rng = np.random.default_rng(2)
+    for offset in (0.0, 1e8):
+        x = rng.normal(size=(400, 3)) + offset
+        df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
+        book = train.fit_mixture(df, 1)
+        assert np.allclose(book.means[0], x.mean(0)) and np.allclose(book.variances[0], x.var(0), rtol=1e-4)
+    one = train.fit_kmeans(df, 1)
+    assert train.inertia(df, one) == pytest.approx(((x - x.mean(0)) ** 2).sum(), rel=1e-6)
+    with pytest.raises(ValueError, match="different points"):
+        train.fit_kmeans(spark.createDataFrame([([1.0, 2.0],)] * 9 + [([2.0, 2.0],)], "x array<double>"), 4)
+
+
+def test_mixture_gains_likelihood(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([((rng.normal(size=2) + 6 * (i % 3)).tolist(),) for i in range(300)], "x array<double>")
+    found = [train.mean_log_likelihood(df, train.fit_mixture(df, 3, iterations=n)) for n in (1, 3, 30)]
+    assert found[0] <= found[1] + 1e-9 <= found[2] + 2e-9
