@@ -54,22 +54,25 @@ def quantiles(rows: DataFrame, by: list[str], value: str, at: list[float]) -> Da
     while True:
         closed = todo.select(*by, F.explode(F.filter("~open", lambda i: i["lo"] == i["hi"])).alias("i")).select(*by, F.explode("i.wanted").alias("~rank"), F.col("i.lo").alias("~value"))
         found = closed if found is None else found.unionAll(closed)
-        todo = checkpoint(todo.select(*by, F.filter("~open", lambda i: i["lo"] < i["hi"]).alias("~open")).where(F.size("~open") > 0))
+        todo = todo.select(*by, F.filter("~open", lambda i: i["lo"] < i["hi"]).alias("~open")).where(F.size("~open") > 0)
         if todo.isEmpty():
             break
-        states = todo.select(*(F.col(c).alias(f"~by{k}") for k, c in enumerate(by)), "~open")
-        meets = [F.col(c).eqNullSafe(F.col(f"~by{k}")) for k, c in enumerate(by)] or F.lit(True)
-        met = own.join(spread_groups(states), meets).withColumn("~i", F.get(F.filter("~open", lambda i: F.col("~v").between(i["lo"], i["hi"])), F.lit(0))).where(F.col("~i").isNotNull())
-        lo, hi, v = (scale(F.least(F.greatest(F.col(c), F.lit(-GREATEST)), F.lit(GREATEST))) for c in ("~i.lo", "~i.hi", "~v"))
+        finite = lambda c, scale=scale: scale(F.least(F.greatest(c, F.lit(-GREATEST)), F.lit(GREATEST)))
+        ends = F.transform("~open", lambda i: F.struct(i["lo"].alias("lo"), i["hi"].alias("hi"), finite(i["lo"]).alias("from"), finite(i["hi"]).alias("to")))
+        named = [F.col(c).alias(f"~by{k}") for k, c in enumerate(by)]
+        meets = [F.col(c).eqNullSafe(F.col(f"~by{k}")) for k, c in enumerate(by)]
+        met = own.withColumn("~s", finite(F.col("~v"))).join(spread_groups(todo.select(*named, ends.alias("~ends"))), meets or F.lit(True))
+        met = met.select(*by, "~v", "~s", F.inline(F.filter("~ends", lambda i: F.col("~v").between(i["lo"], i["hi"]))))  # a row lies in one interval at most
+        lo, hi, v = F.col("from"), F.col("to"), F.col("~s")
         share = F.when(hi - lo < float("inf"), (v - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise((v / 2 - lo / 2) / F.nullif(hi / 2 - lo / 2, F.lit(0.0)))
         part = F.when(F.col("~v") < -GREATEST, -1).when(F.col("~v") > GREATEST, BUCKETS).when(hi > lo, F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0)
-        counted = met.groupBy(*by, F.col("~i.lo").alias("~from"), part.alias("~part")).agg(F.count("*").alias("~k"), F.min("~v").alias("~lo"), F.max("~v").alias("~hi"))
-        opened = states.select(*(f"~by{k}" for k in range(len(by))), F.explode("~open").alias("~i"))
-        counted = counted.join(spread_groups(opened), [*([meets] if not by else meets), F.col("~from") == F.col("~i.lo")])
-        up_to = F.sum("~k").over(Window.partitionBy(*by, "~from").orderBy("~part")) + F.col("~i.below")
-        kept = counted.select("*", up_to.alias("~up_to")).select("*", F.filter("~i.wanted", lambda r: (r > F.col("~up_to") - F.col("~k")) & (r <= F.col("~up_to"))).alias("~got")).where(F.size("~got") > 0)  # at most BUCKETS rows an interval meet in a window
+        counted = met.groupBy(*by, F.col("lo").alias("~from"), part.alias("~part")).agg(F.count("*").alias("~k"), F.min("~v").alias("~lo"), F.max("~v").alias("~hi"))
+        opened = spread_groups(todo.select(*named, F.explode("~open").alias("~i")))
+        counted = counted.join(opened, [*meets, F.col("~from") == F.col("~i.lo")])
+        up_to = F.sum("~k").over(Window.partitionBy(*by, "~from").orderBy("~part")) + F.col("~i.below")  # at most BUCKETS rows an interval
+        kept = counted.select("*", up_to.alias("~up_to")).select("*", F.filter("~i.wanted", lambda r: (r > F.col("~up_to") - F.col("~k")) & (r <= F.col("~up_to"))).alias("~got")).where(F.size("~got") > 0)
         interval = F.struct(F.col("~lo").alias("lo"), F.col("~hi").alias("hi"), (F.col("~up_to") - F.col("~k")).alias("below"), F.col("~got").alias("wanted"))
-        todo, scale = kept.groupBy(*by).agg(F.collect_list(interval).alias("~open")), lambda c: c
+        todo, scale = checkpoint(kept.groupBy(*by).agg(F.collect_list(interval).alias("~open"))), lambda c: c
     ranks = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("~rank", "~value"))).alias("~at"))
     back = groups.select(*(F.col(c).alias(f"~by{k}") for k, c in enumerate(by)), "~n")
     joined = ranks.join(back, [F.col(c).eqNullSafe(F.col(f"~by{k}")) for k, c in enumerate(by)] or F.lit(True))
