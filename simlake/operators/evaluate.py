@@ -53,6 +53,20 @@ def mean_average_precisions(relevant: DataFrame, ks: tuple[int | None, ...] = (N
     return per_query.agg(F.array(*each).alias("all")).select(F.inline("all"))
 
 
+def mean_average_precisions_by_counting(ranks: DataFrame, queries: DataFrame, database: DataFrame, ks: tuple[int | None, ...] = (None,)) -> DataFrame:
+    """(denominator, k, map) as ``mean_average_precisions`` gives it, from ``scoring.relevant_ranks``: no ranking of all rows. Queries without a relevant row count 0."""
+    size, sums = database.count(), [F.count("*").alias("all")]
+    for k in ks:
+        cut = lambda c, k=k: F.sum(F.when(F.lit(k is None) | (F.col("rank") <= (k or 0)), c).otherwise(0))
+        sums += [cut(F.col("hits") / F.col("rank")).alias(f"s{k}"), cut(F.lit(1)).alias(f"r{k}")]
+    per_query = queries.select("q").join(ranks.groupBy("q").agg(*sums), "q", "left")
+    each = []
+    for k in ks:
+        by = {"retrieved": F.col(f"r{k}"), "k": F.lit(size if k is None else k), "all_relevant": F.col("all")}
+        each += [F.struct(F.lit(d).alias("denominator"), F.lit(k or 0).alias("k"), F.avg(F.when(F.col(f"r{k}") > 0, F.try_divide(F.col(f"s{k}"), by[d].cast("double"))).otherwise(F.lit(0.0))).alias("map")) for d in DENOMINATORS]
+    return per_query.agg(F.array(*each).alias("all")).select(F.inline("all"))
+
+
 def top_k_accuracy(relevant: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """One row: the share of queries with a relevant row in their first k. ``queries`` keeps those without any result in the count."""
     if k < 1:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from simlake.operators import evaluate, scoring
 
@@ -105,3 +106,37 @@ def test_a_missing_query_counts_as_a_miss(spark):
 
 def test_mean_below_the_diagonal_of_one_row_is_null(spark):
     assert evaluate.mean_below_diagonal(spark.createDataFrame([(0, 0, 1.0)], "q long, id long, sim double")).first()["mean"] is None
+
+
+@pytest.mark.parametrize("block_bytes", [scoring.BLOCK_BYTES, 5000])
+def test_ranks_by_counting_equal_the_ranking(spark, block_bytes):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(90, 4)).round(0)  # many ties, and a zero vector
+    base[5] = 0
+    rows = [(int(i), int(i % 4), v.tolist()) for i, v in enumerate(base)] + [(500, 0, [float("nan"), 1.0, 0.0, 0.0])]
+    d = spark.createDataFrame(rows, "id long, label int, v array<double>").repartition(5)
+    q = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows[:12]] + [(77, 9, [1.0, 0.0, 0.0, 0.0])], "q long, label int, v array<double>")
+    whole = evaluate.with_relevance(scoring.ranked(scoring.scores(q, d)), q, d)
+    want = sorted((r["q"], r["id"], r["rank"]) for r in whole.where("rel = 1").collect())
+    found = scoring.relevant_ranks(q, d, block_bytes=block_bytes)
+    got = sorted((r["q"], r["id"], r["rank"]) for r in found.collect())
+    assert got == want
+    for ks in ((None, 3, 50),):
+        plain = {tuple(r)[:2]: r["map"] for r in evaluate.mean_average_precisions(whole, ks).collect()}
+        counted = {tuple(r)[:2]: r["map"] for r in evaluate.mean_average_precisions_by_counting(found, q, d, ks).collect()}
+        assert counted == pytest.approx(plain)
+    with pytest.raises(Exception, match="no label for id 3"):
+        scoring.relevant_ranks(q, d.withColumn("label", F.expr("case when id <> 3 then label end"))).collect()
+
+
+def test_means_of_scores_without_pairs(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 3)))] + [(60, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    want = scoring.scores(df.selectExpr("id as q", "v").where("q < 9"), df).agg(F.avg("sim")).first()[0]
+    assert scoring.mean_score(df.where("id < 9"), df).first()["mean"] == pytest.approx(want)
+    pairs = scoring.scores(df.selectExpr("id as q", "v"), df).where("q > id").agg(F.avg("sim")).first()[0]
+    assert scoring.mean_of_pairs(df).first()["mean"] == pytest.approx(pairs)
+    assert scoring.mean_of_pairs(df.where("id = 1")).first()["mean"] is None
+    twice = df.unionAll(df.where("id = 1"))
+    assert scoring.mean_of_pairs(twice).first()["mean"] == pytest.approx(scoring.scores(twice.selectExpr("id as q", "v"), twice).where("q > id").agg(F.avg("sim")).first()[0])
