@@ -11,7 +11,7 @@ at the threshold itself meets with a chance of RECALL; that chance is measured o
 the table grows, and no pair is less likely to be found.
 
 Equal vectors of a label form one class that is indexed once. A pair of classes can meet in several buckets; it counts in
-the first of them, which both rows can tell from the hash codes that they carry. So each bucket reports the number of
+the first of them, which both rows' hash codes tell; those of linked rows are made again in the bucket. So each bucket reports the number of
 links of its rows and a spanning forest, and no row is made for a pair. Buckets past graph.BLOCK are dealt out in
 pairs of blocks.
 
@@ -36,7 +36,7 @@ from .graph import components, forest, in_buckets
 
 THRESHOLD = 0.98
 #: Unrelated vectors that a bucket may be expected to hold; least chance of a pair at the threshold to meet.
-CROWD, RECALL = 4, 0.999
+CROWD, RECALL = 64, 0.999
 FUNCTIONS_MOST, TABLES_MOST = 6, 64
 #: Random pairs that the chance is measured on, at most.
 TRIALS = 512
@@ -97,14 +97,22 @@ def meeting(d: int, functions: int, threshold: float) -> float:
 
 
 def plan(d: int, classes: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(tables, functions) for ``classes`` vectors of one label and up to ``d`` components."""
+    """(tables, functions) for ``classes`` vectors of one label and up to ``d`` components, by which a pair at the threshold meets with a chance of RECALL.
+
+    As many functions as keep buckets small; where that takes more than TABLES_MOST tables, fewer, and so larger buckets,
+    which ``in_buckets`` cuts into blocks. An error where no number of functions reaches RECALL.
+    """
     functions = 1
     while functions < FUNCTIONS_MOST and classes > CROWD * (2 * d) ** functions:
         functions += 1
-    missed, tables = min(max(1 - meeting(d, functions, threshold), 1e-4), 0.95), 1
-    while tables < TABLES_MOST and missed**tables > 1 - RECALL:
-        tables += 1
-    return tables, functions
+    while functions:
+        missed, tables = max(1 - meeting(d, functions, threshold), 1e-4), 1
+        while tables < TABLES_MOST and missed**tables > 1 - RECALL:
+            tables += 1
+        if missed**tables <= 1 - RECALL:
+            return tables, functions
+        functions -= 1
+    raise ValueError(f"{TABLES_MOST} tables do not find a share of {RECALL} of the pairs at a cosine of {threshold}: raise TABLES_MOST or the threshold")
 
 
 def _mix(*parts: np.ndarray) -> np.ndarray:
@@ -119,10 +127,11 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, plans: dict[int, tuple[int, int]] | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``. ``plans`` fixes (tables, functions) of some padded lengths."""
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
     usable = F.coalesce(F.expr("label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"), F.lit(False))
-    good = own.where(usable)
-    classes = checkpoint(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).withColumn("cid", F.monotonically_increasing_id()))
+    digest = F.unhex(F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0).cast("tinyint")).cast("string"))), 256))  # x + 0 makes the zeros equal
+    good = own.where(usable).withColumn("digest", digest)
+    classes = checkpoint(good.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v")).withColumn("cid", F.monotonically_increasing_id()))
     padded = F.pow(2, F.ceil(F.log2(F.greatest(F.size("v"), F.lit(2))))).cast("long")
     crowds = classes.groupBy(padded.alias("d"), "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()  # a row for each power of two
     of = {r["d"]: plan(r["d"], r["n"], threshold) for r in crowds} | (plans or {})
@@ -136,7 +145,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def hashed_of(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
         tables, functions = shape_of(width)
-        v = batch.column(2).flatten().to_numpy().reshape(-1, width)
+        v = batch.column(2).flatten().to_numpy().reshape(-1, width).astype(np.float64)
         unit = v / np.abs(v).max(1, keepdims=True)  # against overflow
         c = codes(unit / np.linalg.norm(unit, axis=1, keepdims=True), tables, functions)
         n, t, p = c.shape
@@ -148,37 +157,38 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         keep = keep.ravel()
         at = pa.array(np.repeat(np.arange(n), t * p)[keep])
         packed = pa.array([x.tobytes() for x in v.astype(stored)], pa.binary())
-        all_codes = pa.array([x.tobytes() for x in c.astype("<i8")], pa.binary())
         size = pa.array(np.full(n, width, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()[keep]), batch.column(0).take(at), batch.column(1).take(at), size.take(at), batch.column(3).take(at), packed.take(at), all_codes.take(at), pa.array(where.ravel()[keep]), pa.array(c.ravel()[keep])], names=["key", "cid", "label", "size", "m", "v", "codes", "t", "code"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()[keep]), batch.column(0).take(at), batch.column(1).take(at), size.take(at), batch.column(3).take(at), packed.take(at), pa.array(where.ravel()[keep]), pa.array(c.ravel()[keep])], names=["key", "cid", "label", "size", "m", "v", "t", "code"])
 
     def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         out = {c: batch.column(c).to_numpy() for c in ("key", "cid", "label", "size", "m", "t", "code")}
-        for c in ("v", "codes"):
-            out[c] = np.array([*batch.column(c).to_pylist(), None], object)[:-1]
+        out["v"] = np.array([*batch.column("v").to_pylist(), None], object)[:-1]
         return out
 
     def whole(r: dict[str, np.ndarray], at: np.ndarray | slice) -> dict[str, np.ndarray]:
-        """Those rows, all of one length, with their unit vectors and codes as numbers."""
+        """Those rows, all of one length, with their unit vectors."""
         r = {c: x[at] for c, x in r.items()}
         width = int(r["size"][0])
         v = np.frombuffer(b"".join(r["v"]), stored).reshape(-1, width).astype(np.float64)
         v = v / np.abs(v).max(1, keepdims=True)
         r["unit"] = v / np.linalg.norm(v, axis=1, keepdims=True)
-        tables, functions = shape_of(width)
-        r["codes"] = np.frombuffer(b"".join(r["codes"]), "<i8").reshape(len(v), tables, 1 + functions)
         return r
 
     def first_meeting(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the pair's first common bucket is this one: no common code in earlier tables, no smaller one in this."""
+        """Whether the pair's first common bucket is this one: no common code in earlier tables, no smaller one in this. The codes of linked rows are made again, which is less than to send them along."""
         out = np.zeros(len(i), bool)
+        if not len(i):
+            return out
+        linked, at = np.unique(np.r_[i, j], return_inverse=True)
+        own, x_at, y_at = codes(r["unit"][linked], *shape_of(int(r["size"][0]))), at[: len(i)], at[len(i) :]
         for a in range(0, len(i), 50_000):
-            x, y = i[a : a + 50_000], j[a : a + 50_000]
-            same = r["codes"][x][:, :, :, None] == r["codes"][y][:, :, None, :]
+            x, y = x_at[a : a + 50_000], y_at[a : a + 50_000]
+            same = own[x][:, :, :, None] == own[y][:, :, None, :]
             t = same.any((2, 3)).argmax(1)
             k = np.arange(len(x))
-            least = np.where(same[k, t].any(-1), r["codes"][x][k, t], np.iinfo(np.int64).max).min(-1)
-            out[a : a + 50_000] = (t == r["t"][x]) & (least == r["code"][x])
+            least = np.where(same[k, t].any(-1), own[x][k, t], np.iinfo(np.int64).max).min(-1)
+            here = i[a : a + 50_000]
+            out[a : a + 50_000] = (t == r["t"][here]) & (least == r["code"][here])
         return out
 
     def report(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, tree: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
@@ -233,14 +243,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 found.append(report(r, i[ok], j[ok], (i[ok], j[ok])))
         return found
 
-    hashed = arrow_pass(classes.select("cid", "label", "v", "m"), hash_all, "key long, cid long, label long, size long, m long, v binary, codes binary, t long, code long")
-    found = checkpoint(in_buckets(hashed, ["cid", "label", "size", "m", "v", "codes", "t", "code"], runs, pair, "a long, b long, n long", read))
+    hashed = arrow_pass(classes.select("cid", "label", "v", "m"), hash_all, "key long, cid long, label long, size long, m long, v binary, t long, code long")
+    found = checkpoint(in_buckets(hashed, ["cid", "label", "size", "m", "v", "t", "code"], runs, pair, "a long, b long, n long", read))
     degree = found.where("b < 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
-    joined = components(found.where("b >= 0").select("a", "b")).withColumnRenamed("node", "cid")
-    full = classes.join(degree, "cid", "left").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    joined = components(found.where("b >= 0").select("a", "b"), classes.count()).withColumnRenamed("node", "cid")
+    full = classes.drop("v").join(degree, "cid", "left").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = full.groupBy("component").agg(F.min("rep").alias("component_id"))
-    full = full.join(least, "component").select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
-    linked = good.join(full, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    full = full.join(least, "component").select("label", "digest", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
+    linked = good.select("vec_id", "label", "digest").join(full, ["label", "digest"]).select("vec_id", "n_links", "component_id")
     alone = own.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -198,6 +198,26 @@ def test_functions_follow_the_table_and_tables_the_chance_to_meet():
         assert 1 - (1 - embeddings.meeting(d, functions, 0.98)) ** tables >= 0.999
 
 
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.9])
+def test_embeddings_plan_is_honest_at_lower_thresholds(spark, threshold):
+    for n in (500, 10**5, 10**7):
+        tables, functions = embeddings.plan(64, n, threshold)
+        assert tables <= embeddings.TABLES_MOST and 1 - (1 - embeddings.meeting(64, functions, threshold)) ** tables >= embeddings.RECALL
+    with pytest.raises(ValueError, match="do not find"):
+        embeddings.plan(64, 500, 0.05)
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 400, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    t = threshold + 0.001
+    x = np.concatenate([a, t * a + (1 - t**2) ** 0.5 * b])
+    got = embeddings.near_vectors(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)]), threshold=threshold).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= threshold).sum() - len(u)
+    assert want * 0.995 <= sum(r["n_links"] for r in got) <= want
+
+
 def test_a_long_vector_does_not_widen_the_others(spark):
     rows = [(i, [1.0, 0.01 * (i % 3), 0.5], 1) for i in range(60)] + [(100, [1.0] * 50_000, 1), (101, [1.0] * 50_000, 1), (102, [1.0] * 49_999, 1)]
     got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(vectors(spark, rows)).collect()}
