@@ -67,7 +67,12 @@ def conversations(messages: DataFrame, tree_col: str, id_col: str, parent_col: s
     rows = messages.select(key(tree).alias("tree"), key(node).alias("node"), F.struct(tree.alias("tree_id"), node.alias("node_id"), F.when(F.col(parent_col).isNotNull(), key(F.col(parent_col))).alias("parent"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), score.alias("score")).alias("m"))
     rows = checkpoint(rows.groupBy("tree", "node").agg(F.min("m").alias("m")).select("tree", "node", "m.*"))
     piece = rows.select("tree", "node", "tree_id", "node_id", "score", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == loss_role).alias("loss"))
-    along = paths(rows).join(piece, ["tree", "node"])
+    reached = paths(rows)
+    if top is not None:  # branches are ranked and cut by scores and ids alone, before any text joins them
+        scored = reached.join(rows.select("tree", "node", "score", "node_id"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.min(F.when(F.col("up") == 0, F.col("node_id"))).alias("leaf_id"))
+        place = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf_id"))
+        reached = reached.join(checkpoint(scored.withColumn("place", place).where(F.col("place") <= top).select("tree", "leaf")), ["tree", "leaf"])
+    along = reached.join(piece, ["tree", "node"])
     before = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
     fixed = len(TURN) + len(TEXT) + len(END)
     size = F.length("role") + F.length("text") + fixed
@@ -77,7 +82,6 @@ def conversations(messages: DataFrame, tree_col: str, id_col: str, parent_col: s
     best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf_id")
     if top is not None or score_col:
         whole = whole.withColumn("rank", F.row_number().over(best))
-        whole = whole.where(F.col("rank") <= top) if top is not None else whole
     else:
         whole = whole.withColumn("rank", F.lit(None).cast("int"))
     spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
