@@ -132,6 +132,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     digest = F.unhex(F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0).cast("tinyint")).cast("string"))), 256))  # x + 0 makes the zeros equal
     good = own.where(usable).withColumn("digest", digest)
     classes = checkpoint(good.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v")).withColumn("cid", F.monotonically_increasing_id()))
+    n_classes = classes.count()
     padded = F.pow(2, F.ceil(F.log2(F.greatest(F.size("v"), F.lit(2))))).cast("long")
     crowds = classes.groupBy(padded.alias("d"), "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()  # a row for each power of two
     of = {r["d"]: plan(r["d"], r["n"], threshold) for r in crowds} | (plans or {})
@@ -244,9 +245,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         return found
 
     hashed = arrow_pass(classes.select("cid", "label", "v", "m"), hash_all, "key long, cid long, label long, size long, m long, v binary, t long, code long")
-    found = checkpoint(in_buckets(hashed, ["cid", "label", "size", "m", "v", "t", "code"], runs, pair, "a long, b long, n long", read))
+    found = checkpoint(in_buckets(hashed, ["cid", "label", "size", "m", "v", "t", "code"], runs, pair, "a long, b long, n long", read, size=n_classes * max((t * (1 + f) for t, f in of.values()), default=0)))
     degree = found.where("b < 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
-    joined = components(found.where("b >= 0").select("a", "b"), classes.count()).withColumnRenamed("node", "cid")
+    joined = components(found.where("b >= 0").select("a", "b"), n_classes).withColumnRenamed("node", "cid")
     full = classes.drop("v").join(degree, "cid", "left").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = full.groupBy("component").agg(F.min("rep").alias("component_id"))
     full = full.join(least, "component").select("label", "digest", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")

@@ -14,6 +14,9 @@ from .common import checkpoint
 #: Members of a bucket that one task compares at once; larger buckets are cut into blocks, and pairs of blocks are dealt out.
 BLOCK = 2048
 
+#: Rows of buckets that one task walks, about.
+TASK_ROWS = 4_000_000
+
 #: Nodes whose edges share a file of a round, where the number of nodes is told.
 NODES = 100_000
 
@@ -51,12 +54,13 @@ def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
 Compare = Callable[[dict[str, np.ndarray], dict[str, np.ndarray] | None], dict[str, np.ndarray]]
 
 
-def in_buckets(rows: DataFrame, columns: list[str], runs: Callable[[dict[str, np.ndarray], np.ndarray], list[dict[str, np.ndarray]]], pair: Compare, found_schema: str, read: Callable[[pa.RecordBatch], dict[str, np.ndarray]], block: int = BLOCK) -> DataFrame:
+def in_buckets(rows: DataFrame, columns: list[str], runs: Callable[[dict[str, np.ndarray], np.ndarray], list[dict[str, np.ndarray]]], pair: Compare, found_schema: str, read: Callable[[pa.RecordBatch], dict[str, np.ndarray]], block: int = BLOCK, size: int = 0) -> DataFrame:
     """Compare the rows that share ``key``, without a join and without a row for each pair.
 
     ``rows`` has ``key long`` and ``columns``. One shuffle brings equal keys together, sorted; each task walks its
     buckets as a stream. Buckets of up to ``block`` rows go to ``runs(rows, run starts)`` at once. A larger bucket is
-    handed on in numbered blocks; each pair of its blocks becomes a task of its own, with ``pair``.
+    handed on in numbered blocks; each pair of its blocks becomes a task of its own, with ``pair``. ``size`` is about how many
+    rows there are: a task gets TASK_ROWS of them, or fewer as the session has more shuffle partitions.
     """
     names = ["key", *columns]
     schema = rows.select(*names).schema
@@ -121,7 +125,7 @@ def in_buckets(rows: DataFrame, columns: list[str], runs: Callable[[dict[str, np
         if kept:
             yield from whole(kept)
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_ROWS)
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
     walked = checkpoint(rows.select(*names).repartition(n, "key").sortWithinPartitions("key").mapInArrow(walk, f"block int, {shape}, {found_schema}"))
     found = walked.where("block is null").select(*found_names)

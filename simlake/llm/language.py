@@ -40,8 +40,8 @@ def least_score(languages: int, share: float = ACCEPTED) -> float:
     return (1 + share * (languages - 1)) / languages
 
 
-def units(languages: int) -> int:
-    return min(max(HIDDEN, HIDDEN_EACH * languages), HIDDEN_MOST)
+def units(languages: int, most: int = HIDDEN_MOST) -> int:
+    return min(max(HIDDEN, HIDDEN_EACH * languages), most)
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -153,15 +153,19 @@ def gradients(net: Network, seq: np.ndarray, label: np.ndarray) -> tuple[float,
     return loss, g
 
 
-def train(samples: list[tuple[bytes, str]], steps: int | None = None) -> Network | None:
-    """Adam over random windows, the languages in turn; STEPS_EACH steps a language unless told otherwise, STEPS at least."""
+def train(samples: list[tuple[bytes, str]], steps: int | None = None, hidden_most: int = HIDDEN_MOST) -> Network | None:
+    """Adam over random windows, the languages in turn; STEPS_EACH steps a language unless told otherwise, STEPS at least.
+
+    The width grows with the languages up to ``hidden_most``, with the default up to 32 of them: past that more languages
+    share it, and near ones are told apart less well.
+    """
     by: dict[str, list[bytes]] = {}
     for text, lang in samples:
         if text:
             by.setdefault(lang, []).append(text)
     if not by:
         return None
-    net, rng = fresh(sorted(by)), np.random.default_rng(SEED)
+    net, rng = fresh(sorted(by), units(len(by), hidden_most)), np.random.default_rng(SEED)
     steps = steps or max(STEPS, STEPS_EACH * len(by))
     mean, square = [np.zeros_like(a) for a in net.parts], [np.zeros_like(a) for a in net.parts]
     for step in range(1, steps + 1):
@@ -204,14 +208,14 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return sums / size[:, None]
 
 
-def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
-    """PIECE characters, from a place by hash, of PER_LANGUAGE documents by hash of each of the LANGUAGES most frequent languages; fold 2 is left out."""
+def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
+    """PIECE characters, from a place by hash, of ``per_language`` documents by hash of each of the ``languages`` most frequent languages; fold 2 is left out. A language past those is never said: its documents get the name of another."""
     known = docs.where((fold(F.col(id_col)) != 2) & F.col(lang_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     mark, size = F.xxhash64(id_col), F.length(text_col)
     place = (F.pmod(mark, F.greatest(size - PIECE, F.lit(1))) + 1).cast("int")
     pieces = known.where(size > 0).select(F.col(lang_col).alias("lang"), mark.alias("mark"), F.substr(F.col(text_col), place, F.lit(PIECE)).alias("piece"))
-    rows = least(pieces, "lang", {r["lang"]: r["n"] for r in sizes}, "mark", ["piece"], PER_LANGUAGE)
+    rows = least(pieces, "lang", {r["lang"]: r["n"] for r in sizes}, "mark", ["piece"], per_language)
     return [(r["piece"].encode(), r["lang"]) for r in rows]
 
 

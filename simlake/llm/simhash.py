@@ -86,8 +86,8 @@ def _variants(fp: np.ndarray, cut: list[tuple[int, int]]) -> np.ndarray:
     return np.stack(keys, 1).astype(np.int64)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) between the distinct fingerprints ``fp``: they connect exactly what links at ``distance`` bits connect."""
+def links(distinct: DataFrame, distance: int = DISTANCE, size: int = 0) -> DataFrame:
+    """Edges (a, b) between the distinct fingerprints ``fp``, about ``size`` of them: they connect exactly what links at ``distance`` bits connect."""
     cut = segments(distance)
     if max(b for _, b in cut) > 39:
         raise ValueError("segments of more than 39 bits: distance must be 2 or more")
@@ -133,14 +133,15 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows become many, so they are dealt out first
     keyed = arrow_pass(distinct.select("fp").repartition(n, "fp"), spread, "key long, fp long")
-    return in_buckets(keyed, ["fp"], runs, pair, "a long, b long", read)
+    return in_buckets(keyed, ["fp"], runs, pair, "a long, b long", read, size=size * len(masks))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     own = checkpoint(fingerprints(docs, id_col, text_col))
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    of = components(links(distinct, distance), distinct.count()).withColumnRenamed("node", "fp")
+    n = distinct.count()
+    of = components(links(distinct, distance, n), n).withColumnRenamed("node", "fp")
     named = distinct.join(of, "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")
@@ -161,7 +162,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = marked.select(F.col(f"`{row}`").alias("row"), F.col(f"`{own_fp}`").alias("fp"), F.col(id_col).alias("id"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     distinct = own.groupBy("fp").agg(first)
-    of = components(links(distinct, distance)).withColumnRenamed("node", "fp")
+    n = distinct.count()
+    of = components(links(distinct, distance, n), n).withColumnRenamed("node", "fp")
     best = distinct.join(of, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
     stay = checkpoint(best.select(F.col("first.row").alias(row)))
     return marked.join(F.broadcast(stay) if fits(stay, F.lit(1), BROADCAST_ROWS) else stay, row, "left_semi").select(*(f"`{c}`" for c in names))
