@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from simlake.operators import cluster, losses, quantiles, stats
+from simlake.operators import cluster, losses, pivots, quantiles, stats
 
 
 def pairs(spark, rows):
@@ -247,3 +247,18 @@ def test_bin_error_is_that_of_its_line(spark):
     for r in stats.bin_statistics(pairs(spark, rows), 2).collect():
         x, y = np.array([p for p in rows if (p[0] > 0.5) == r["bin"]]).T
         assert r["mse"] == pytest.approx(((np.polyval(np.polyfit(x, y, 1), x) - y) ** 2).mean())
+
+
+def test_pivots_leave_out_blocks_and_no_near_pair(spark):
+    rng = np.random.default_rng(12)
+    x = 10 * rng.normal(size=(25, 6))[rng.integers(0, 25, 2000)] + 0.2 * rng.normal(size=(2000, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    centres = pivots.choose(df)
+    met, all_pairs = pivots.meeting(pivots.placed(df, centres, 50), len(centres), 0.8)
+    assert len(met) < 0.2 * all_pairs
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 0.8
+    got = {r["id"]: r["n"] for r in cluster.neighbour_counts(df, 0.8, block_rows=50).collect()}
+    assert got == dict(enumerate(near.sum(1)))
+    odd = spark.createDataFrame([(0, [1.0, 2.0]), (1, [float("nan"), 1.0]), (2, [1.0, 2.1])], "id long, v array<double>")
+    assert sorted(tuple(r) for r in cluster.neighbour_counts(odd, 0.5, block_rows=2).collect()) == [(0, 2), (1, 0), (2, 2)]
+    assert cluster.neighbour_counts(df.where("id < 0"), 1.0).collect() == []
