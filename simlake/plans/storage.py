@@ -52,7 +52,7 @@ def snk3_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each nation, copied to a folder; the paths of those with the suffix, in order of their names."""
     place, jvm = _place(spark), spark._jvm
-    names = [r["n_name"] for r in table(spark, sf_dir, "nation").select("n_name").collect()]
+    names = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
     made = [f"{place}/from/{n.replace(' ', '_')}.{'JPG' if i % 2 else 'jpg'}" for i, n in enumerate(names)] + [f"{place}/from/notes.txt"]
     for f in made:
         at = jvm.org.apache.hadoop.fs.Path(f)
@@ -105,7 +105,7 @@ ORACLE_SQL = {
     "snk1_json": "SELECT r_name AS region, count(*) AS n, min(n_name) AS first FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "snk2_record": "SELECT o_orderstatus AS status, count(*) AS n, round(avg(o_totalprice), 2) AS mean, o_orderstatus || ',x' AS tags FROM orders GROUP BY o_orderstatus",
     "snk3_codebook": f"WITH {E} SELECT CAST(vec_id AS INTEGER) AS k, CAST(i AS INTEGER) AS pos, 0.25::DOUBLE AS weight, round((v[2 * i + 1] + v[2 * i + 2]) * sqrt(0.5), 6) + 0.0 AS mean, 0.02::DOUBLE AS var FROM e, range(4) t(i) WHERE vec_id < 4",
-    "src3_paths": "SELECT row_number() OVER (ORDER BY f) AS image_id, lower(f) AS name FROM (SELECT replace(n_name, ' ', '_') || CASE WHEN n % 2 = 1 THEN '.JPG' ELSE '.jpg' END AS f FROM (SELECT n_name, row_number() OVER () - 1 AS n FROM nation))",
+    "src3_paths": "SELECT row_number() OVER (ORDER BY f) AS image_id, lower(f) AS name FROM (SELECT replace(n_name, ' ', '_') || CASE WHEN n % 2 = 1 THEN '.JPG' ELSE '.jpg' END AS f FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS n FROM nation))",
     "prd1_images": "SELECT doc_id, coalesce(octet_length(encode(text)) > 0 AND octet_length(encode(text)) % 3 = 0, false) AS good FROM documents",
     "prd2_channels": f"WITH {E} SELECT vec_id, list_max({_CH}) <= 1.00001 AS channels, true AS mask, round(list_sum({_CH}), 6) + 0.0 AS total FROM e",
     "prd4_widths": f"WITH {E} SELECT vec_id, round(list_sum(v), 6) + 0.0 AS total FROM e",
