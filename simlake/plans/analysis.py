@@ -157,6 +157,11 @@ def clu3_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster(_features(spark, sf_dir), "spectral", 10)
 
 
+def clu3_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted graph of nearest neighbours that spectral clustering solves."""
+    return cluster.neighbour_graph(_features(spark, sf_dir))
+
+
 def clu5_cluster_and_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cluster.cluster_and_compare(_features(spark, sf_dir), "kmeans", 10, start=_start(spark, sf_dir), iterations=STEPS))
 
@@ -252,7 +257,7 @@ def snk10_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.linear_fit(own).select(*(F.round(c, 4).alias(c) for c in ("slope", "intercept", "mse")))
 
 
-QUERIES = {f.__name__: f for f in (stat4_statistics, stat5_line, stat5_polynomial, stat6_polynomial_error, stat7_bins, stat8_bin_statistics, stat9_boxes, stat10_line_points, stat11_histogram, prd7_valid_pairs, los1_soft_dice, los2_dice, los3_focal, los4_hybrid, agg6_contingency, ext_agreement, clu2_neighbours, clu2_dbscan, clu1_kmeans, clu3_spectral, clu5_cluster_and_compare, src2_numbered_labels, src5_purposes, src8_integrity, set1_union, set2_subset, set3_unique, set4_stack, prd5_subset, prd6_unique, snk2_nested, snk5_heatmap, snk6_bars, snk7_line, snk10_scatter)}
+QUERIES = {f.__name__: f for f in (stat4_statistics, stat5_line, stat5_polynomial, stat6_polynomial_error, stat7_bins, stat8_bin_statistics, stat9_boxes, stat10_line_points, stat11_histogram, prd7_valid_pairs, los1_soft_dice, los2_dice, los3_focal, los4_hybrid, agg6_contingency, ext_agreement, clu2_neighbours, clu2_dbscan, clu1_kmeans, clu3_spectral, clu3_graph, clu5_cluster_and_compare, src2_numbered_labels, src5_purposes, src8_integrity, set1_union, set2_subset, set3_unique, set4_stack, prd5_subset, prd6_unique, snk2_nested, snk5_heatmap, snk6_bars, snk7_line, snk10_scatter)}
 
 _XY = "xy AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem)"
 _STAT = "corr(x, y) AS pearson, stddev_pop(y) AS std, avg(y) AS mean, median(y) AS median, count(*) AS n_points"
@@ -303,6 +308,7 @@ UNION ALL SELECT 'binary', round(avg(CASE WHEN tc = 1 THEN 0.25 * (1 - sg) ** 2
     "agg6_contingency": f"WITH {_LAB} SELECT t, p, count(*) AS n FROM lab GROUP BY t, p",
     "ext_agreement": f"WITH {_LAB}, {_AGREEMENT.format(ami='ami')}",
     "clu1_kmeans": f"WITH {_KMEANS} SELECT id, cluster FROM km",
+    "clu3_graph": f"""WITH {E}, s AS (SELECT a.vec_id AS q, b.vec_id AS id FROM e a, e b QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 9), b.vec_id) <= 10), both_ AS (SELECT q AS a, id AS b FROM s UNION ALL SELECT id, q FROM s) SELECT a, b, count(*) / 2 AS w FROM both_ GROUP BY a, b""",
     "clu5_cluster_and_compare": f"WITH {_KMEANS}, lab AS (SELECT label AS t, cluster AS p FROM km), {_AGREEMENT.format(ami='nmi')}",
     "clu2_neighbours": f"WITH {_EPS} SELECT a AS id, count(*) AS n FROM nb GROUP BY a",
     "clu2_dbscan": f"""WITH RECURSIVE {_EPS}, core AS MATERIALIZED (SELECT a FROM nb GROUP BY a HAVING count(*) >= {MIN_SAMPLES}), ce AS MATERIALIZED (SELECT nb.a, nb.b FROM nb JOIN core x ON x.a = nb.a JOIN core y ON y.a = nb.b),

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from simlake.operators import cluster, losses, pivots, quantiles, stats
+from simlake.operators import cluster, losses, pivots, quantiles, spectral, stats
 
 
 def pairs(spark, rows):
@@ -83,8 +83,8 @@ def test_separated_groups_are_found(spark, method):
     assert (r["ri"], r["ari"]) == (1, 1) and r["nmi"] == pytest.approx(1)
 
 
-def dense_spectral(x, k):
-    """The embedding by a dense matrix: neighbour graph, normalised Laplacian, all eigenvectors."""
+def dense_vectors(x, k):
+    """By a dense matrix: neighbour graph, normalised Laplacian, all eigenvectors."""
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     named = np.zeros_like(d)
     for i, row in enumerate(d):
@@ -92,20 +92,66 @@ def dense_spectral(x, k):
     w = (named + named.T) / 2
     np.fill_diagonal(w, 0)
     scale = 1 / np.sqrt(w.sum(1))
-    v = np.linalg.eigh(np.eye(len(x)) - w * scale[:, None] * scale[None])[1][:, :k] * scale[:, None]
+    return np.linalg.eigh(np.eye(len(x)) - w * scale[:, None] * scale[None])[1][:, :k], scale
+
+
+def dense_spectral(x, k):
+    v, scale = dense_vectors(x, k)
+    v = v * scale[:, None]
     return cluster._lloyd(v / np.linalg.norm(v, axis=1, keepdims=True), k, cluster.SEED)
 
 
-@pytest.mark.parametrize("local_edges", [cluster.LOCAL_EDGES, 0])
-def test_spectral_equals_dense_eigenvectors_wherever_products_are_made(spark, local_edges):
+def test_spectral_equals_dense_eigenvectors(spark):
     x = np.random.default_rng(1).normal(size=(300, 3))
-    got = {r["id"]: r["cluster"] for r in cluster.spectral(points(spark, x), 4, local_edges=local_edges).collect()}
+    got = {r["id"]: r["cluster"] for r in cluster.spectral(points(spark, x), 4).collect()}
     want = dense_spectral(x, 4)
     # eigenvectors are known up to sign, which may change the start of k-means: the partitions are compared
     pairs = {(got[i], int(want[i])) for i in range(300)}
     assert len(got) == 300 and len(pairs) == 4
 
 
+def test_vectors_in_tables_equal_dense_ones_and_the_driver_gets_small_matrices(spark, monkeypatch):
+    """300 points without clear groups; what comes to the driver depends on the number of vectors, not of points."""
+    x = np.random.default_rng(1).normal(size=(300, 3))
+    graph, brought = cluster.neighbour_graph(points(spark, x)), []
+    plain = type(graph).collect
+
+    def spied(df):
+        rows = plain(df)
+        brought.append(sum(len(c) if isinstance(c, (bytes, bytearray)) else 8 for r in rows for c in r))
+        return rows
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(graph), "collect", spied)
+        patch.setattr(type(graph), "toArrow", None)
+        patch.setattr(type(graph), "toPandas", None)
+        found = spectral.leading(graph, 4, 42)
+    assert brought and max(brought) <= 32 * 8 * 2 * (4 + spectral.EXTRA) ** 2
+    rows = found.orderBy("id").collect()
+    v, scale = np.array([r["x"] for r in rows]), np.array([r["scale"] for r in rows])
+    dense, dense_scale = dense_vectors(x, 4)
+    assert np.allclose(scale, dense_scale) and np.allclose(v.T @ v, np.eye(4), atol=1e-9)
+    assert np.linalg.svd(dense.T @ v)[1] == pytest.approx(np.ones(4), abs=1e-9)  # the same space
+    assert np.abs(np.abs((dense * v).sum(0)) - 1).max() < 1e-8  # and the same vectors, up to sign
+
+
+def test_spectral_in_tables_finds_groups_that_nothing_connects(spark):
+    """Three components share the lowest eigenvalue; ids have gaps; repeated points."""
+    rng = np.random.default_rng(0)
+    x = np.repeat(np.concatenate([rng.normal(c, 0.2, (15, 2)) for c in ([0, 0], [5, 5], [0, 9])]), 2, axis=0)
+    df = points(spark, x).withColumn("id", F.col("id") * 7 - 100)
+    got = {r["id"]: r["cluster"] for r in cluster.spectral(df, 3, local_edges=0, starts=2).collect()}
+    assert len(got) == 90 and len({(i // 30, got[i * 7 - 100]) for i in range(90)}) == 3 and len(set(got.values())) == 3
+
+
+def test_triangle_of_a_table(spark):
+    x = np.random.default_rng(2).normal(size=(500, 4)) * [1, 1e6, 1e-6, 3]
+    r = spectral.triangle(spark.createDataFrame([(v,) for v in x.tolist()], "x array<double>").repartition(7), 4)
+    assert np.allclose(np.abs(r), np.abs(np.linalg.qr(x, mode="r")), rtol=1e-9)
+    empty = spark.createDataFrame([], "a long, b long, w double")
+    assert spectral.leading(empty, 3, 0).collect() == []
+
+
 def test_dbscan_is_the_same_in_blocks_and_equals_a_plain_reading(spark):
     x = np.random.default_rng(4).random((150, 2))
     near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 0.08
