@@ -29,6 +29,19 @@ def bags(descriptors: DataFrame, images: DataFrame | None = None) -> DataFrame:
     return own
 
 
+def encoded(column: pa.Array, fn: Callable[[np.ndarray], np.ndarray], width: int) -> pa.Array:
+    """``fn`` of every bag of an Arrow column, as an (n, width) matrix; a null bag has no rows."""
+    out = []
+    for bag in column:
+        flat = bag.values
+        n = 0 if flat is None else len(flat)
+        x = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1) if n else np.zeros((0, width))
+        if n and x.shape[1] != width:
+            raise ValueError(f"descriptors have {x.shape[1]} components, the model expects {width}")
+        out.append(fn(x))
+    return pa.array(out, pa.list_(pa.float64()))
+
+
 def per_bag(bagged: DataFrame, fn: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
     """(image, encoding) with ``fn`` applied to every bag as an (n, width) matrix."""
     ship(bagged.sparkSession)
@@ -37,15 +50,7 @@ def per_bag(bagged: DataFrame, fn: Callable[[np.ndarray], np.ndarray], width: in
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for bag in batch.column(1):
-                flat = bag.values
-                n = 0 if flat is None else len(flat)
-                x = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1) if n else np.zeros((0, width))
-                if n and x.shape[1] != width:
-                    raise ValueError(f"descriptors have {x.shape[1]} components, the model expects {width}")
-                out.append(fn(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["image", "encoding"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), encoded(batch.column(1), fn, width)], names=["image", "encoding"])
 
     return bagged.mapInArrow(each, schema)
 
@@ -209,15 +214,15 @@ class Encoder:
     def of_bag(self, x: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def of_descriptors(self, x: np.ndarray) -> np.ndarray:
+        """The vector of an (n, width) bag as an extractor gives it; zero where it has no rows."""
+        if not len(x):
+            return np.zeros(self.length)
+        return self.of_bag(self.projection.apply(x) if self.projection else x)
+
     def encode_bags(self, bagged: DataFrame) -> DataFrame:
         """(image, encoding) of ``bagged(image, bag)``."""
-
-        def one(x: np.ndarray) -> np.ndarray:
-            if not len(x):
-                return np.zeros(self.length)
-            return self.of_bag(self.projection.apply(x) if self.projection else x)
-
-        return per_bag(bagged, one, self.width)
+        return per_bag(bagged, self.of_descriptors, self.width)
 
     def encode(self, descriptors: DataFrame, images: DataFrame | None = None) -> DataFrame:
         """(image, encoding) of descriptors in long form: the encoding map."""

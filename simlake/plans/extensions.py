@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simlake.functions import sql
 from simlake.operators import index
 from simlake.operators.asof import asof_join
-from simlake.operators.runtime import table
-from simlake.plans.common import DESCRIBED, EVERY, RANKED, UNIT, database, query_set, six, vectors
+from simlake.operators.runtime import shared_folder, table
+from simlake.operators.stages import BagEncoder
+from simlake.plans.common import BOOK, DESCRIBED, EVERY, RANKED, RESIDUALS, TO_CENTRES, UNIT, bagged, codebook, database, lloyd, query_set, six, vectors
+from simlake.plans.encoding import STEPS
 
 #: A user of ``events`` stands for the customers whose key has that remainder, so that a key has many orders.
 USERS = 150
@@ -75,7 +82,18 @@ def idx2_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("q", F.col("rank").cast("long").alias("rank"), "id", six("sim").alias("sim"))
 
 
-QUERIES = {f.__name__: f for f in (sql1_functions, sql2_lateral, asof1_orders, asof2_within, idx1_search, idx2_exhaustive)}
+def ml1_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline of an encoder and Spark's own Normalizer: fitted in steps from a saved codebook, saved, loaded, applied."""
+    to = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    codebook(spark, sf_dir).save(spark, f"{to}/start")
+    own = bagged(spark, sf_dir)
+    stages = [BagEncoder(kind="vlad", nClusters=4, maxIter=STEPS, start=f"{to}/start"), Normalizer(p=1.0, inputCol="encoding", outputCol="share")]
+    Pipeline(stages=stages).fit(own).write().overwrite().save(f"{to}/fitted")
+    out = PipelineModel.load(f"{to}/fitted").transform(own).select("image", F.posexplode(F.arrays_zip(vector_to_array("encoding").alias("v"), vector_to_array("share").alias("s"))).alias("pos", "c"))
+    return out.select("image", "pos", (F.round("c.v", 5) + F.lit(0.0)).alias("v"), (F.round("c.s", 5) + F.lit(0.0)).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (sql1_functions, sql2_lateral, asof1_orders, asof2_within, idx1_search, idx2_exhaustive, ml1_pipeline)}
 ORACLE_SQL = {
     "sql1_functions": f"""WITH {UNIT} SELECT a.vec_id AS q, b.vec_id AS id, round(list_dot_product(a.v, b.v), 6) + 0.0 AS sim, round(list_sum(list_transform(e.v, lambda x: sqrt(abs(x)))), 5) + 0.0 AS mass,
  round(list_dot_product(a.v, list_transform(e.v, lambda x: x / (sqrt(list_dot_product(e.v, e.v)) + 1e-9))), 6) + 0.0 AS near FROM u a JOIN u b ON a.label = b.label JOIN e ON e.vec_id = b.vec_id WHERE a.vec_id % {EVERY} = 0""",
@@ -85,4 +103,5 @@ SELECT event_id, coalesce(o_orderkey, -1) AS o_orderkey, coalesce(round(price, 6
     "asof2_within": """WITH v AS (SELECT user_id, ts AS seen, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ALL), m AS (SELECT event_id, ts, seen, view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.seen)
 SELECT event_id, CASE WHEN epoch_us(ts) - epoch_us(seen) <= 3600000000 THEN view_id ELSE -1 END AS view_id FROM m""",
     "idx2_exhaustive": f"WITH {RANKED} SELECT q, rank, id, round(sim, 6) + 0.0 AS sim FROM r WHERE rank <= 10",
+    "ml1_pipeline": f"WITH {DESCRIBED}{BOOK.format('c0')}, p AS (SELECT image * 8 + descr AS pid, x FROM d), {lloyd('p', 'c0', 8, STEPS)}{TO_CENTRES}{RESIDUALS} SELECT image, CAST(pos AS INTEGER) AS pos, round(v, 5) + 0.0 AS v, round(v / sum(abs(v)) OVER (PARTITION BY image), 5) + 0.0 AS share FROM vl",
 }
