@@ -18,6 +18,7 @@ from simlake.operators.runtime import shared_folder, table
 from simlake.operators.stages import BagEncoder
 from simlake.plans.common import BOOK, DESCRIBED, EVERY, RANKED, RESIDUALS, TO_CENTRES, UNIT, bagged, codebook, database, lloyd, query_set, six, vectors
 from simlake.plans.encoding import STEPS
+from simlake.streaming import running
 
 #: A user of ``events`` stands for the customers whose key has that remainder, so that a key has many orders.
 USERS = 150
@@ -93,7 +94,21 @@ def ml1_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image", "pos", (F.round("c.v", 5) + F.lit(0.0)).alias("v"), (F.round("c.s", 5) + F.lit(0.0)).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (sql1_functions, sql2_lateral, asof1_orders, asof2_within, idx1_search, idx2_exhaustive, ml1_pipeline)}
+def str1_running_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best events of each type and day as a stream gives them out. Events come in three parts, up to an hour late, and every seventh also comes again, in its part and in the next; days that are not over yet have no result."""
+    seen = table(spark, sf_dir, "events").withColumn("ts", F.expr("make_timestamp(year(ts), month(ts), day(ts), hour(ts), minute(ts), extract(SECOND FROM ts), 'UTC')"))
+    events = seen.select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.col("value").alias("score"), "ts", (F.unix_seconds("ts") + F.crc32(F.col("event_id").cast("string")) % 3600).alias("came"))
+    least, most = events.agg(F.min("came"), F.max("came")).first()
+    if least is None:
+        return events.select("key", F.lit(0).cast("long").alias("start"), F.lit(0).alias("rank"), "id", "score")
+    part = F.floor((F.col("came") - least) * 3 / (most - least + 1))
+    again = events.where("id % 7 = 0")
+    parts = [events.where(part == i).unionAll(again.where(part.isin(i, i - 1))).drop("came") for i in range(3)]
+    out = running.replayed(spark, parts, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", k=3, every="1 day", late="2 hours")
+    return out.select("key", F.unix_millis("start").alias("start"), "rank", "id", "score")
+
+
+QUERIES = {f.__name__: f for f in (sql1_functions, sql2_lateral, asof1_orders, asof2_within, idx1_search, idx2_exhaustive, ml1_pipeline, str1_running_top)}
 ORACLE_SQL = {
     "sql1_functions": f"""WITH {UNIT} SELECT a.vec_id AS q, b.vec_id AS id, round(list_dot_product(a.v, b.v), 6) + 0.0 AS sim, round(list_sum(list_transform(e.v, lambda x: sqrt(abs(x)))), 5) + 0.0 AS mass,
  round(list_dot_product(a.v, list_transform(e.v, lambda x: x / (sqrt(list_dot_product(e.v, e.v)) + 1e-9))), 6) + 0.0 AS near FROM u a JOIN u b ON a.label = b.label JOIN e ON e.vec_id = b.vec_id WHERE a.vec_id % {EVERY} = 0""",
@@ -103,5 +118,7 @@ SELECT event_id, coalesce(o_orderkey, -1) AS o_orderkey, coalesce(round(price, 6
     "asof2_within": """WITH v AS (SELECT user_id, ts AS seen, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ALL), m AS (SELECT event_id, ts, seen, view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.seen)
 SELECT event_id, CASE WHEN epoch_us(ts) - epoch_us(seen) <= 3600000000 THEN view_id ELSE -1 END AS view_id FROM m""",
     "idx2_exhaustive": f"WITH {RANKED} SELECT q, rank, id, round(sim, 6) + 0.0 AS sim FROM r WHERE rank <= 10",
+    "str1_running_top": """WITH e AS (SELECT event_type AS key, epoch_ms(date_trunc('day', ts)) AS start, event_id AS id, value AS score, ts FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND event_id IS NOT NULL AND ts IS NOT NULL)
+SELECT key, start, CAST(row_number() OVER (PARTITION BY key, start ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM e WHERE start + 86400000 <= (SELECT max(epoch_ms(ts)) FROM e) - 7200000 QUALIFY rank <= 3""",
     "ml1_pipeline": f"WITH {DESCRIBED}{BOOK.format('c0')}, p AS (SELECT image * 8 + descr AS pid, x FROM d), {lloyd('p', 'c0', 8, STEPS)}{TO_CENTRES}{RESIDUALS} SELECT image, CAST(pos AS INTEGER) AS pos, round(v, 5) + 0.0 AS v, round(v / sum(abs(v)) OVER (PARTITION BY image), 5) + 0.0 AS share FROM vl",
 }
