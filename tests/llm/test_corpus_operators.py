@@ -264,6 +264,44 @@ def test_languages_held_out(spark, sf):
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]] for r in held]) >= 0.9
 
 
+def byte_by_byte(net, text):
+    """The pooled probabilities of a text, one byte and one window at a time, in double precision."""
+    x, u, b, out, bias = (np.asarray(p, float) for p in net.parts)
+    h, total = u.shape[2], np.zeros(len(net.languages))
+    logistic = lambda a: 1 / (1 + np.exp(-a))
+    for start in range(0, len(text), language.CORE):
+        stop = min(start + language.CORE, len(text))
+        low, high = max(0, start - language.CONTEXT), min(start + language.CORE + language.CONTEXT, len(text))
+        states = {}
+        for d, places in enumerate((range(low, high), range(high - 1, low - 1, -1))):
+            now = np.zeros(h)
+            for at in places:
+                given, back = x[d][:, text[at]] + b[d][:, 0], u[d] @ now
+                update, reset = logistic(given[:h] + back[:h]), logistic(given[h : 2 * h] + back[h : 2 * h])
+                now = (1 - update) * np.tanh(given[2 * h :] + reset * back[2 * h :]) + update * now if text[at] else np.zeros(h)
+                states[d, at] = now
+        for at in range(start, stop):
+            e = np.exp(out[0] @ states[0, at] + out[1] @ states[1, at] + bias[:, 0])
+            total += e / e.sum()
+    return total / len(text)
+
+
+def test_the_query_equals_a_network_run_byte_by_byte(spark, sf, monkeypatch):
+    """Every document, with the network that the query trained."""
+    plain, nets = language.train, []
+    monkeypatch.setattr(language, "train", lambda samples: nets.append(plain(samples)) or nets[-1])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.op3_language(spark, sf).collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(nets) == 1 and set(got) == set(texts) and max(map(len, texts.values())) > language.CORE
+    for i, text in texts.items():
+        if not any(c.isalpha() for c in text.decode()):
+            assert got[i] == ("und", 0.0)
+            continue
+        p = byte_by_byte(nets[0], text)
+        assert got[i][1] == pytest.approx(p.max(), abs=1e-3)
+        assert p[nets[0].languages.index(got[i][0])] >= p.max() - 1e-3
+
+
 def test_languages_edges(spark):
     net = language.train([(b"aaaa bbb aab " * 20, "x"), ("zzé yy zyz ".encode() * 20, "y")], steps=60)
     texts = [None, "", "123 !?", "a", "aab bba", "zyz yzé", "aab " * 100_000, "\0", "aab bba"]
