@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -94,21 +95,30 @@ def ml1_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image", "pos", (F.round("c.v", 5) + F.lit(0.0)).alias("v"), (F.round("c.s", 5) + F.lit(0.0)).alias("share"))
 
 
-def str1_running_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best events of each type and day as a stream gives them out. Events come in three parts, up to an hour late, and every seventh also comes again, in its part and in the next; days that are not over yet have no result."""
+def _replay(spark: SparkSession, sf_dir: str, key: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``of`` a stream of the events. They come in three parts, up to an hour late, and every seventh also comes again, in its part and in the next."""
     seen = table(spark, sf_dir, "events").withColumn("ts", F.expr("make_timestamp(year(ts), month(ts), day(ts), hour(ts), minute(ts), extract(SECOND FROM ts), 'UTC')"))
-    events = seen.select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.col("value").alias("score"), "ts", (F.unix_seconds("ts") + F.crc32(F.col("event_id").cast("string")) % 3600).alias("came"))
-    least, most = events.agg(F.min("came"), F.max("came")).first()
-    if least is None:
-        return events.select("key", F.lit(0).cast("long").alias("start"), F.lit(0).alias("rank"), "id", "score")
+    events = seen.select(F.col(key).alias("key"), F.col("event_id").alias("id"), F.col("value").alias("score"), "ts", (F.unix_seconds("ts") + F.crc32(F.col("event_id").cast("string")) % 3600).alias("came"))
+    least, most = events.agg(F.coalesce(F.min("came"), F.lit(0)), F.coalesce(F.max("came"), F.lit(0))).first()
     part = F.floor((F.col("came") - least) * 3 / (most - least + 1))
     again = events.where("id % 7 = 0")
     parts = [events.where(part == i).unionAll(again.where(part.isin(i, i - 1))).drop("came") for i in range(3)]
-    out = running.replayed(spark, parts, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", k=3, every="1 day", late="2 hours")
+    return running.replayed(spark, parts, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", of)
+
+
+def str1_running_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best events of each type and day, by state and timers; days that are not over yet have no result."""
+    out = _replay(spark, sf_dir, "event_type", lambda s: running.running_top(s, k=3, every="1 day", late="2 hours"))
     return out.select("key", F.unix_millis("start").alias("start"), "rank", "id", "score")
 
 
-QUERIES = {f.__name__: f for f in (sql1_functions, sql2_lateral, asof1_orders, asof2_within, idx1_search, idx2_exhaustive, ml1_pipeline, str1_running_top)}
+def str2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of each user, which half a day without an event ends; open ones have no result."""
+    out = _replay(spark, sf_dir, "user_id", lambda s: running.sessions(s, gap="12 hours", late="2 hours"))
+    return out.select("key", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "n", (F.round("total", 2) + F.lit(0.0)).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (sql1_functions, sql2_lateral, asof1_orders, asof2_within, idx1_search, idx2_exhaustive, ml1_pipeline, str1_running_top, str2_sessions)}
 ORACLE_SQL = {
     "sql1_functions": f"""WITH {UNIT} SELECT a.vec_id AS q, b.vec_id AS id, round(list_dot_product(a.v, b.v), 6) + 0.0 AS sim, round(list_sum(list_transform(e.v, lambda x: sqrt(abs(x)))), 5) + 0.0 AS mass,
  round(list_dot_product(a.v, list_transform(e.v, lambda x: x / (sqrt(list_dot_product(e.v, e.v)) + 1e-9))), 6) + 0.0 AS near FROM u a JOIN u b ON a.label = b.label JOIN e ON e.vec_id = b.vec_id WHERE a.vec_id % {EVERY} = 0""",
@@ -120,5 +130,7 @@ SELECT event_id, CASE WHEN epoch_us(ts) - epoch_us(seen) <= 3600000000 THEN view
     "idx2_exhaustive": f"WITH {RANKED} SELECT q, rank, id, round(sim, 6) + 0.0 AS sim FROM r WHERE rank <= 10",
     "str1_running_top": """WITH e AS (SELECT event_type AS key, epoch_ms(date_trunc('day', ts)) AS start, event_id AS id, value AS score, ts FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND event_id IS NOT NULL AND ts IS NOT NULL)
 SELECT key, start, CAST(row_number() OVER (PARTITION BY key, start ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM e WHERE start + 86400000 <= (SELECT max(epoch_ms(ts)) FROM e) - 7200000 QUALIFY rank <= 3""",
+    "str2_sessions": """WITH e AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS pause FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL), n AS (SELECT *, sum(CASE WHEN pause <= INTERVAL 12 HOURS THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id AS key, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*) AS n, round(sum(value), 2) + 0.0 AS total FROM n GROUP BY user_id, session HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 2 HOURS""",
     "ml1_pipeline": f"WITH {DESCRIBED}{BOOK.format('c0')}, p AS (SELECT image * 8 + descr AS pid, x FROM d), {lloyd('p', 'c0', 8, STEPS)}{TO_CENTRES}{RESIDUALS} SELECT image, CAST(pos AS INTEGER) AS pos, round(v, 5) + 0.0 AS v, round(v / sum(abs(v)) OVER (PARTITION BY image), 5) + 0.0 AS share FROM vl",
 }

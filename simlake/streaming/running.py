@@ -1,12 +1,12 @@
-"""Running top k of a stream: the best rows of each key and time window, given out once the window is over.
+"""Results of a stream that are given out once they are final: the best rows of each key and time window, and the sessions of each key.
 
-State is kept by key and window, no more than k rows of each, and a timer clears it; so it grows with the windows that are open,
-not with the stream. Rows that come late but within the watermark count, repeated rows count once.
+The top k is kept by key and window, no more than k rows of each, and a timer clears it; so state grows with the windows that are
+open, not with the stream. Rows that come late but within the watermark count, repeated rows count once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +15,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from simlake.operators.runtime import ship
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a query is started with: a state store that keeps state of any kind out of the heap, and sessions merged in each task first.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
 
 
 def best_of(rows: pd.DataFrame, by: list[str], k: int) -> pd.DataFrame:
@@ -82,21 +85,36 @@ def running_top(stream: DataFrame, k: int = 5, every: str = "1 day", late: str =
     return out.select("key", (F.timestamp_millis("until") - F.expr(f"INTERVAL {every}")).alias("start"), "rank", "id", "score")
 
 
+def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """(key, start, last, n, total) of ``stream(key, id, score, ts)``: each key's sessions, which end ``gap`` after their last row, once the watermark has passed that end.
+
+    An id that comes again within the watermark counts once; rows without an id or a time do not count, nor does a null score in
+    the total. Append mode; the state holds open sessions and the ids of the last ``late``. With ``started`` each task merges its
+    sessions before they are shuffled, so a hot key sends sessions, not rows.
+    """
+    known = stream.where("id is not null and ts is not null").select("key", "id", F.col("score").cast("double").alias("score"), F.col("ts").cast("timestamp").alias("ts"))
+    once = known.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    found = once.groupBy("key", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    return found.select("key", F.col("s.start").alias("start"), (F.col("s.end") - F.expr(f"INTERVAL {gap}")).alias("last"), "n", "total")
+
+
 def started(result: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
     """A query that appends ``result`` to a Parquet folder for all that is there now, each row once, and ends. Called again it goes on from its checkpoint."""
     spark = result.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {name: spark.conf.get(name) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         return result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
-def replayed(spark: SparkSession, pieces: list[DataFrame], folder: str, **settings: object) -> DataFrame:
-    """What ``running_top`` gives for tables that arrive one after the other; the query ends after each and starts again from its checkpoint."""
+def replayed(spark: SparkSession, pieces: list[DataFrame], folder: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream's result ``of`` it gives for tables that arrive one after the other; the query ends after each and starts again from its checkpoint."""
     for piece in pieces:
         piece.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(piece.schema).parquet(f"{folder}/in")
-        started(running_top(stream, **settings), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        started(of(stream), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out")

@@ -35,21 +35,34 @@ def test_a_replayed_stream_equals_the_batch_result(spark, tmp_path):
     parts = [arrival[:200], arrival[190:420], arrival[400:]]  # parts overlap: repeats
     parts[0] += parts[0][:50] + [("a", None, 5.0, at(1)), ("a", 9001, 5.0, None)]
     parts[2] += [("hot", 9002, 1e9, at(5))]
-    conf = spark.conf.get(running.PROVIDER)
-    out = running.replayed(spark, [spark.createDataFrame(p, SCHEMA) for p in parts], str(tmp_path), k=4, every="1 hour", late="30 minutes")
+    conf = {name: spark.conf.get(name) for name in running.SETTINGS}
+    out = running.replayed(spark, [spark.createDataFrame(p, SCHEMA) for p in parts], str(tmp_path), lambda s: running.running_top(s, k=4, every="1 hour", late="30 minutes"))
     got = sorted(((r["key"], r["start"], r["rank"], r["id"], r["score"]) for r in out.collect()), key=str)
     last = max(r[3] for r in rows if r[2] is not None and r[2] == r[2])
     want = best(rows, 4, last - dt.timedelta(minutes=30))
     assert got == want and len(want) > 20
-    assert spark.conf.get(running.PROVIDER) == conf
+    assert {name: spark.conf.get(name) for name in running.SETTINGS} == conf
 
 
 def test_a_part_that_is_read_again_adds_nothing(spark, tmp_path):
     rows = [("a", i, float(i), at(i * 10)) for i in range(40)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    once = running.replayed(spark, [frame, frame.where("false"), frame], str(tmp_path), k=2, every="1 hour", late="1 minute")
+    once = running.replayed(spark, [frame, frame.where("false"), frame], str(tmp_path), lambda s: running.running_top(s, k=2, every="1 hour", late="1 minute"))
     assert sorted(((r["key"], r["start"], r["rank"], r["id"], r["score"]) for r in once.collect()), key=str) == best(rows, 2, at(389))
 
 
 def test_an_empty_stream_gives_nothing(spark, tmp_path):
-    assert running.replayed(spark, [spark.createDataFrame([], SCHEMA)], str(tmp_path)).collect() == []
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, of in (("top", running.running_top), ("sessions", running.sessions)):
+        assert running.replayed(spark, [empty], f"{tmp_path}/{name}", of).collect() == []
+
+
+def test_sessions_of_a_replayed_stream(spark, tmp_path):
+    """Late rows join two sessions into one; repeats count once; null ids and times do not count; a session past the watermark is not opened again; open ones are held back."""
+    first = [("a", 1, 1.0, at(0)), ("a", 2, 2.0, at(18)), (None, 3, None, at(1)), ("a", 1, 1.0, at(0)), ("a", None, 9.0, at(1)), ("a", 4, 9.0, None)]
+    second = [("a", 5, 4.0, at(9)), ("a", 2, 2.0, at(18)), ("b", 6, 8.0, at(60))]
+    third = [("a", 7, 16.0, at(2)), ("b", 8, 1.0, at(200))]
+    parts = [spark.createDataFrame(p, SCHEMA) for p in (first, second, third)]
+    out = running.replayed(spark, parts, str(tmp_path), lambda s: running.sessions(s, gap="10 minutes", late="30 minutes"))
+    got = sorted(((r["key"], r["start"], r["last"], r["n"], r["total"]) for r in out.collect()), key=str)
+    assert got == sorted([("a", at(0), at(18), 3, 7.0), (None, at(1), at(1), 1, None), ("b", at(60), at(60), 1, 8.0)], key=str)
