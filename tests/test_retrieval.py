@@ -181,3 +181,25 @@ def test_lines_of_the_heat_map_make_no_matrix(spark, sf, monkeypatch):
     monkeypatch.setattr(scoring, "scores", lambda q, d, *rest: sizes.append(d.count()) or whole(q, d, *rest))
     assert analysis.snk5_heatmap(spark, sf).count() == 500
     assert sizes == [4]
+
+
+def test_nearest_by_products_are_those_of_the_differences(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(scoring, "FIRST", 16)
+    for q, d in ((rng.normal(size=(9, 5)), rng.normal(size=(300, 5))), (1e6 + rng.normal(size=(9, 5)), 1e6 + rng.normal(size=(300, 5)).round(1)), (np.ones((4, 3)), np.ones((50, 3))), (np.full((2, 3), np.nan), rng.normal(size=(40, 3)))):
+        got, want = (t.to_pydict() for t in (scoring._nearest(np.arange(len(q)), q, np.arange(len(d)), d, 7), scoring._best(np.arange(len(q)), np.arange(len(d)), scoring._neg_distances(q, d), 7)))
+        assert sorted(zip(*got.values(), strict=True), key=str) == sorted(zip(*want.values(), strict=True), key=str)
+
+
+def test_nearest_neighbours_subtract_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "_distances", None)
+    d = np.random.default_rng(1).normal(size=(200, 3))
+    parts = list(scoring._parts(np.arange(5), d[:5], np.arange(200), d, scoring.MATRICES["neg_euclidean"], 3))
+    assert [p.num_rows for p in parts] == [15]
+
+
+def test_many_queries_deal_the_database_out(spark):
+    own = np.random.default_rng(1).normal(size=(1100, 2))
+    d = frame(spark, "id", own).coalesce(1)
+    sizes = scoring.scores(frame(spark, "q", own), d, k=1).groupBy(F.spark_partition_id()).count()
+    assert sizes.count() == 2 * spark.sparkContext.defaultParallelism
