@@ -203,3 +203,18 @@ def test_many_queries_deal_the_database_out(spark):
     d = frame(spark, "id", own).coalesce(1)
     sizes = scoring.scores(frame(spark, "q", own), d, k=1).groupBy(F.spark_partition_id()).count()
     assert sizes.count() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_user_similarity_of_a_vector_and_a_matrix(spark, recwarn):
+    calls = []
+
+    def near(a, b):
+        calls.append(np.ndim(b))
+        return np.minimum(a, b).sum(-1)
+
+    applied = scoring.checked(near)
+    assert not [w for w in recwarn if "pair by pair" in str(w.message)]
+    calls.clear()
+    q, d = np.random.default_rng(0).random((3, 4)), np.random.default_rng(1).random((6, 4))
+    assert applied(q, d).tolist() == [[float(np.minimum(x, y).sum()) for y in d] for x in q]
+    assert calls == [2, 2, 2]
