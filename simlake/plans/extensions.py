@@ -31,12 +31,13 @@ def _views(spark: SparkSession, sf_dir: str) -> None:
 
 
 def sql1_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines, norms and powers by SQL functions of the session."""
+    """Cosines, norms and powers by SQL functions of the session. What is of one vector is computed once a row, before the pairs; the pairs are spread over all tasks, whatever their label."""
     _views(spark, sf_dir)
     return spark.sql(f"""
-        SELECT a.vec_id AS q, b.vec_id AS id, round(vector_cosine(a.v, b.v), 6) + 0D AS sim, round(vector_norm(signed_power(b.v, 0.5D), 1D), 5) + 0D AS mass,
-               round(vector_dot(unit_vector(a.v), p_normalised(b.v, 2D)), 6) + 0D AS near
-        FROM vectors_of_embeddings a JOIN vectors_of_embeddings b ON a.label = b.label AND a.vec_id % {EVERY} = 0""")
+        WITH a AS (SELECT vec_id, label, unit_vector(v) AS u FROM vectors_of_embeddings WHERE vec_id % {EVERY} = 0),
+             b AS (SELECT /*+ REPARTITION({2 * spark.sparkContext.defaultParallelism}) */ vec_id, label, unit_vector(v) AS u, p_normalised(v, 2D) AS p, round(vector_norm(signed_power(v, 0.5D), 1D), 5) + 0D AS mass FROM vectors_of_embeddings)
+        SELECT /*+ BROADCAST(a) */ a.vec_id AS q, b.vec_id AS id, round(vector_dot(a.u, b.u), 6) + 0D AS sim, mass, round(vector_dot(a.u, b.p), 6) + 0D AS near
+        FROM b JOIN a ON a.label = b.label""")
 
 
 def descriptors_of(v: list[float]) -> np.ndarray:

@@ -69,3 +69,14 @@ def test_the_index_query_finds_what_brute_force_finds(spark, sf):
     got = {(r["q"], r["id"]) for r in extensions.idx1_search(spark, sf).collect()}
     want = {(r["q"], r["id"]) for r in scoring.top_k(query_set(spark, sf), database(spark, sf), 10).collect()}
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_functions_of_one_vector_are_computed_before_the_pairs(spark, sf):
+    from simlake.plans import extensions
+
+    found = extensions.sql1_functions(spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "sqrt" not in above.lower() and "power" not in above.lower()
+    shuffled = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in shuffled and "hashpartitioning(label" not in shuffled
