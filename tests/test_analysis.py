@@ -308,3 +308,26 @@ def test_pivots_leave_out_blocks_and_no_near_pair(spark):
     odd = spark.createDataFrame([(0, [1.0, 2.0]), (1, [float("nan"), 1.0]), (2, [1.0, 2.1])], "id long, v array<double>")
     assert sorted(tuple(r) for r in cluster.neighbour_counts(odd, 0.5, block_rows=2).collect()) == [(0, 2), (1, 0), (2, 2)]
     assert cluster.neighbour_counts(df.where("id < 0"), 1.0).collect() == []
+
+
+def test_a_row_is_copied_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    import pyarrow as pa
+
+    from simlake.operators import pivots
+
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(300, 6)).tolist())], "id long, v array<double>")
+    whole = sorted(map(tuple, cluster.neighbour_counts(df, 1.5).collect()))
+    monkeypatch.setattr(pivots, "DEALT", 4)
+    partners, broadcast, seen = [], pivots.F.broadcast, spark.sparkContext.accumulator(0)
+
+    def each(left, right):
+        seen.add(left.num_rows * left.num_rows if right is None else 2 * left.num_rows * right.num_rows)
+        return pa.table({"n": [left.num_rows]})
+
+    with monkeypatch.context() as m:
+        m.setattr(pivots.F, "broadcast", lambda table: partners.append(table.count()) or broadcast(table))
+        found = pivots.near_blocks(df, 100.0, each, "n long", block_rows=10)
+    assert partners[-1] == 4 * 4  # 30 * 30 if each block went to every other
+    assert found.count() == 30 * 31 // 2 and seen.value == 300 * 300
+    assert sorted(map(tuple, cluster.neighbour_counts(df, 1.5, block_rows=10).collect())) == whole
