@@ -218,3 +218,9 @@ def test_user_similarity_of_a_vector_and_a_matrix(spark, recwarn):
     q, d = np.random.default_rng(0).random((3, 4)), np.random.default_rng(1).random((6, 4))
     assert applied(q, d).tolist() == [[float(np.minimum(x, y).sum()) for y in d] for x in q]
     assert calls == [2, 2, 2]
+
+
+def test_scores_are_made_in_small_parts():
+    d = np.ones((10_000, 2))
+    sizes = [p.num_rows for p in scoring._parts(np.arange(300), d[:300], np.arange(10_000), d, scoring.MATRICES["cosine"], None)]
+    assert sum(sizes) == 3_000_000 and max(sizes) * 8 <= 4 << 20
