@@ -224,3 +224,12 @@ def test_scores_are_made_in_small_parts():
     d = np.ones((10_000, 2))
     sizes = [p.num_rows for p in scoring._parts(np.arange(300), d[:300], np.arange(10_000), d, scoring.MATRICES["cosine"], None)]
     assert sum(sizes) == 3_000_000 and max(sizes) * 8 <= 4 << 20
+
+
+def test_whole_scores_repeat_their_ids_within_a_page_of_a_file():
+    d = np.random.default_rng(3).normal(size=(10_000, 2))
+    parts = list(scoring._parts(np.arange(30), d[:30], np.arange(10_000), d, scoring.MATRICES["euclidean"], None))
+    q, i, s = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in range(3))
+    assert sorted(zip(q.tolist(), i.tolist(), strict=True)) == [(a, b) for a in range(30) for b in range(10_000)]
+    assert np.array_equal(s, np.sqrt(((d[i] - d[q]) ** 2).sum(1)))
+    assert all(len(np.unique(i[a : a + 20_000])) <= 2 * scoring.STRETCH for a in range(0, 280_000, 20_000))
