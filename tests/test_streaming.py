@@ -3,6 +3,9 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
+from simlake.plans import extensions
 from simlake.streaming import running
 
 SCHEMA = "key string, id long, score double, ts timestamp"
@@ -66,3 +69,18 @@ def test_sessions_of_a_replayed_stream(spark, tmp_path):
     out = running.replayed(spark, parts, str(tmp_path), lambda s: running.sessions(s, gap="10 minutes", late="30 minutes"))
     got = sorted(((r["key"], r["start"], r["last"], r["n"], r["total"]) for r in out.collect()), key=str)
     assert got == sorted([("a", at(0), at(18), 3, 7.0), (None, at(1), at(1), 1, None), ("b", at(60), at(60), 1, 8.0)], key=str)
+
+
+def test_pieces_of_a_stream_are_read_in_one_pass_and_hold_every_event(spark, sf):
+    events = extensions.table(spark, sf, "events").count()
+    pieces = extensions._pieces(spark, sf, "user_id")
+    assert all(p._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1 for p in pieces)
+    whole = pieces[0].unionAll(pieces[1]).unionAll(pieces[2]).groupBy("id").agg(F.count("*").alias("n"))
+    assert whole.count() == events and whole.where("n != 1 and id % 7 != 0").isEmpty()
+    assert {r["n"] for r in whole.where("id % 7 = 0").collect()} == {2, 3}  # the last piece has no next one
+
+
+def test_the_store_is_set_for_the_query_only(spark, tmp_path):
+    frame = spark.createDataFrame([("a", i, float(i), at(i * 10)) for i in range(20)], SCHEMA)
+    running.replayed(spark, [frame], str(tmp_path), lambda s: running.sessions(s, gap="5 minutes", late="1 minute"))
+    assert running.STORE and all(spark.conf.get(name, None) is None for name in running.STORE)
