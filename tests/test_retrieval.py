@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -233,3 +235,16 @@ def test_whole_scores_repeat_their_ids_within_a_page_of_a_file():
     assert sorted(zip(q.tolist(), i.tolist(), strict=True)) == [(a, b) for a in range(30) for b in range(10_000)]
     assert np.array_equal(s, np.sqrt(((d[i] - d[q]) ** 2).sum(1)))
     assert all(len(np.unique(i[a : a + 20_000])) <= 2 * scoring.STRETCH for a in range(0, 280_000, 20_000))
+
+
+@pytest.mark.parametrize("width", [100])  # sim4_pipeline_scores
+def test_memory_of_whole_scores_does_not_follow_the_queries(width):
+    d, most = np.ones((2_000, width)), []
+    for n in (1, 1_000, 8_000):  # the first imports what the others need
+        q = np.ones((n, width))
+        tracemalloc.start()
+        rows = sum(p.num_rows for p in scoring._parts(np.arange(n), q, np.arange(len(d)), d, scoring.MATRICES["cosine"], None))
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == n * len(d)
+    assert max(most[1:]) < 32 << 20 and most[2] < 1.2 * most[1]
