@@ -237,7 +237,7 @@ def test_whole_scores_repeat_their_ids_within_a_page_of_a_file():
     assert all(len(np.unique(i[a : a + 20_000])) <= 2 * scoring.STRETCH for a in range(0, 280_000, 20_000))
 
 
-@pytest.mark.parametrize("width", [100])  # sim4_pipeline_scores
+@pytest.mark.parametrize("width", [100, 32])  # sim4_pipeline_scores, sim3_encoder_scores
 def test_memory_of_whole_scores_does_not_follow_the_queries(width):
     d, most = np.ones((2_000, width)), []
     for n in (1, 1_000, 8_000):  # the first imports what the others need
