@@ -248,3 +248,40 @@ def test_memory_of_whole_scores_does_not_follow_the_queries(width):
         tracemalloc.stop()
         assert rows == n * len(d)
     assert max(most[1:]) < 32 << 20 and most[2] < 1.2 * most[1]
+
+
+@pytest.mark.parametrize("block_bytes", [scoring.BLOCK_BYTES, 200])
+def test_whole_scores_of_several_metrics_are_those_of_each(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(scoring, "RUN", 50)
+    monkeypatch.setattr(scoring, "TURN", 3)
+    m = np.random.default_rng(5).normal(size=(37, 4))
+    m[3] = 0
+    m[7, 0] = np.nan
+    q, d = frame(spark, "q", m[:23]), frame(spark, "id", m)
+    rows = scoring.whole_scores(q, d, (("euclidean", "neg_euclidean", "dot"), ("manhattan",), ("cosine",)), block_bytes).collect()
+    assert len(rows) == 5 * 23 * 37
+    nine = lambda s: None if s is None else round(s, 9) + 0.0
+    for name in ("euclidean", "neg_euclidean", "dot", "manhattan", "cosine"):
+        want = {(r["q"], r["id"]): nine(r["sim"]) for r in scoring.scores(q, d, name).collect()}
+        assert {(r["q"], r["id"]): nine(r["sim"]) for r in rows if r["metric"] == name} == want
+    assert scoring.whole_scores(q.where("q < 0"), d).count() == scoring.whole_scores(q, d.where("id < 0")).count() == 0
+    with pytest.raises(ValueError):
+        scoring.whole_scores(q, d, (("nothing",),))
+
+
+def test_the_matrix_is_written_with_equal_scores_together(spark, sf):
+    from simlake.plans import retrieval
+
+    runs = {}
+    for r in retrieval.sim2_matrix(spark, sf).withColumn("part", F.spark_partition_id()).collect():
+        runs.setdefault(r["part"], []).append(r["sim"])
+    assert sum(map(len, runs.values())) == 250_000
+    assert all(s == sorted(s) for s in runs.values())
+
+
+def test_runs_are_given_in_small_parts():
+    d = np.random.default_rng(3).normal(size=(1_500, 64))
+    parts = list(scoring._runs(np.arange(1_500), d, np.arange(1_500), d, (("cosine",),)))
+    assert sum(p.num_rows for p in parts) == 2_250_000 and max(p.num_rows for p in parts) * 8 <= scoring.PART_BYTES
+    s = np.concatenate([p.column(3).to_numpy(zero_copy_only=False) for p in parts])
+    assert (np.diff(s) >= 0).all()
