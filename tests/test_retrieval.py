@@ -285,3 +285,13 @@ def test_runs_are_given_in_small_parts():
     assert sum(p.num_rows for p in parts) == 2_250_000 and max(p.num_rows for p in parts) * 8 <= scoring.PART_BYTES
     s = np.concatenate([p.column(3).to_numpy(zero_copy_only=False) for p in parts])
     assert (np.diff(s) >= 0).all()
+
+
+def test_scores_of_a_registry_are_written_with_equal_ones_together(spark, sf):
+    from simlake.plans import retrieval
+
+    runs = {}
+    for r in retrieval.sim5_registry(spark, sf).where("metric <> 'dot'").withColumn("part", F.spark_partition_id()).collect():
+        runs.setdefault((r["part"], r["metric"]), []).append(r["sim"])
+    assert sum(map(len, runs.values())) == 3 * 5_000
+    assert all(s == sorted(s, reverse=name == "neg_euclidean") for (_, name), s in runs.items())
