@@ -331,3 +331,20 @@ def test_a_row_is_copied_to_a_bounded_number_of_tasks(spark, monkeypatch):
     assert partners[-1] == 4 * 4  # 30 * 30 if each block went to every other
     assert found.count() == 30 * 31 // 2 and seen.value == 300 * 300
     assert sorted(map(tuple, cluster.neighbour_counts(df, 1.5, block_rows=10).collect())) == whole
+
+
+def test_products_of_a_graph_in_parts_are_those_of_its_matrix(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "LINKS", 5)
+    rng = np.random.default_rng(4)
+    ids = np.arange(40) * 7 - 100
+    m = np.where(rng.random((40, 40)) < 0.1, rng.random((40, 40)), 0)
+    m = m + m.T + np.eye(40)
+    i, j = np.nonzero(m)
+    links = spark.createDataFrame([(int(ids[a]), int(ids[b]), float(m[a, b])) for a, b in zip(i, j, strict=True)], "a long, b long, w double")
+    x = rng.normal(size=(40, 3))
+    found = spectral._chain(spectral._laid_out(links, 6), 6, points(spark, x).withColumn("id", F.col("id") * 7 - 100).select("id", F.col("v").alias("x")), 3, [(0.5, 2.0, 0.0), (0.5, 4.0, 1.0), (0.0, 1.0, 0.0)])
+    rows = found.orderBy("id").collect()
+    one = 2 * (m @ x - 0.5 * x)
+    two = 4 * (m @ one - 0.5 * one) - x
+    assert [r["id"] for r in rows] == ids.tolist()
+    assert np.allclose([r["before"] for r in rows], two) and np.allclose([r["x"] for r in rows], m @ two)
